@@ -37,6 +37,8 @@ from claimspark.llm.graph import components
 
 #: Counters of the sketches, 4 bytes each: what is broadcast however many rows there are.
 WIDTH = 1 << 20
+#: Common shingles that the rarest of two documents must show before their whole sets are fetched.
+SHARE = 4
 
 
 def _slot(value: np.ndarray) -> np.ndarray:
@@ -79,8 +81,8 @@ def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 order = np.lexsort((value, seen, doc))
                 lead = np.concatenate(([0], np.cumsum(n)[:-1]))
                 place = np.arange(len(value)) - np.repeat(lead, n)
-                # A linked partner has at least percent / 100 of the set: one of the rest + 1 rarest is common.
-                most = np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
+                # A linked partner has at least percent / 100 of the set: SHARE of the rest + SHARE rarest are common.
+                most = np.minimum(n, n - -(-n * percent // 100) + SHARE)
                 kept = value[order][place < np.repeat(most, n)].astype(np.int64)
                 centre = np.zeros(end - row)
                 np.add.at(centre, doc, np.log2(seen + 1.0))
@@ -107,11 +109,24 @@ def _sets(docs: DataFrame, k: int, reps: DataFrame) -> DataFrame:
     return docs.select(id_slot.alias("slot"), "text").mapInArrow(emit, "node binary, shingles array<long>")
 
 
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, na, nb) with ``common``, the size of the intersection of their sets."""
-    a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(a, "a").join(b, "b")
-    return both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"))
+def _common(pairs: DataFrame, lists: DataFrame, column: str) -> DataFrame:
+    """``pairs`` (a, b, na, nb) with ``common``, the number of values that the two nodes' lists share."""
+    a, b = (lists.select(F.col("node").alias(x), F.col(column).alias(f"list_{x}")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("list_a", "list_b")).cast("long").alias("common"))
+
+
+def _compare(docs: DataFrame, k: int, percent: int, pairs: DataFrame, node: DataFrame) -> DataFrame:
+    """Those of ``pairs`` that can link, with ``common``, the size of the intersection of their whole sets.
+
+    If two sets have m values in common, the n - m + SHARE first in any one order share SHARE; that spares most pairs the
+    transport of whole sets.
+    """
+    able = _common(pairs, node, "prefix").where(F.col("common") >= F.least(F.lit(SHARE), F.expr(f"({percent} * greatest(na, nb) + 99) div 100")))
+    able = materialise(able.drop("common"), "able")
+    ends = able.select(F.col("a").alias("node")).union(able.select("b")).distinct()
+    sets = _sets(docs, k, node.join(ends, "node", "left_semi").select(F.col("rep").alias("doc_id")))
+    sets = sets.join(ends, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return _common(able, materialise(sets, "sets"), "shingles")
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -126,7 +141,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     profile = materialise(_profiles(docs, k, percent), "profiles")
     node = profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("pri").alias("pri"), F.first("prefix").alias("prefix"))
     node = materialise(node, "nodes")
-    member = node.select("node", "n", "pri", F.posexplode("prefix").alias("pos", "s"))
+    rarest = F.slice("prefix", 1, F.expr(f"int(n - (n * {percent} + 99) div 100 + 1)"))
+    member = node.select("node", "n", "pri", F.posexplode(rarest).alias("pos", "s"))
     region = member.groupBy("s").agg(F.count("*").alias("members"), F.max("pri").alias("top")).where("members > 1").select("s", "top")
     member = materialise(member.join(region, "s"), "regions")
 
@@ -138,9 +154,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     star = member.select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     star = star.join(pivot, "s").where((F.col("a") != F.col("b")) & size("na", "nb") & window("na", "nb", "pa", "pb"))
     star = materialise(star.select("a", "b", "na", "nb").distinct(), "star")
-    sets = _sets(docs, k, node.join(member.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id")))
-    sets = materialise(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    star = materialise(_compare(star, sets), "star")
+    star = materialise(_compare(docs, k, percent, star, node), "star")
     label = components(star.where(linked))
 
     # The pivot's region again, each member with its class and its distance to the pivot where it is known.
@@ -153,7 +167,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     x = inside.where("out").select("s", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "label", "d")))
     rest = x.join(inside, "s").where((F.col("label_x") != F.col("label")) & (~F.col("out") | (F.col("node_x") < F.col("node"))) & size("n_x", "n") & window("n_x", "n", "pos_x", "pos") & F.expr(f"d_x is null or d is null or abs(d_x - d) <= {(100 - percent) / 100} + 1e-9"))
     rest = rest.select(F.col("node_x").alias("a"), F.col("node").alias("b"), F.col("n_x").alias("na"), F.col("n").alias("nb")).distinct()
-    rest = materialise(_compare(rest, sets).where(linked), "rest")
+    rest = materialise(_compare(docs, k, percent, materialise(rest, "rest"), node).where(linked), "rest")
     if not rest.isEmpty():
         label = components(star.where(linked).unionByName(rest))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -73,18 +74,18 @@ def sketch(df: DataFrame, slots: Callable[[pa.RecordBatch], np.ndarray], width:
         for k in range(0, width, step):
             part = total[k : k + step]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["at", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["at", "counts"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in group["counts"])
+        total = sum(np.frombuffer(zlib.decompress(x), np.int32).astype(np.int64) for x in group["counts"])
         total = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
-        return pd.DataFrame({"at": [group["at"].iloc[0]], "counts": [total.tobytes()]})
+        return pd.DataFrame({"at": [group["at"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     # Two steps, so that no task meets more than some dozens of partial sketches' blocks at once.
     parts = df.mapInArrow(fold, "at int, counts binary").withColumn("lot", F.spark_partition_id())
     some = parts.groupBy("at", F.expr("lot div 64")).applyInPandas(lambda g: add(g), "at int, counts binary")
     out = np.zeros(width, np.int32)
     for row in some.groupBy("at").applyInPandas(add, "at int, counts binary").collect():
-        part = np.frombuffer(row["counts"], np.int32)
+        part = np.frombuffer(zlib.decompress(row["counts"]), np.int32)
         out[row["at"] : row["at"] + len(part)] = part
     return out

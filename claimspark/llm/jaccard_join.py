@@ -35,14 +35,17 @@ from claimspark.llm import hashing
 from claimspark.llm.common import materialise, sketch
 from claimspark.llm.graph import components
 
-#: Counters of the sketches, 4 bytes each: what is broadcast however many rows there are.
+#: Counters of the shingle sketch, 4 bytes each: COUNTERS for each row, within these powers of two. The upper one bounds
+#: what is broadcast, 64 MB.
+COUNTERS, LEAST_BITS, MOST_BITS = 16, 18, 24
+#: Bits of the map of wanted documents.
 WIDTH = 1 << 20
 #: Common shingles that the rarest of two documents must show before their whole sets are fetched.
 SHARE = 4
 
 
-def _slot(value: np.ndarray) -> np.ndarray:
-    return (value >> np.uint64(64 - 20)).astype(np.int64)
+def _slot(value: np.ndarray, bits: int) -> np.ndarray:
+    return (value >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _all_shingles(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -60,16 +63,17 @@ def _nodes(value: np.ndarray, doc: np.ndarray, n: int) -> list[bytes]:
     return [x.tobytes() for x in out]
 
 
-def _counts(docs: DataFrame, k: int) -> np.ndarray:
+def _counts(docs: DataFrame, k: int, bits: int) -> np.ndarray:
     def slots(batch: pa.RecordBatch) -> np.ndarray:
-        return np.concatenate([_slot(v) for *_, v in _all_shingles(batch.column(0), k)] or [np.zeros(0, np.int64)])
+        return np.concatenate([_slot(v, bits) for *_, v in _all_shingles(batch.column(0), k)] or [np.zeros(0, np.int64)])
 
-    return sketch(docs.select("text"), slots, WIDTH)
+    return sketch(docs.select("text"), slots, 1 << bits)
 
 
 def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, n, node, prefix, pri) of each document: set size, set hash, rarest shingles, centrality."""
-    counts = docs.sparkSession.sparkContext.broadcast(_counts(docs, k))
+    bits = min(MOST_BITS, max(LEAST_BITS, (COUNTERS * docs.count()).bit_length()))
+    counts = docs.sparkSession.sparkContext.broadcast(_counts(docs, k, bits))
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n long, node binary, prefix array<long>, pri long").fields])
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +81,7 @@ def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
         for batch in batches:
             for row, end, doc, value in _all_shingles(batch.column(1), k):
                 n = np.bincount(doc, minlength=end - row)
-                seen = often[_slot(value)]
+                seen = often[_slot(value, bits)]
                 order = np.lexsort((value, seen, doc))
                 lead = np.concatenate(([0], np.cumsum(n)[:-1]))
                 place = np.arange(len(value)) - np.repeat(lead, n)
@@ -147,7 +151,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     member = materialise(member.join(region, "s"), "regions")
 
     size = lambda m, n: (100 * F.least(m, n) >= percent * F.greatest(m, n))
-    window = lambda m, n, i, j: (100 + percent) * (F.col(i) + F.col(j)) <= (100 - percent) * (F.col(m) + F.col(n))
+    # The first common shingle at places i and j: at most least(m - i, n - j) are common, and i + j others are not.
+    window = lambda m, n, i, j: F.expr(f"{100 + percent} * ({i} + {j}) <= {100 - percent} * ({m} + {n}) and {100 + percent} * least({m} - {i}, {n} - {j}) >= {percent} * ({m} + {n})")
     linked = F.expr(f"100 * common >= {percent} * (na + nb - common)")
 
     pivot = member.where("pri = top").select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))

@@ -6,21 +6,68 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimspark.llm import jaccard_join
+from claimspark.llm import jaccard_join, mixing
 from claimspark.llm.common import table
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "copies")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_source_mixing": op3_source_mixing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
 }
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+
+
+def _mixing_sql() -> str:
+    """The mix without bands: plain windows over each source."""
+    steps = []
+    for i in range(1, mixing.FILLS + 1):
+        steps.append(f"""
+        able_{i} AS (
+            SELECT r.*, sum(size) OVER (PARTITION BY r.source ORDER BY r.key, r.tie RANGE UNBOUNDED PRECEDING) AS upto, p.rest
+            FROM rows_{i - 1} r JOIN rest_{i - 1} p ON r.source IS NOT DISTINCT FROM p.source
+            WHERE NOT r.chosen AND r.size > 0 AND r.size <= p.rest AND (p.key IS NULL OR (r.key, r.tie) > (p.key, p.tie))),
+        fit_{i} AS (SELECT source, max(upto) AS used, max((key, tie)) AS last FROM able_{i} WHERE upto <= rest GROUP BY source),
+        rows_{i} AS (
+            SELECT r.* REPLACE (r.chosen OR coalesce((r.key, r.tie) <= f.last AND (p.key IS NULL OR (r.key, r.tie) > (p.key, p.tie)) AND r.size > 0 AND r.size <= p.rest, false) AS chosen)
+            FROM rows_{i - 1} r JOIN rest_{i - 1} p ON r.source IS NOT DISTINCT FROM p.source LEFT JOIN fit_{i} f ON r.source IS NOT DISTINCT FROM f.source),
+        rest_{i} AS (
+            SELECT p.source, p.rest - coalesce(f.used, 0) AS rest, coalesce(f.last[1], p.key) AS key, coalesce(f.last[2], p.tie) AS tie
+            FROM rest_{i - 1} p LEFT JOIN fit_{i} f ON p.source IS NOT DISTINCT FROM f.source)""")
+    return rf"""
+        WITH base AS (
+            SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                md5(concat_ws('|', '17', coalesce(doc_id::VARCHAR, ''), coalesce(text, ''))) AS tie
+            FROM documents),
+        keyed AS (
+            SELECT doc_id, source, size, tie,
+                round(-ln((('0x' || tie[1:12])::BIGINT::DOUBLE + 0.5) / 281474976710656.0) / greatest(0.1, 1.0 - 4.0 * (length(t) - length(translate(t, '{mixing.SIGNS}', ''))) / greatest(length(t), 1)), 9) AS key
+            FROM base),
+        sizes AS (SELECT source, sum(size)::DOUBLE AS s FROM keyed GROUP BY source),
+        weighed AS (SELECT source, s, 3 * s AS cap, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM sizes),
+        levels AS (
+            SELECT *, (sum(s) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+            FROM weighed),
+        goals AS (SELECT source, s, least(cap, w * coalesce((SELECT max(level) FROM levels WHERE level * w <= cap), 'inf'::DOUBLE)) AS target FROM levels),
+        plan AS (SELECT source, s, target, CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END::BIGINT AS epochs FROM goals),
+        rest_0 AS (SELECT source, target - epochs * s AS rest, NULL::DOUBLE AS key, NULL::VARCHAR AS tie FROM plan),
+        rows_0 AS (SELECT *, false AS chosen FROM keyed),{','.join(steps)}
+        SELECT r.doc_id, r.size::BIGINT AS size, p.s::BIGINT AS source_size, p.target, ((p.epochs + r.chosen::INT) * r.size)::BIGINT AS taken
+        FROM rows_{mixing.FILLS} r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source"""
+
+
 ORACLES: dict[str, str] = {
+    "op3_source_mixing": _mixing_sql(),
     "op4_ngram_jaccard_join": rf"""
         WITH RECURSIVE tokens AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         sets AS (

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimspark.llm import jaccard_join, mixing
+from claimspark.llm import jaccard_join, mixing, warc
 from claimspark.llm.common import table
 
 
@@ -18,9 +18,14 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages")).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixing": op3_source_mixing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op10_warc_round_trip": op10_warc_round_trip,
 }
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -66,7 +71,15 @@ def _mixing_sql() -> str:
         FROM rows_{mixing.FILLS} r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source"""
 
 
+_BASE32 = "list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || sha1(h)[1 + 5 * (i // 4) : 5 + 5 * (i // 4)])::BIGINT) >> (15 - 5 * (i % 4))) & 31)::INT, 1) for i in range(32)], 'string_agg', '')"
+
 ORACLES: dict[str, str] = {
+    "op10_warc_round_trip": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+        SELECT page_id, octet_length(encode(p.h))::BIGINT AS payload_bytes, {_BASE32.replace('sha1(h)', 'sha1(p.h)')} AS payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM p JOIN f ON p.h = f.h""",
     "op3_source_mixing": _mixing_sql(),
     "op4_ngram_jaccard_join": rf"""
         WITH RECURSIVE tokens AS (SELECT doc_id, {_WORDS} AS w FROM documents),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimspark.llm import ann, decontaminate, jaccard_join, mixing, quality, token_count, token_store, warc
+from claimspark.llm import ann, decontaminate, jaccard_join, mixing, pii, quality, token_count, token_store, warc
 from claimspark.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).drop("url")
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_token_store": op7_token_store,
     "op8_decontamination": op8_decontamination,
+    "op9_personal_data": op9_personal_data,
     "op10_warc_round_trip": op10_warc_round_trip,
 }
 

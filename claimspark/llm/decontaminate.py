@@ -160,8 +160,10 @@ def search(index: Index, data: np.ndarray, at: np.ndarray) -> list[tuple[int, in
     if not len(known):
         return []
     bound = np.zeros((int(base[-1]) + 1, BLOCKS), np.float32)
-    begins = np.flatnonzero(np.diff(where[known], prepend=-1))
-    bound[where[known][begins]] = np.add.reduceat(index.block[term[known]], begins)
+    # A term counts once in a segment, as it does in a query.
+    segment, once = np.divmod(np.unique(where[known] * len(index.terms) + term[known]), len(index.terms))
+    begins = np.flatnonzero(np.diff(segment, prepend=-1))
+    bound[segment[begins]] = np.add.reduceat(index.block[once], begins)
     last = base[1:] - 1
     window = bound[:-1] + bound[1:]
     window[last] = bound[last]
@@ -171,8 +173,10 @@ def search(index: Index, data: np.ndarray, at: np.ndarray) -> list[tuple[int, in
         d = int(owner[s])
         low = int(w.first[d] + (s - base[d]) * index.segment)
         high = min(low + 2 * index.segment, int(w.first[d + 1]))
-        have = term[low:high][index.terms[term[low:high]] == w.hash[low:high]]
-        for item, score in wand(index, np.unique(have).tolist()):
+        query = np.unique(term[low:high][index.terms[term[low:high]] == w.hash[low:high]])
+        if index.block[query].sum(0).max() < LEAST_SCORE - 1e-4:
+            continue
+        for item, score in wand(index, query.tolist()):
             it = index.items[item]
             words = set(w.hash[low:high].tolist())
             share = len(it.shingles & grams(w.hash[low:high], it.width)) / len(it.shingles)

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -22,7 +24,8 @@ from claimspark.llm import hashing
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match takes whole runs of digits, so that one can begin only where a run does.
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]+")
@@ -44,7 +47,7 @@ def digits_of(text: str) -> str:
 
 RULES: dict[str, Callable[[str], bool]] = {
     "email": lambda m: True,
-    "ip": lambda m: all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.split(".")),
+    "ip": lambda m: all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m.split("."))),
     "card": lambda m: 14 <= len(d := digits_of(m)) <= 19 and luhn(d),
     "phone": lambda m: 10 <= len(digits_of(m)) <= 15,
 }
@@ -228,13 +231,18 @@ ADDED: dict[str, re.Pattern] = {
 
 
 def added_spans(text: str, guesses: list[tuple[int, int, str]], taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The field's runs of words (start, end, kind) that keep their kind's form and rules and touch no other span."""
+    """The field's runs of words (start, end, kind) that keep their kind's form and rules and touch no span of ``taken``.
+
+    Both lists are ordered by their starts; runs don't overlap.
+    """
     out = []
+    starts, ends = [s for s, _, _ in taken], list(accumulate((e for _, e, _ in taken), max))
     for start, end, kind in guesses:
         m = ADDED[kind].search(text, start, end)
         if not m or (kind == "phone" and not re.search(r"[()./-]", m.group())) or not RULES[kind](m.group()):
             continue
-        if all(m.end() <= s or e <= m.start() for s, e, _ in (*taken, *out)):
+        before = bisect_left(starts, m.end())
+        if not before or ends[before - 1] <= m.start():
             out.append((m.start(), m.end(), kind))
     return out
 
@@ -275,9 +283,9 @@ def spans_of(texts: list[str], f: Field) -> list[tuple[list[tuple[int, int, str]
             base = base_spans(text) if "@" in text or re.search(r"[0-9]", text) else []
             more = []
             if d in guesses:
-                raw = text.encode()
-                point = lambda k, raw=raw: len(raw[:k].decode())
-                more = added_spans(text, [(point(a), point(b), kind) for a, b, kind in guesses[d]], base)
+                # Bytes of the text before each place that begin a code point.
+                point = np.concatenate(([0], np.cumsum((data[at[d] : at[d + 1]] & 0xC0) != 0x80)))
+                more = added_spans(text, [(int(point[a]), int(point[b]), kind) for a, b, kind in guesses[d]], base)
             out.append((base, sorted((*base, *more), key=lambda s: (s[0], KINDS.index(s[2])))))
     return out
 

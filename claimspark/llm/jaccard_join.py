@@ -23,7 +23,7 @@ Exact copies are one node from the beginning. Hashes of 64 bits stand for the sh
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,8 @@ from claimspark.llm.graph import components
 #: Counters of the shingle sketch, 4 bytes each: COUNTERS for each row, within these powers of two. The upper one bounds
 #: what is broadcast, 64 MB.
 COUNTERS, LEAST_BITS, MOST_BITS = 16, 18, 24
-#: Bits of the map of wanted documents.
-WIDTH = 1 << 20
+#: Bits of the map of wanted documents, as powers of two; MARKS for each of them within these bounds.
+MARKS, LEAST_WIDTH, MOST_WIDTH = 16, 20, 24
 #: Common shingles that the rarest of two documents must show before their whole sets are fetched.
 SHARE = 4
 
@@ -98,25 +98,45 @@ def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(profile, schema)
 
 
+def _marked(keys: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A filter of tables whose first column is like that of ``keys``: rows of those keys stay, and few others.
+
+    It reads a bit map of bounded size, so that the other rows are spared the transport to an exact join.
+    """
+    spark = keys.sparkSession
+    bits = min(MOST_WIDTH, max(LEAST_WIDTH, (MARKS * keys.count()).bit_length()))
+    slot = lambda df: F.shiftrightunsigned(F.xxhash64(df.columns[0]), 64 - bits).alias("slot")
+    marks = spark.sparkContext.broadcast(np.packbits(sketch(keys.select(slot(keys)), lambda b: b.column(0).to_numpy(), 1 << bits) > 0))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            hit = (marks.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:]).filter(pa.array(hit.astype(bool)))
+
+    return lambda df: df.select(slot(df), *df.columns).mapInArrow(keep, df.schema)
+
+
 def _sets(docs: DataFrame, k: int, reps: DataFrame) -> DataFrame:
-    """(node, shingles) of the documents whose ids are in ``reps``; a bit map of fixed size spares the others' transport."""
-    id_slot = F.pmod(F.xxhash64("doc_id"), F.lit(WIDTH)).cast("long")
-    bits = docs.sparkSession.sparkContext.broadcast(sketch(reps.select(id_slot.alias("slot")), lambda b: b.column(0).to_numpy(), WIDTH) > 0)
+    """(node, shingles) of the documents whose ids are in ``reps``."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(bits.value[batch.column(0).to_numpy()]))
             for row, end, doc, value in _all_shingles(batch.column(1), k):
                 n = np.bincount(doc, minlength=end - row)
                 yield pa.RecordBatch.from_arrays([pa.array(_nodes(value, doc, end - row), pa.binary()), hashing.lists(pa.array(value.astype(np.int64)), n)], ["node", "shingles"])
 
-    return docs.select(id_slot.alias("slot"), "text").mapInArrow(emit, "node binary, shingles array<long>")
+    return _marked(reps)(docs.select("doc_id", "text")).mapInArrow(emit, "node binary, shingles array<long>")
 
 
 def _common(pairs: DataFrame, lists: DataFrame, column: str) -> DataFrame:
-    """``pairs`` (a, b, na, nb) with ``common``, the number of values that the two nodes' lists share."""
+    """``pairs`` (a, b, na, nb) with ``common``, the number of values that the two nodes' lists share.
+
+    Values that the list of ``a`` repeats count as shared, so that shortened hashes never make the number too small.
+    """
     a, b = (lists.select(F.col("node").alias(x), F.col(column).alias(f"list_{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("list_a", "list_b")).cast("long").alias("common"))
+    twice = F.size("list_a") - F.size(F.array_distinct("list_a"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", (F.size(F.array_intersect("list_a", "list_b")) + twice).cast("long").alias("common"))
 
 
 def _compare(docs: DataFrame, k: int, percent: int, pairs: DataFrame, node: DataFrame) -> DataFrame:
@@ -125,11 +145,14 @@ def _compare(docs: DataFrame, k: int, percent: int, pairs: DataFrame, node: Data
     If two sets have m values in common, the n - m + SHARE first in any one order share SHARE; that spares most pairs the
     transport of whole sets.
     """
-    able = _common(pairs, node, "prefix").where(F.col("common") >= F.least(F.lit(SHARE), F.expr(f"({percent} * greatest(na, nb) + 99) div 100")))
+    ends = lambda df: df.select(F.col("a").alias("node")).union(df.select("b")).distinct()
+    # The upper halves of the hashes do for that.
+    brief = _marked(ends(pairs))(node.select("node", F.transform("prefix", lambda x: F.shiftright(x, 32).cast("int")).alias("brief")))
+    able = _common(pairs, brief, "brief").where(F.col("common") >= F.least(F.lit(SHARE), F.expr(f"({percent} * greatest(na, nb) + 99) div 100")))
     able = materialise(able.drop("common"), "able")
-    ends = able.select(F.col("a").alias("node")).union(able.select("b")).distinct()
-    sets = _sets(docs, k, node.join(ends, "node", "left_semi").select(F.col("rep").alias("doc_id")))
-    sets = sets.join(ends, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    wanted = materialise(_marked(ends(able))(node.select("node", "rep")).join(ends(able), "node", "left_semi"), "wanted")
+    sets = _sets(docs, k, wanted.select(F.col("rep").alias("doc_id")))
+    sets = sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
     return _common(able, materialise(sets, "sets"), "shingles")
 
 

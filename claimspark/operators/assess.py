@@ -66,11 +66,15 @@ def parity(expected: DataFrame, actual: DataFrame, key: str, identity: list[str]
     return both.withColumn("classification", kind).withColumn("material", ~F.col("field").isin(*allowed))
 
 
-def capture_dedupe(captures: DataFrame, identity: Column, *newest: Column) -> DataFrame:
-    """Captures with identity and duplicate_of: the newest of an identity is kept, the others point to it."""
-    order = Window.partitionBy("identity").orderBy(*newest)
-    out = captures.withColumn("identity", identity).withColumn("_first", F.first("id").over(order)).withColumn("_n", F.row_number().over(order))
-    return out.withColumn("duplicate_of", F.when(F.col("_n") > 1, F.col("_first"))).drop("_first", "_n")
+def capture_dedupe(captures: DataFrame, identity: Column, newest: Column) -> DataFrame:
+    """Captures (id, ...) with identity and duplicate_of: of an identity that with the greatest ``newest`` (of equals the greatest id) is kept, the others point to it.
+
+    A null identity is nobody's duplicate. Identities meet as one row each, so that none, however common, is one task.
+    """
+    out = captures.withColumn("identity", identity)
+    kept = out.where("identity is not null").groupBy("identity").agg(F.max_by("id", F.struct(newest, "id")).alias("_kept"))
+    out = out.join(kept, "identity", "left")
+    return out.withColumn("duplicate_of", F.when(F.col("id") != F.col("_kept"), F.col("_kept"))).select(*captures.columns, "identity", "duplicate_of")
 
 
 def fill_missing(old: str, new: str) -> Column:

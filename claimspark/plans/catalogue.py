@@ -222,7 +222,17 @@ def url_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT id, identity, CASE WHEN row_number() OVER w > 1 THEN first_value(id) OVER w END AS duplicate_of FROM p WINDOW w AS (PARTITION BY identity ORDER BY id DESC)""")
 def capture_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
-    return assess.capture_dedupe(pages, F.regexp_extract(F.lower("url"), "^[a-z]+://([^/?#]+)", 1), F.col("id").desc()).drop("url")
+    return assess.capture_dedupe(pages, F.regexp_extract(F.lower("url"), "^[a-z]+://([^/?#]+)", 1), F.col("id")).drop("url")
+
+
+@query(r"""WITH u AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
+    k AS (SELECT page_id, u, list_filter(string_split(substr(u, length(split_part(u, '?', 1)) + 2), '&'), lambda p: p <> '' AND lower(string_split(p, '=')[1]) NOT IN (TRACKING) AND NOT starts_with(lower(p), 'utm_')) AS k FROM u),
+    p AS (SELECT page_id AS id, nullif(regexp_replace(split_part(u, '?', 1), '/$', '') || CASE WHEN len(k) > 0 THEN '?' || array_to_string(k, '&') ELSE '' END, '') AS identity FROM k)
+    SELECT id, identity, CASE WHEN identity IS NOT NULL AND row_number() OVER w > 1 THEN first_value(id) OVER w END AS duplicate_of FROM p WINDOW w AS (PARTITION BY identity ORDER BY id DESC)""".replace("TRACKING", ", ".join(map(repr, text.TRACKING))))
+def capture_dedupe_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's identity: the canonical url. capture_dedupe, whose SQL names the host, tells hosts apart only."""
+    pages = load(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
+    return assess.capture_dedupe(pages, F.nullif(text.canonical_url(F.col("url")), F.lit("")), F.col("id")).drop("url")
 
 
 @query(r"SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS key, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9\s-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part")

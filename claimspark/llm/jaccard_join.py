@@ -27,12 +27,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimspark.llm import hashing
-from claimspark.llm.common import materialise, sketch
+from claimspark.llm.common import free_name, materialise, sketch
 from claimspark.llm.graph import components
 
 #: Counters of the shingle sketch, 4 bytes each: COUNTERS for each row, within these powers of two. The upper one bounds
@@ -204,7 +204,29 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     return profile.join(least, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component: that of the least doc_id (all columns stay; null ids all stay)."""
-    keep = jaccard_components(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+def _whole_row(docs: DataFrame) -> Column:
+    """A key of each row that orders them: by doc_id, nulls last, then by digests of text and of the other columns.
+
+    It is never null; rows share it only if all their columns are equal.
+    """
+    others = F.to_json(F.struct(*(F.col(c) for c in docs.columns if c != "text")))
+    # The digest of a null text is left out, so that it differs from that of an empty one.
+    digest = F.unhex(F.concat_ws("", F.md5("text"), F.md5(others)))
+    return F.struct(F.isnull("doc_id").alias("no_id"), F.col("doc_id").alias("id"), digest.alias("digest"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, all_without_id: bool = True) -> DataFrame:
+    """``docs`` with one row of each component: that of the least doc_id, null last, of equals the least digest of the row.
+
+    Rows count, not ids: repeated ids are told apart by their texts. Rows of null doc_id all stay, or with
+    ``all_without_id`` false count as any others. Texts without words link with nothing, so all of them stay but for rows
+    that are equal in every column. All columns stay.
+    """
+    key = free_name(docs, "_row")
+    rows = docs.withColumn(key, _whole_row(docs))
+    keep = jaccard_components(rows.select(F.col(key).alias("doc_id"), "text"), k, percent).where("doc_id = component_id").select(F.col("doc_id").alias(key))
+    if all_without_id:
+        rows, keep = rows.where("doc_id is not null"), keep.where(f"not {key}.no_id")
+    # Equal rows are combined before the shuffle, so that a much repeated one isn't one task.
+    kept = rows.dropDuplicates([key]).join(keep, key, "left_semi").select(docs.columns)
+    return kept.unionByName(docs.where("doc_id is null")) if all_without_id else kept

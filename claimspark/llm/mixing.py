@@ -72,9 +72,9 @@ def _same(a: str, b: str) -> F.Column:
 
 
 def _spend(rows: DataFrame, budget: DataFrame, able: F.Column) -> DataFrame:
-    """(source, used, key, tie): how far, in order of key and tie, the able rows of ``rows`` fit into each source's ``left``.
+    """(source, used, key, tie): how far, in order of key and tie, the able groups of ``rows`` fit into each source's ``left``.
 
-    ``rows`` (source, _size, _key, _tie, _band); ``budget`` (source, left, ...). The cut is the last row whose prefix sum
+    ``rows`` (source, _size, _key, _tie, _band), one for each digest; ``budget`` (source, left, ...). The cut is the last row whose prefix sum
     is within the budget; no row at all gives key null.
     """
     rows = rows.join(budget.withColumnRenamed("source", "_s"), _same("source", "_s"), "inner").where(able)
@@ -86,39 +86,52 @@ def _spend(rows: DataFrame, budget: DataFrame, able: F.Column) -> DataFrame:
     part = bands.where("upto > left").groupBy("source").agg(F.min(F.struct("_band", (F.col("upto") - F.col("sum")).alias("start"))).alias("x"))
     part = part.select(F.col("source").alias("_p"), F.col("x._band").alias("_b"), F.col("x.start").alias("start"))
     inner = rows.join(part, _same("source", "_p") & (F.col("_band") == F.col("_b")))
-    # Rows of one digest are equal; they go in or stay out together.
-    inner = inner.groupBy("source", "_key", "_tie", "left", "start").agg(F.sum("_size").alias("_size"))
     inner = inner.withColumn("upto", F.col("start") + F.sum("_size").over(Window.partitionBy("source").orderBy("_key", "_tie")))
     inner = inner.where("upto <= left").groupBy("source").agg(F.max("upto").alias("used"), F.max(F.struct("_key", "_tie")).alias("last"))
     both = whole.unionByName(inner).groupBy("source").agg(F.max("used").alias("used"), F.max("last").alias("last"))
     return both.select("source", "used", F.col("last._key").alias("key"), F.col("last._tie").alias("tie"))
 
 
-def decisions(rows: DataFrame) -> DataFrame:
-    """One row for each source: source_size, target, epochs, and the cuts of the fractional selection.
+def decisions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is taken: a plan, and the digests that its cuts leave out.
 
-    Cut i (key_i, tie_i, from_i, size_i) takes the rows after the cut before it, up to (key_i, tie_i), of size_i words at
-    most.
+    The plan is one row for each source: source_size, target, epochs, and the cuts of the fractional selection. Cut i
+    (key_i, tie_i, from_i, size_i) takes the rows after the cut before it, up to (key_i, tie_i), of size_i words at most.
+    Rows of one digest are equal and go in or stay out together, by the sum of their sizes: (source, _key, _tie) of the
+    last table are those of repeated rows that the cut would take one by one, but that together were too large.
     """
-    rows = rows.withColumn("_band", _band(F.col("_key")))
-    plan = targets(rows.groupBy("source").agg(F.sum("_size").alias("source_size")))
+    groups = rows.withColumn("_band", _band(F.col("_key"))).groupBy("source", "_band", "_key", "_tie")
+    groups = materialise(groups.agg(F.sum("_size").alias("_size"), F.min("_size").alias("_least"), F.count("*").alias("_n")), "groups")
+    plan = targets(groups.groupBy("source").agg(F.sum("_size").alias("source_size")))
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = plan.withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size"))
     plan = materialise(plan.withColumn("key_0", F.lit(-1.0)).withColumn("tie_0", F.lit("")), "plan")
     for i in range(1, FILLS + 1):
         able = F.expr(f"(_key > key_{i - 1} or (_key = key_{i - 1} and _tie > tie_{i - 1})) and _size > 0 and _size <= left")
-        cut = _spend(rows, plan.select("source", "left", f"key_{i - 1}", f"tie_{i - 1}"), able).withColumnRenamed("source", "_c")
+        cut = _spend(groups.drop("_least", "_n"), plan.select("source", "left", f"key_{i - 1}", f"tie_{i - 1}"), able).withColumnRenamed("source", "_c")
         plan = plan.join(cut, _same("source", "_c"), "left").withColumn(f"size_{i}", F.col("left"))
         plan = plan.withColumns({f"key_{i}": F.coalesce("key", f"key_{i - 1}"), f"tie_{i}": F.coalesce("tie", f"tie_{i - 1}"), "left": F.col("left") - F.coalesce("used", F.lit(0))})
         plan = materialise(plan.drop("_c", "used", "key", "tie"), "plan")
-    return plan
+    out = groups.where("_n > 1").join(plan.withColumnRenamed("source", "_s"), _same("source", "_s")).where(_taken("_least") & ~_taken())
+    return plan, materialise(out.select("source", "_key", "_tie"), "out")
 
 
-def _copies() -> F.Column:
-    """How often a row with its source's decision is taken."""
+def _taken(size: str = "_size") -> F.Column:
+    """Whether one of the cuts takes what has this key, digest and size."""
     after = lambda i: f"(_key > key_{i} or (_key = key_{i} and _tie > tie_{i}))"
-    taken = " or ".join(f"({after(i - 1)} and not {after(i)} and _size > 0 and _size <= size_{i})" for i in range(1, FILLS + 1))
-    return F.col("epochs") + F.expr(f"int(({taken}))")
+    return F.expr(" or ".join(f"({after(i - 1)} and not {after(i)} and {size} > 0 and {size} <= size_{i})" for i in range(1, FILLS + 1)))
+
+
+def _decided(rows: DataFrame, decided: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``rows`` with their source's decision and _copies, how often each is taken."""
+    plan, out = decided
+    out = out.select(F.col("source").alias("_o"), F.col("_key").alias("_ok"), F.col("_tie").alias("_ot"), F.lit(True).alias("_out"))
+    rows = rows.join(plan.withColumnRenamed("source", "_s"), _same("source", "_s"), "left")
+    if not out.isEmpty():
+        rows = rows.join(out, _same("source", "_o") & (F.col("_key") == F.col("_ok")) & (F.col("_tie") == F.col("_ot")), "left")
+    else:
+        rows = rows.withColumn("_out", F.lit(None).cast("boolean"))
+    return rows.withColumn("_copies", F.col("epochs") + (_taken() & F.col("_out").isNull()).cast("int"))
 
 
 def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
@@ -127,17 +140,16 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     size counts words; target is its source's; copies is how often the mix takes the document, taken the words of that.
     A null source is one of its own, after all others. A null text has size 0: the fractional selection leaves
     it out and taken is 0. Equal rows (id and text) are chosen alike. Further columns are ignored; an empty table gives an empty
-    one. The rest of a budget that no document fits is left over: less than the smallest document that was not taken.
+    one. What FILLS steps leave of a budget is left over; where documents are of very unlike sizes, some that aren't taken
+    may still fit it.
     """
     rows = materialise(keyed(docs.select("doc_id", "source", "text"), seed).drop("text"), "keys")
-    plan = decisions(rows).withColumnRenamed("source", "_s")
-    out = rows.join(plan, _same("source", "_s"), "left").withColumn("copies", _copies())
+    out = _decided(rows, decisions(rows)).withColumn("copies", F.col("_copies"))
     return out.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The rows of ``docs``, all columns, as often as the mix takes them."""
     full = keyed(docs, seed)
-    plan = decisions(materialise(full.select("source", "_size", "_key", "_tie"), "keys")).withColumnRenamed("source", "_s")
-    out = full.join(plan, _same("source", "_s"), "left").withColumn("_copies", _copies())
+    out = _decided(full, decisions(materialise(full.select("source", "_size", "_key", "_tie"), "keys")))
     return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)

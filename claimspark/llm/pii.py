@@ -230,20 +230,64 @@ ADDED: dict[str, re.Pattern] = {
 }
 
 
+#: Phone numbers that follow each other with one separator between; a number is some runs of digits of such a chain.
+CHAIN = re.compile(r"(?<![0-9+])(?:\([0-9]{2,4}\)|[0-9]+)(?:[ ./-]?[0-9]+)*")
+WORD = re.compile(r"\s+")
+
+
+def phones_in(text: str, start: int, end: int, free: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
+    """The numbers of one chain: of all ways to part it the one that covers most digits, those of whole words first."""
+    runs = [m.span() for m in DIGITS.finditer(text, start, end)]
+    head = lambda i: start if i == 0 else runs[i][0]
+    tail = lambda j: end if j == len(runs) - 1 else runs[j][1] + (j == 0 and text[start] == "(")
+    # best[i]: (digits of whole words, digits) from run i on, and the end of the number that begins there.
+    best: list[tuple[int, int]] = [(0, 0)] * (len(runs) + 1)
+    upto = [0] * len(runs)
+    for i in range(len(runs) - 1, -1, -1):
+        best[i] = best[i + 1]
+        n = 0
+        for j in range(i, len(runs)):
+            n += runs[j][1] - runs[j][0]
+            if n > 15:
+                break
+            s, e = head(i), tail(j)
+            if n < 10 or not ADDED["phone"].fullmatch(text, s, e) or not re.search(r"[()./-]", text[s:e]) or not free(s, e):
+                continue
+            whole = (i == 0 or text[s - 1] == " ") and (j == len(runs) - 1 or text[e] == " ")
+            value = (best[j + 1][0] + n * whole, best[j + 1][1] + n)
+            if value > best[i]:
+                best[i], upto[i] = value, j + 1
+    i = 0
+    while i < len(runs):
+        if upto[i]:
+            yield head(i), tail(upto[i] - 1)
+        i = upto[i] or i + 1
+
+
 def added_spans(text: str, guesses: list[tuple[int, int, str]], taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The field's runs of words (start, end, kind) that keep their kind's form and rules and touch no span of ``taken``.
+    """What in the field's runs of words (start, end, kind) keeps its kind's form and rules and touches no span of ``taken``.
 
-    Both lists are ordered by their starts; runs don't overlap.
+    Both lists are ordered by their starts; runs don't overlap. A run may hold several; after one that fails the search
+    goes on behind its first word.
     """
     out = []
     starts, ends = [s for s, _, _ in taken], list(accumulate((e for _, e, _ in taken), max))
+
+    def free(start: int, end: int) -> bool:
+        before = bisect_left(starts, end)
+        return not before or ends[before - 1] <= start
+
     for start, end, kind in guesses:
-        m = ADDED[kind].search(text, start, end)
-        if not m or (kind == "phone" and not re.search(r"[()./-]", m.group())) or not RULES[kind](m.group()):
+        if kind == "phone":
+            out += [(s, e, kind) for m in CHAIN.finditer(text, start, end) for s, e in phones_in(text, *m.span(), free)]
             continue
-        before = bisect_left(starts, m.end())
-        if not before or ends[before - 1] <= m.start():
-            out.append((m.start(), m.end(), kind))
+        while m := ADDED[kind].search(text, start, end):
+            if RULES[kind](m.group()) and free(*m.span()):
+                out.append((*m.span(), kind))
+                start = m.end()
+            else:
+                gap = WORD.search(text, m.start(), m.end())
+                start = gap.end() if gap else m.end()
     return out
 
 

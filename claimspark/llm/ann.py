@@ -23,6 +23,8 @@ NEAREST = 5
 #: Vectors of a bucket that one group holds; larger buckets are dealt to several groups, each of which meets all queries.
 GROUP = 4096
 SEED = 11
+#: What rounding can make of two equal cosines in float32.
+ROUNDING = 2e-6
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -103,7 +105,7 @@ def _ranked(index: DataFrame, queries: DataFrame, nearest: int) -> DataFrame:
             top = np.argpartition(-score, m - 1, 1)[:, :m]
             # What differs from the last kept by rounding only is kept too: exact cosines decide later.
             last = np.take_along_axis(score, top, 1).min(1)
-            rows, cols = np.nonzero(score >= (last - 2e-6)[:, None])
+            rows, cols = np.nonzero(score >= (last - ROUNDING)[:, None])
             out.append(pd.DataFrame({"query": left["key"].to_numpy()[k + rows], "key": keys[cols], "score": score[rows, cols].astype(float)}))
         return pd.concat(out)
 
@@ -137,8 +139,10 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, nearest: int = NEARE
     def top(found: DataFrame) -> DataFrame:
         found = found.groupBy("query", "key").agg(F.max("score").alias("near"))
         row = Window.partitionBy("query").orderBy(F.desc("near"), "key")
-        # Entries whose scores differ in the last bits only are settled below.
-        found = found.withColumn("place", F.row_number().over(row)).where(F.col("place") <= 4 * nearest + 4)
+        found = found.withColumn("place", F.row_number().over(row))
+        # Entries whose scores differ from the last needed by rounding only are all settled below.
+        last = F.max(F.when(F.col("place") == nearest + 1, F.col("near"))).over(Window.partitionBy("query"))
+        found = found.withColumn("last", last).where(F.col("last").isNull() | (F.col("near") >= F.col("last") - ROUNDING)).drop("last")
         found = found.join(members, "key").where("query <> vec_id")
         a = good.select(F.col("vec_id").alias("query"), F.col("v").alias("x"), F.col("norm").alias("nx"))
         b = good.select("vec_id", F.col("v").alias("y"), F.col("norm").alias("ny"))

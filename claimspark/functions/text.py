@@ -92,3 +92,29 @@ def safe_address(url: Column) -> Column:
     four = r"^(0|10|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\.|^169\.254\.|^192\.168\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\."
     six = r"^\[(::1?\]|f[cd]|fe[89ab]|::ffff:)"
     return (name != "") & (name != "localhost") & ~name.endswith(".localhost") & ~name.rlike(four) & ~name.rlike(six)
+
+
+def decoded(x: Column) -> Column:
+    """Five entities read one after the other."""
+    for entity, letter in (("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">")):
+        x = F.replace(x, F.lit(entity), F.lit(letter))
+    return x
+
+
+def meta_patterns(name: str) -> list[str]:
+    """Patterns of a meta tag's content, in the order in which they are tried."""
+    quote = "[\"']"
+    content = f"content={quote}([^\"']*){quote}"
+    return [f"<meta[^>]+property={quote}{name}{quote}[^>]+{content}", f"<meta[^>]+{content}[^>]+property={quote}{name}{quote}", f"<meta[^>]+name={quote}{name}{quote}[^>]+{content}"]
+
+
+TITLE = "<title[^>]*>([^<]*)</title>"
+
+
+def inspected(html: Column) -> tuple[Column, Column]:
+    """(title, description) of the first 250000 characters of a page; null where there is none."""
+    page = F.substring(html, 1, 250_000)
+    found = lambda pattern: F.nullif(F.regexp_extract(page, f"(?i){pattern}", 1), F.lit(""))
+    pick = lambda name: F.nullif(trimmed(decoded(F.coalesce(*map(found, meta_patterns(name))))), F.lit(""))
+    title = F.nullif(decoded(trimmed(found(TITLE))), F.lit(""))
+    return F.coalesce(pick("og:title"), title), F.coalesce(pick("og:description"), pick("description"))

@@ -257,6 +257,21 @@ def html_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
+def inspect_sql() -> str:
+    text_of = lambda pattern: f"nullif(regexp_extract(h, '{pattern.replace(chr(39), chr(39) * 2)}', 1, 'i'), '')"
+    decode = lambda x: f"replace(replace(replace(replace(replace({x}, '&amp;', '&'), '&quot;', '\"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>')"
+    pick = lambda name: f"nullif({STRIP.format(x=decode('coalesce(' + ', '.join(map(text_of, text.meta_patterns(name))) + ')'))}, '')"
+    title = f"nullif({decode(STRIP.format(x=text_of(text.TITLE)))}, '')"
+    return f"SELECT page_id, coalesce({pick('og:title')}, {title}) AS title, coalesce({pick('og:description')}, {pick('description')}) AS description FROM (SELECT page_id, CASE WHEN regexp_matches(url, '^https?://', 'i') THEN substr(html, 1, 250000) END AS h FROM pages)"
+
+
+@query(inspect_sql())
+def page_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's inspection; html_inspect, whose SQL reads plain titles, does no more than that."""
+    title, description = text.inspected(F.when(F.col("url").rlike("(?i)^https?://"), F.col("html")))
+    return load(spark, sf_dir, "pages").select("page_id", title.alias("title"), description.alias("description"))
+
+
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
 def exact_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")

@@ -41,7 +41,7 @@ STAGES = [
     ("token-ID / binary output", token_output),
 ]
 
-#: The network, the index search and the token store are no SQL; tests hold the stages against brute force.
+#: The network, the index search and the token store are no SQL; tests hold the operators of the stages, not the whole, against brute force.
 ORACLE_SQL = None
 
 

@@ -1,10 +1,12 @@
 """Token ids in training order: fixed-stride binary shards whose global order is a keyed permutation.
 
-Texts become sequences of LENGTH ids. Every sequence has a number from 0 on (its task's first number and its place
-there), and a Feistel network over the key turns the number into a slot; numbers that fall outside of the range walk the
-cycle until they are inside, so slots are a permutation without any table. Shards are runs of slots. Range partitions
-write them, record after record of one stride, so that slot s of a shard is at byte s * stride, and a reader can go on
-anywhere.
+Texts become sequences of LENGTH ids. A sequence's number is a hash of its text's file and row and of its place in the
+text, so it doesn't depend on how the table is split for reading. A Feistel network over the key permutes the numbers;
+equal ranges of what it gives are the shards, and range partitions gather them. How many sequences a shard has is known
+only then: a second Feistel network, which walks the cycle until it is below that size, gives each its place, and the
+shards' sizes in their order give every place its global slot. All texts are encoded once and moved once.
+
+Records have one stride, so that place k of a shard is at byte k * stride, and a reader can go on anywhere.
 """
 
 from __future__ import annotations
@@ -12,27 +14,32 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import materialise, remove, shared_dir
+from claimspark.llm import hashing
+from claimspark.llm.common import materialise, shared_dir
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary cuts text before it merges bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LENGTH = 256
-#: Sequences of a shard.
+#: Sequences of a shard, about: their number is estimated from the texts' bytes.
 SHARD = 1 << 14
+BYTES_OF_ID = 3
 KEY = 0x5EED5EED
 ROUNDS = 6
-REMEMBERED = 200_000
+#: Numbers before the first permutation are below this.
+NUMBERS = 1 << 62
+#: Records that a task gathers before it sends them to their shards.
+GATHERED = 1 << 15
 
 
 def record_type(length: int = LENGTH) -> np.dtype:
@@ -65,159 +72,164 @@ def read_ranks(path: str = RANKS) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-class Encoder(dict):
-    """Ids of a text as bytes of uint16. Words and the space before them are encoded once and remembered.
-
-    The pattern never joins what a single space parts, so texts without two spaces in a row are encoded word by word.
-    """
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN) -> None:
-        import tiktoken
-
-        self.ids = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = self[word] = np.array(self.ids(f" {word}"), np.uint16).tobytes()
-        return out
-
-    def encode(self, text: str) -> bytes:
-        if "  " in text:
-            return np.array(self.ids(text), np.uint16).tobytes()
-        first, *rest = text.split(" ")
-        return np.array(self.ids(first), np.uint16).tobytes() + b"".join(map(self.__getitem__, rest))
-
-
-def sequences(docs: DataFrame, length: int = LENGTH, ranks: dict[bytes, int] | None = None) -> DataFrame:
-    """(task, place, doc_id, seq, ids): the texts' ids with the end's after them, cut into sequences of ``length``."""
-    ranks = docs.sparkSession.sparkContext.broadcast(ranks or read_ranks())
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, place = Encoder(ranks.value), TaskContext.get().partitionId(), 0
-        end = np.uint16(len(ranks.value)).tobytes()
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                doc, seq, ids = [], [], []
-                for row, text in enumerate(batch.column(1).slice(k, 256)):
-                    data = encoder.encode(text.as_py() or "") + end
-                    parts = [data[i : i + 2 * length] for i in range(0, len(data), 2 * length)]
-                    doc += [k + row] * len(parts)
-                    seq += range(len(parts))
-                    ids += parts
-                places = pa.array(np.arange(place, place + len(ids)))
-                place += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array([task] * len(ids), pa.int64()), places, batch.column(0).take(pa.array(doc)), pa.array(seq, pa.int32()), pa.array(ids, pa.binary())], ["task", "place", "doc_id", "seq", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "task long, place long, doc_id long, seq int, ids binary")
+def _placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, at) of each row, ``at`` a hash of its file and row; what isn't read from Parquet files as it is, is written first."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    try:
+        placed = docs.select("doc_id", "text", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("at"))
+        if "Exchange" not in placed._jdf.queryExecution().executedPlan().toString():
+            return placed
+    except AnalysisException:
+        pass
+    return _placed(materialise(docs, "texts"))
+
+
+def _sequences(ids: list[bytes], at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(number, row, seq, used, ids) of the sequences of texts whose ids, two bytes each, are given; ``ids`` one after the other."""
+    count = np.array([len(x) // 2 for x in ids], np.int64)
+    n = -(-count // length)
+    row = np.repeat(np.arange(len(n)), n)
+    seq = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    number = hashing.mix(at.astype(np.uint64)[row] + hashing.mix(seq.astype(np.uint64))) & np.uint64(NUMBERS - 1)
+    return number, row, seq.astype(np.int32), np.minimum(length, count[row] - seq * length), np.frombuffer(b"".join(ids), np.uint16)
+
+
+def _packed(records: list[tuple[np.ndarray, ...]], shards: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(shard, records, ids, data) of records (mixed, doc_id, has_id, seq, n, ids), one row for each shard, each column for itself."""
+    mixed, doc, has, seq, n, ids = (np.concatenate(x) for x in zip(*records, strict=True))
+    first = np.cumsum(n) - n
+    # Equal ranges of the permuted numbers; 31 bits of them decide.
+    shard = (mixed >> 31) * shards >> 31
+    order = np.argsort(shard, kind="stable")
+    edges = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
+        pick = order[a:b]
+        count = n[pick]
+        upto = np.cumsum(count)
+        used = ids[np.repeat(first[pick] - upto + count, count) + np.arange(upto[-1])]
+        columns = (mixed[pick], doc[pick], has[pick].astype(np.int8), seq[pick], count.astype(np.int32), used)
+        yield int(shard[pick[0]]), len(pick), len(used), pa.compress(b"".join(c.tobytes() for c in columns), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int, m: int) -> list[np.ndarray]:
+    kinds = ((np.int64, n), (np.int64, n), (np.int8, n), (np.int32, n), (np.int32, n), (np.uint16, m))
+    sizes = np.cumsum([0, *(np.dtype(k).itemsize * size for k, size in kinds)])
+    raw = pa.decompress(data, int(sizes[-1]), "zstd", asbytes=True)
+    return [np.frombuffer(raw, k, size, int(at)) for (k, size), at in zip(kinds, sizes[:-1], strict=True)]
 
 
 def store(docs: DataFrame, folder: str, length: int = LENGTH, shard: int = SHARD, key: int = KEY) -> DataFrame:
-    """Write ``docs`` (doc_id, text) as shards below ``folder``; (shard, path, records) of each.
+    """Write ``docs`` (doc_id, text) as shards below ``folder``; (shard, path, records, first) of each, ``first`` its first slot.
 
     A shard is written under a name of its own and then renamed, so a task that is lost or run twice leaves whole shards
     only, of equal bytes.
     """
     spark = docs.sparkSession
-    temp = shared_dir(spark, "sequences")
-    made = sequences(docs, length)
-    made.write.option("compression", "zstd").parquet(temp)
-    made = spark.read.schema(made.schema).parquet(temp)
-    # One row for each task of the write, however many sequences there are.
-    first = made.groupBy("task").agg((F.max("place") + 1).alias("n"))
-    first = materialise(first.withColumn("upto", F.sum("n").over(Window.orderBy("task"))).withColumn("first", F.col("upto") - F.col("n")), "first")
-    total = first.agg(F.max("upto")).first()[0] or 0
-    if not total:
-        remove(spark, temp)
-        return spark.createDataFrame([], "shard long, path string, records long")
-
-    @F.pandas_udf("long")
-    def slot(number: pd.Series) -> pd.Series:
-        return pd.Series(feistel(number.to_numpy(), total, key))
+    placed, vocabulary = _placed(docs), read_ranks()
+    end, kind = len(vocabulary), record_type(length)
+    ranks = spark.sparkContext.broadcast(vocabulary)
+    texts, size = placed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shards = max(1, round((texts + size / BYTES_OF_ID / length) / shard))
+    tasks = min(shards, 100_000)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import tiktoken
 
-    kind = record_type(length)
-    end = len(read_ranks())
+        encode, stop = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={}).encode_ordinary, np.uint16(end).tobytes()
+        held, gathered = [], 0
+
+        def out() -> pa.RecordBatch:
+            at, n, m, data = zip(*_packed(held, shards), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array([x * tasks // shards for x in at], pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int32()), pa.array(m, pa.int64()), pa.array(data, pa.binary())], ["part", "shard", "n", "m", "data"])
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                doc, text, at = batch.slice(k, 256).columns
+                number, row, seq, used, ids = _sequences([array("H", encode(x.as_py() or "")).tobytes() + stop for x in text], at.to_numpy(), length)
+                valid = doc.is_valid().to_numpy(zero_copy_only=False)
+                held.append((feistel(number, NUMBERS, key), doc.fill_null(0).to_numpy()[row], valid[row], seq, used, ids))
+                gathered += len(row)
+                if gathered >= GATHERED:
+                    yield out()
+                    held, gathered = [], 0
+        if held:
+            yield out()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = fs.FileSystem.from_uri(folder)
-        files.create_dir(root)
-        out, at, part, expected = None, -1, "", 0
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root)
+        at, held = -1, []
 
         def close() -> pa.RecordBatch:
-            out.close()
-            path = f"{root}/shard-{at:08d}.bin"
-            files.move(part, path)
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([path]), pa.array([expected - at * shard], pa.int64())], ["shard", "path", "records"])
+            mixed, doc, has, seq, count, used = (np.concatenate(x) for x in zip(*held, strict=True))
+            place = np.empty(len(mixed), np.int64)
+            # Equal numbers are equal records, or else the rest of the record decides.
+            place[np.lexsort((seq, doc, mixed))] = feistel(np.arange(len(mixed)), len(mixed), key ^ (at + 1))
+            out = np.zeros(len(mixed), kind)
+            out["doc_id"][place], out["has_id"][place], out["seq"][place], out["n"][place] = doc, has, seq, count
+            out["ids"] = end
+            which = np.repeat(place, count)
+            out["ids"][which, np.arange(len(used)) - np.repeat(np.cumsum(count) - count, count)] = used
+            part, path = f"{root}/.{uuid.uuid4().hex}", f"{root}/shard-{at:08d}.bin"
+            with store.open_output_stream(part, compression=None) as stream:
+                stream.write(out.data)
+            store.move(part, path)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([path]), pa.array([len(out)], pa.int64())], ["shard", "path", "records"])
 
         for batch in batches:
-            slots = batch.column(0).to_numpy()
-            rows = np.zeros(len(slots), kind)
-            ids = batch.column(3)
-            rows["doc_id"] = batch.column(1).fill_null(0).to_numpy()
-            rows["has_id"] = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
-            rows["seq"] = batch.column(2).to_numpy()
-            rows["ids"] = end
-            for k, data in enumerate(ids):
-                data = np.frombuffer(data.as_py(), np.uint16)
-                rows["n"][k] = len(data)
-                rows["ids"][k, : len(data)] = data
-            for k in np.flatnonzero(np.diff(slots // shard, prepend=-1)):
-                stop = k + int(np.searchsorted(slots[k:] // shard, slots[k] // shard, "right"))
-                if slots[k] // shard != at:
-                    if out is not None:
+            for now, n, m, data in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                if now != at:
+                    if held:
                         yield close()
-                    at = expected = int(slots[k] // shard)
-                    expected *= shard
-                    part = f"{root}/.{uuid.uuid4().hex}"
-                    out = files.open_output_stream(part)
-                if slots[k] != expected or slots[stop - 1] != expected + stop - k - 1:
-                    raise ValueError(f"shard {at}: slot {expected} is missing or double")
-                out.write(rows[k:stop].tobytes())
-                expected += stop - k
-        if out is not None:
+                    at, held = now, []
+                held.append(_unpacked(data, n, m))
+        if held:
             yield close()
 
-    numbered = made.join(first.select("task", "first"), "task").select(slot(F.col("first") + F.col("place")).alias("slot"), "doc_id", "seq", "ids")
-    tasks = max(1, min(-(-total // shard), 100_000))
-    ranged = numbered.withColumn("shard", F.expr(f"slot div {shard}")).repartitionByRange(tasks, "shard").sortWithinPartitions("slot")
-    shards = materialise(ranged.select("slot", "doc_id", "seq", "ids").mapInArrow(write, "shard long, path string, records long"), "shards")
-    remove(spark, temp)
-    return shards
+    sent = placed.mapInArrow(send, "part int, shard long, n int, m long, data binary")
+    ranged = sent.repartitionById(tasks, "part").sortWithinPartitions("shard")
+    made = materialise(ranged.mapInArrow(write, "shard long, path string, records long"), "shards")
+    ranks.unpersist()
+    # One row for each shard.
+    return made.withColumn("first", F.sum("records").over(Window.orderBy("shard")) - F.col("records"))
 
 
-def read(shards: DataFrame, folder: str, length: int = LENGTH, shard: int = SHARD, start: int = 0, ids: bool = False) -> DataFrame:
+def read(shards: DataFrame, folder: str, length: int = LENGTH, start: int = 0, ids: bool = False) -> DataFrame:
     """(slot, shard, byte_offset, doc_id, seq, n_tokens, ids_sha256) of the stored sequences from slot ``start`` on, with ``ids`` if asked for."""
     kind = record_type(length)
     schema = "slot long, shard long, byte_offset long, doc_id long, seq int, n_tokens int, ids_sha256 string" + ", ids array<int>" * ids
-
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files, _ = fs.FileSystem.from_uri(folder)
-        for frame in frames:
-            for at, path, n in zip(frame["shard"], frame["path"], frame["records"], strict=True):
-                k = max(0, start - at * shard)
-                with files.open_input_stream(path, compression=None) as stream:
-                    stream.read(min(k, n) * kind.itemsize)
-                    while k < n:
-                        rows = np.frombuffer(stream.read(min(1024, n - k) * kind.itemsize), kind)
-                        if not len(rows):
-                            raise ValueError(f"{path} ends before record {k}")
-                        place = np.arange(k, k + len(rows))
-                        used = [r[:m] for r, m in zip(rows["ids"], rows["n"], strict=True)]
-                        out = pd.DataFrame({"slot": at * shard + place, "shard": at, "byte_offset": place * kind.itemsize, "doc_id": pd.array(rows["doc_id"], "Int64"), "seq": rows["seq"], "n_tokens": rows["n"], "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in used]})
-                        out.loc[rows["has_id"] == 0, "doc_id"] = pd.NA
-                        yield out.assign(ids=[x.astype(int).tolist() for x in used]) if ids else out
-                        k += len(rows)
-
-    n = max(1, shards.where(F.lit(shard) * (F.col("shard") + 1) > start).count())
-    return shards.where(F.lit(shard) * (F.col("shard") + 1) > start).repartition(min(n, 10_000), "shard").mapInPandas(task, schema)
-
-
-def token_sequences(spark: SparkSession, docs: DataFrame, **options: int) -> DataFrame:
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = fs.FileSystem.from_uri(folder)
+        for at, path, n, first in (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            k = max(0, start - first)
+            with store.open_input_stream(path, compression=None) as stream:
+                stream.read(k * kind.itemsize)
+                while k < n:
+                    rows = np.frombuffer(stream.read(min(1024, n - k) * kind.itemsize), kind)
+                    if not len(rows):
+                        raise ValueError(f"{path} ends before record {k}")
+                    place = np.arange(k, k + len(rows))
+                    raw = np.ascontiguousarray(rows["ids"]).tobytes()
+                    stop = (np.arange(len(rows)) * length + rows["n"]) * 2
+                    digests = [hashlib.sha256(raw[i * length * 2 : j]).hexdigest() for i, j in enumerate(stop.tolist())]
+                    out = [pa.array(first + place), pa.array(np.full(len(rows), at)), pa.array(place * kind.itemsize), pa.array(rows["doc_id"].astype(np.int64), mask=rows["has_id"] == 0), pa.array(rows["seq"].astype(np.int32)), pa.array(rows["n"].astype(np.int32)), pa.array(digests)]
+                    if ids:
+                        out.append(pa.array([r[:m].astype(int).tolist() for r, m in zip(rows["ids"], rows["n"], strict=True)], pa.list_(pa.int32())))
+                    yield pa.RecordBatch.from_arrays(out, names)
+                    k += len(rows)
+
+    wanted = shards.where(F.col("first") + F.col("records") > start).select("shard", "path", "records", "first")
+    return wanted.repartition(max(1, min(wanted.count(), 10_000)), "shard").mapInArrow(task, schema)
+
+
+def token_sequences(spark: SparkSession, docs: DataFrame, length: int = LENGTH, shard: int = SHARD, key: int = KEY) -> DataFrame:
     """Store ``docs`` (doc_id, text; further columns are ignored) and read the sequences back, one row each.
 
     Every row of ``docs``, a repeated one too, has at least one sequence: null and empty texts only the end's id. A null
-    doc_id stays null. The numbers that are permuted follow the table's files and rows, so the same table read with the same
-    settings gives the same slots. An empty table gives no shard and no rows.
+    doc_id stays null. The same table gives the same slots, however it is split for reading; a table that isn't read
+    from files as it is, is written first, and its numbers follow that. An empty table gives no shard and no rows.
     """
     folder = shared_dir(spark, "shards")
-    return read(store(docs, folder, **options), folder, **{k: v for k, v in options.items() if k != "key"})
+    return read(store(docs, folder, length, shard, key), folder, length)

@@ -184,8 +184,10 @@ def test_token_store_round_trip(spark, tmp_path):
     rows = [(1, words(500, 3), "a"), (1, words(500, 3), "a"), (None, "hello  two spaces\n\n x", "b"), (4, None, "b"), (5, "", "a")] + [(k, words(k, k), "c") for k in range(6, 60)]
     folder = f"file://{tmp_path}/shards"
     shards = token_store.store(docs_of(spark, rows), folder, length=16, shard=32)
-    got = token_store.read(shards, folder, 16, 32, ids=True).toPandas().sort_values("slot")
-    assert got["slot"].tolist() == list(range(len(got))) and (got["byte_offset"] == got["slot"] % 32 * token_store.record_type(16).itemsize).all()
+    got = token_store.read(shards, folder, 16, ids=True).toPandas().sort_values("slot")
+    first = got["shard"].map({r["shard"]: r["first"] for r in shards.collect()})
+    assert got["slot"].tolist() == list(range(len(got))) and (got["byte_offset"] == (got["slot"] - first) * token_store.record_type(16).itemsize).all()
+    assert got["shard"].is_monotonic_increasing and 8 <= got["shard"].value_counts().min() and got["shard"].value_counts().max() <= 128
     import tiktoken
 
     ranks = token_store.read_ranks()
@@ -199,7 +201,19 @@ def test_token_store_round_trip(spark, tmp_path):
         copies = len(by[0])
         have += [(i, [x for s in sorted(by) for x in by[s][min(c, len(by[s]) - 1)]]) for c in range(copies)]
     assert sorted(have) == want
-    assert token_store.read(shards, folder, 16, 32, start=40).count() == len(got) - 40
+    assert token_store.read(shards, folder, 16, start=40).count() == len(got) - 40
+
+
+def test_token_slots_do_not_depend_on_splits(spark, tmp_path):
+    rows = [(k % 40, words(30 + k, k), "c") for k in range(200)] + [(7, words(60, 1), "c")] * 100
+    docs_of(spark, rows).repartition(3).write.parquet(f"{tmp_path}/docs")
+    made = []
+    for most in ("128m", "1k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        got = token_store.token_sequences(spark, spark.read.parquet(f"{tmp_path}/docs"), length=16, shard=32)
+        made.append(sorted((r["slot"], r["doc_id"], r["seq"], r["ids_sha256"]) for r in got.collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+    assert made[0] == made[1] and [r[0] for r in made[0]] == list(range(len(made[0])))
 
 
 def test_feistel_is_a_permutation():

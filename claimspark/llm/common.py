@@ -36,10 +36,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete what :func:`materialise` wrote for ``tables``, once nothing reads it any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            remove(df.sparkSession, folder)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of this module's own making through the file system that Spark writes it with."""
     jvm = spark.sparkContext._jvm

@@ -23,7 +23,7 @@ Exact copies are one node from the beginning. Hashes of 64 bits stand for the sh
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimspark.llm import hashing
-from claimspark.llm.common import free_name, materialise, sketch
+from claimspark.llm.common import discard, free_name, materialise, sketch
 from claimspark.llm.graph import components
 
-#: Counters of the shingle sketch, 4 bytes each: COUNTERS for each row, within these powers of two. The upper one bounds
-#: what is broadcast, 64 MB.
-COUNTERS, LEAST_BITS, MOST_BITS = 16, 18, 24
-#: Bits of the map of wanted documents, as powers of two; MARKS for each of them within these bounds.
-MARKS, LEAST_WIDTH, MOST_WIDTH = 16, 20, 24
+#: Counters of the shingle sketch, a power of two, 4 bytes each: what tells common shingles from rare ones. Their number
+#: is the same at any size of the table, so what is broadcast is 16 MB and what tasks send follows their number alone.
+COUNTERS = 22
+#: Bits of the map of wanted documents, a power of two: 2 MB.
+MARKS = 24
 #: Common shingles that the rarest of two documents must show before their whole sets are fetched.
 SHARE = 4
 
@@ -72,8 +72,7 @@ def _counts(docs: DataFrame, k: int, bits: int) -> np.ndarray:
 
 def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, n, node, prefix, pri) of each document: set size, set hash, rarest shingles, centrality."""
-    bits = min(MOST_BITS, max(LEAST_BITS, (COUNTERS * docs.count()).bit_length()))
-    counts = docs.sparkSession.sparkContext.broadcast(_counts(docs, k, bits))
+    counts = docs.sparkSession.sparkContext.broadcast(_counts(docs, k, COUNTERS))
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n long, node binary, prefix array<long>, pri long").fields])
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +80,7 @@ def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
         for batch in batches:
             for row, end, doc, value in _all_shingles(batch.column(1), k):
                 n = np.bincount(doc, minlength=end - row)
-                seen = often[_slot(value, bits)]
+                seen = often[_slot(value, COUNTERS)]
                 order = np.lexsort((value, seen, doc))
                 lead = np.concatenate(([0], np.cumsum(n)[:-1]))
                 place = np.arange(len(value)) - np.repeat(lead, n)
@@ -95,38 +94,45 @@ def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 pri = (np.minimum(centre / np.maximum(n, 1) * 2**17, 2**22 - 1).astype(np.int64) << 40) | tie
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(n.astype(np.int64)), pa.array(node, pa.binary()), hashing.lists(pa.array(kept), most), pa.array(pri)], schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(profile, schema)
+    out = materialise(docs.select("doc_id", "text").mapInArrow(profile, schema), "profiles")
+    counts.destroy()
+    return out
 
 
-def _marked(keys: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A filter of tables whose first column is like that of ``keys``: rows of those keys stay, and few others.
+def _marks(keys: DataFrame) -> np.ndarray:
+    """A bit map of bounded size of the only column of ``keys``."""
+    return np.packbits(sketch(keys.select(_mark(keys.columns[0]).alias("slot")), lambda b: b.column(0).to_numpy(), 1 << MARKS) > 0)
 
-    It reads a bit map of bounded size, so that the other rows are spared the transport to an exact join.
-    """
-    spark = keys.sparkSession
-    bits = min(MOST_WIDTH, max(LEAST_WIDTH, (MARKS * keys.count()).bit_length()))
-    slot = lambda df: F.shiftrightunsigned(F.xxhash64(df.columns[0]), 64 - bits).alias("slot")
-    marks = spark.sparkContext.broadcast(np.packbits(sketch(keys.select(slot(keys)), lambda b: b.column(0).to_numpy(), 1 << bits) > 0))
+
+def _mark(column: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(column), 64 - MARKS)
+
+
+def _hit(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def _marked(rows: DataFrame, marks) -> DataFrame:  # noqa: ANN001
+    """Rows whose first column is marked, and few others, so that the rest is spared the transport to an exact join."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(0).to_numpy()
-            hit = (marks.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-            yield pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:]).filter(pa.array(hit.astype(bool)))
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:]).filter(pa.array(_hit(marks.value, batch.column(0).to_numpy())))
 
-    return lambda df: df.select(slot(df), *df.columns).mapInArrow(keep, df.schema)
+    return rows.select(_mark(rows.columns[0]).alias("slot"), *rows.columns).mapInArrow(keep, rows.schema)
 
 
-def _sets(docs: DataFrame, k: int, reps: DataFrame) -> DataFrame:
-    """(node, shingles) of the documents whose ids are in ``reps``."""
+def _sets(docs: DataFrame, k: int, marks) -> DataFrame:  # noqa: ANN001
+    """(node, shingles) of the documents whose ids are marked, and of few others."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, doc, value in _all_shingles(batch.column(1), k):
+            texts = batch.column(1).filter(pa.array(_hit(marks.value, batch.column(0).to_numpy())))
+            for row, end, doc, value in _all_shingles(texts, k):
                 n = np.bincount(doc, minlength=end - row)
                 yield pa.RecordBatch.from_arrays([pa.array(_nodes(value, doc, end - row), pa.binary()), hashing.lists(pa.array(value.astype(np.int64)), n)], ["node", "shingles"])
 
-    return _marked(reps)(docs.select("doc_id", "text")).mapInArrow(emit, "node binary, shingles array<long>")
+    return docs.select(_mark("doc_id").alias("slot"), "text").mapInArrow(emit, "node binary, shingles array<long>")
 
 
 def _common(pairs: DataFrame, lists: DataFrame, column: str) -> DataFrame:
@@ -145,15 +151,22 @@ def _compare(docs: DataFrame, k: int, percent: int, pairs: DataFrame, node: Data
     If two sets have m values in common, the n - m + SHARE first in any one order share SHARE; that spares most pairs the
     transport of whole sets.
     """
+    spark = docs.sparkSession
     ends = lambda df: df.select(F.col("a").alias("node")).union(df.select("b")).distinct()
+    marks = spark.sparkContext.broadcast(_marks(ends(pairs)))
     # The upper halves of the hashes do for that.
-    brief = _marked(ends(pairs))(node.select("node", F.transform("prefix", lambda x: F.shiftright(x, 32).cast("int")).alias("brief")))
+    brief = _marked(node.select("node", "rep", F.transform("prefix", lambda x: F.shiftright(x, 32).cast("int")).alias("brief")), marks)
     able = _common(pairs, brief, "brief").where(F.col("common") >= F.least(F.lit(SHARE), F.expr(f"({percent} * greatest(na, nb) + 99) div 100")))
     able = materialise(able.drop("common"), "able")
-    wanted = materialise(_marked(ends(able))(node.select("node", "rep")).join(ends(able), "node", "left_semi"), "wanted")
-    sets = _sets(docs, k, wanted.select(F.col("rep").alias("doc_id")))
-    sets = sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    return _common(able, materialise(sets, "sets"), "shingles")
+    wanted = materialise(brief.select("node", "rep").join(ends(able), "node", "left_semi"), "wanted")
+    texts = spark.sparkContext.broadcast(_marks(wanted.select("rep")))
+    sets = _sets(docs, k, texts).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = materialise(sets, "sets")
+    out = materialise(_common(able, sets, "shingles"), "compared")
+    marks.destroy()
+    texts.destroy()
+    discard(able, wanted, sets)
+    return out
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -165,13 +178,18 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     least id of its component, or null if there is none. An empty table gives an empty one.
     """
     docs = docs.select("doc_id", "text")
-    profile = materialise(_profiles(docs, k, percent), "profiles")
+    profile = _profiles(docs, k, percent)
     node = profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("pri").alias("pri"), F.first("prefix").alias("prefix"))
     node = materialise(node, "nodes")
     rarest = F.slice("prefix", 1, F.expr(f"int(n - (n * {percent} + 99) div 100 + 1)"))
-    member = node.select("node", "n", "pri", F.posexplode(rarest).alias("pos", "s"))
-    region = member.groupBy("s").agg(F.count("*").alias("members"), F.max("pri").alias("top")).where("members > 1").select("s", "top")
-    member = materialise(member.join(region, "s"), "regions")
+    # Most shingles are one document's alone, so the rows that find those that aren't are brief: size and place are one
+    # number, and what only the others need comes later.
+    member = node.select("node", F.posexplode(rarest).alias("pos", "s"))
+    shared = member.groupBy("s").agg(F.count("*").alias("members")).where("members > 1").select("s")
+    member = materialise(member.join(shared, "s").join(node.select("node", "n", "pri"), "node"), "shared")
+    top = member.groupBy("s").agg(F.max("pri").alias("top"))
+    member, bare = materialise(member.join(top, "s"), "regions"), member
+    discard(bare)
 
     size = lambda m, n: (100 * F.least(m, n) >= percent * F.greatest(m, n))
     # The first common shingle at places i and j: at most least(m - i, n - j) are common, and i + j others are not.
@@ -179,25 +197,31 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     linked = F.expr(f"100 * common >= {percent} * (na + nb - common)")
 
     pivot = member.where("pri = top").select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    star = member.select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    star = star.join(pivot, "s").where((F.col("a") != F.col("b")) & size("na", "nb") & window("na", "nb", "pa", "pb"))
-    star = materialise(star.select("a", "b", "na", "nb").distinct(), "star")
-    star = materialise(_compare(docs, k, percent, star, node), "star")
+    near = member.select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    near = near.join(pivot, "s").where((F.col("a") != F.col("b")) & size("na", "nb") & window("na", "nb", "pa", "pb"))
+    near = materialise(near.select("a", "b", "na", "nb").distinct(), "near")
+    star = _compare(docs, k, percent, near, node)
+    discard(near)
     label = components(star.where(linked))
 
     # The pivot's region again, each member with its class and its distance to the pivot where it is known.
     far = star.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
-    heads = member.where("pri = top").groupBy("s").agg(F.min("node").alias("pivot"))
-    inside = member.join(label, "node", "left").select("s", "node", "n", "pos", "pri", "top", F.coalesce("label", "node").alias("label"))
-    mixed = inside.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("pri") == F.col("top"), F.col("label"))).alias("main")).where("low <> high").select("s", "main")
-    inside = inside.where("pri < top").join(mixed, "s").join(heads, "s").join(far, ["node", "pivot"], "left")
+    inside = member.join(label, "node", "left").select("s", "node", "n", "pos", (F.col("pri") == F.col("top")).alias("first"), F.coalesce("label", "node").alias("label"))
+    mixed = inside.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("first"), F.col("label"))).alias("main"), F.min(F.when(F.col("first"), F.col("node"))).alias("pivot"))
+    inside = inside.where("not first").join(mixed.where("low <> high").select("s", "main", "pivot"), "s").join(far, ["node", "pivot"], "left")
     inside = materialise(inside.select("s", "node", "n", "pos", "label", "d", (F.col("label") != F.col("main")).alias("out")), "inside")
+    discard(member)
     x = inside.where("out").select("s", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "label", "d")))
     rest = x.join(inside, "s").where((F.col("label_x") != F.col("label")) & (~F.col("out") | (F.col("node_x") < F.col("node"))) & size("n_x", "n") & window("n_x", "n", "pos_x", "pos") & F.expr(f"d_x is null or d is null or abs(d_x - d) <= {(100 - percent) / 100} + 1e-9"))
     rest = rest.select(F.col("node_x").alias("a"), F.col("node").alias("b"), F.col("n_x").alias("na"), F.col("n").alias("nb")).distinct()
-    rest = materialise(_compare(docs, k, percent, materialise(rest, "rest"), node).where(linked), "rest")
-    if not rest.isEmpty():
-        label = components(star.where(linked).unionByName(rest))
+    rest = materialise(rest, "rest")
+    discard(inside)
+    pairs = _compare(docs, k, percent, rest, node).where(linked)
+    discard(rest)
+    if not pairs.isEmpty():
+        discard(label)
+        label = components(star.where(linked).unionByName(pairs))
+    discard(star, pairs)
 
     least = node.join(label, "node").groupBy("label").agg(F.min("rep").alias("component_id"))
     least = node.join(label, "node", "left").join(least, "label", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -65,18 +65,20 @@ def free_name(df: DataFrame, name: str) -> str:
 BLOCK = 1 << 16
 
 
-def sketch(df: DataFrame, slots: Callable[[pa.RecordBatch], np.ndarray], width: int) -> np.ndarray:
+def sketch(df: DataFrame, slots: Callable[[pa.RecordBatch], Iterable[np.ndarray]], width: int) -> np.ndarray:
     """Counters of a one-row count-min sketch over all rows: every task folds its partition into ``width`` counters.
 
     What reaches the driver is the sum, ``width`` numbers whatever the input's size. ``slots`` gives the counter of each
-    item of a batch.
+    item of a batch, some items at a time.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, np.int64)
+        # A task has fewer items than 2**31.
+        total = np.zeros(width, np.int32)
         for batch in batches:
-            total += np.bincount(slots(batch), minlength=width)
-        total = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
+            for part in slots(batch):
+                slot, n = np.unique(part, return_counts=True)
+                total[slot] += n.astype(np.int32)
         step = min(BLOCK, width)
         for k in range(0, width, step):
             part = total[k : k + step]
@@ -96,3 +98,33 @@ def sketch(df: DataFrame, slots: Callable[[pa.RecordBatch], np.ndarray], width:
         part = np.frombuffer(zlib.decompress(row["counts"]), np.int32)
         out[row["at"] : row["at"] + len(part)] = part
     return out
+
+
+def bit_map(df: DataFrame, bits: int) -> np.ndarray:
+    """A map of 2**bits bits, packed into bytes: those that the only column of ``df`` numbers are set.
+
+    Tasks and then groups of them fold theirs into one, so that what reaches the driver is the map alone.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, bool)
+        for batch in batches:
+            seen[batch.column(0).to_numpy()] = True
+        packed = np.packbits(seen)
+        step = min(BLOCK, len(packed))
+        for k in range(0, len(packed), step):
+            part = packed[k : k + step]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["at", "bits"])
+
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        both = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in group["bits"]])
+        return pd.DataFrame({"at": [group["at"].iloc[0]], "bits": [zlib.compress(both.tobytes(), 1)]})
+
+    parts = df.mapInArrow(fold, "at int, bits binary").withColumn("lot", F.spark_partition_id())
+    some = parts.groupBy("at", F.expr("lot div 64")).applyInPandas(lambda g: join(g), "at int, bits binary")
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for row in some.groupBy("at").applyInPandas(join, "at int, bits binary").collect():
+        part = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+        out[row["at"] : row["at"] + len(part)] = part
+    return out

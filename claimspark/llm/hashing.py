@@ -19,7 +19,7 @@ IS_SPACE[[32, *range(9, 14)]] = True
 BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes handled at once; a longer document is a slice of its own.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimspark.llm import hashing
-from claimspark.llm.common import discard, free_name, materialise, sketch
+from claimspark.llm.common import bit_map, discard, free_name, materialise, sketch
 from claimspark.llm.graph import components
 
 #: Counters of the shingle sketch, a power of two, 4 bytes each: what tells common shingles from rare ones. Their number
@@ -64,8 +64,8 @@ def _nodes(value: np.ndarray, doc: np.ndarray, n: int) -> list[bytes]:
 
 
 def _counts(docs: DataFrame, k: int, bits: int) -> np.ndarray:
-    def slots(batch: pa.RecordBatch) -> np.ndarray:
-        return np.concatenate([_slot(v, bits) for *_, v in _all_shingles(batch.column(0), k)] or [np.zeros(0, np.int64)])
+    def slots(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        return (_slot(v, bits) for *_, v in _all_shingles(batch.column(0), k))
 
     return sketch(docs.select("text"), slots, 1 << bits)
 
@@ -101,7 +101,7 @@ def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 def _marks(keys: DataFrame) -> np.ndarray:
     """A bit map of bounded size of the only column of ``keys``."""
-    return np.packbits(sketch(keys.select(_mark(keys.columns[0]).alias("slot")), lambda b: b.column(0).to_numpy(), 1 << MARKS) > 0)
+    return bit_map(keys.select(_mark(keys.columns[0]).alias("slot")), MARKS)
 
 
 def _mark(column: str) -> Column:

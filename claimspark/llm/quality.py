@@ -23,9 +23,9 @@ FILTERS, WIDTH = 16, 5
 #: A chunk is PARTS blocks of BLOCK bytes; the next begins STEP blocks later.
 BLOCK, PARTS, STEP = 64, 8, 4
 CHUNK = BLOCK * PARTS
-#: The fit uses about so many labelled rows (by a hash of the id), and of each at most so many chunks, spread evenly over
-#: the whole text. The bounds keep the fit's memory the same at any size of the corpus; scores use whole texts.
-SAMPLE_ROWS, SAMPLE_CHUNKS = 3000, 16
+#: The fit uses about so many labelled rows (by a hash of the id), whole, of those whose texts have at most so many bytes. The
+#: bounds keep the fit's memory the same at any size of the corpus; scores are of all texts, whole.
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 1 << 15
 STEPS, BATCH, RATE = 300, 64, 0.01
 THRESHOLD = 0.7
 #: Blocks filtered at once: what that takes fits into a cache, however long a text is.
@@ -111,7 +111,7 @@ def fit(chunks: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Net:
     n = CHUNK - WIDTH + 1
     for step in range(1, STEPS + 1):
         pick = rng.integers(0, len(labels), BATCH)
-        parts = [chunks[i][:SAMPLE_CHUNKS] for i in pick]
+        parts = [chunks[i] for i in pick]
         count = np.array([len(p) for p in parts])
         first = np.concatenate(([0], np.cumsum(count)[:-1]))
         data, doc = np.concatenate(parts), np.repeat(np.arange(BATCH), count)
@@ -139,36 +139,39 @@ def fit(chunks: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Net:
 
 
 def cut(text: bytes) -> np.ndarray:
-    """Chunks of a text (n x CHUNK), SAMPLE_CHUNKS at most, evenly spread; the last is filled up with zeros."""
+    """All chunks of a text (n x CHUNK); the last is filled up with zeros."""
     data = np.frombuffer(text, np.uint8)
     n = max(1, -(-(len(data) + WIDTH - CHUNK) // (STEP * BLOCK)) + 1)
-    picks = np.unique(np.linspace(0, n - 1, min(n, SAMPLE_CHUNKS)).astype(int))
-    out = np.zeros((len(picks), CHUNK), np.uint8)
-    for row, k in enumerate(picks):
+    out = np.zeros((n, CHUNK), np.uint8)
+    for k in range(n):
         part = data[k * STEP * BLOCK :][:CHUNK]
-        out[row, : len(part)] = part
+        out[k, : len(part)] = part
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Net:
-    """Fit on a bounded sample of the labelled rows that are not held out."""
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", F.col("quality").cast("int").alias("quality"))
+def train(docs: DataFrame, labels: DataFrame) -> Net | None:
+    """Fit on a bounded sample of the labelled rows that are not held out; None if there are none.
+
+    An id with both labels is left out; of an id's several texts the least counts.
+    """
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").alias("_most"))
+    known = known.where("quality = _most").drop("_most")
     rows = max(1, known.count())
     share = min(1.0, SAMPLE_ROWS / rows)
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-
-    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            chunks = [cut((x.as_py() or "").encode()).tobytes() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chunks, pa.binary())], ["doc_id", "quality", "chunks"])
-
-    sample = docs.select("doc_id", "text").join(known.hint("broadcast") if share < 1 or rows <= SAMPLE_ROWS else known, "doc_id").select("doc_id", "quality", "text")
-    found = sorted(map(tuple, sample.mapInArrow(chunked, T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("quality int, chunks binary").fields])).collect()))
-    return fit([np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for *_, c in found], np.array([q for _, q, _ in found], np.float32))
-
-
-def scored(docs: DataFrame, net: Net, column: str = "score") -> DataFrame:
-    """``docs`` with the double ``column``: the probability of each text, empty and null ones too."""
+    # What is broadcast has about SAMPLE_ROWS rows.
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(known), "doc_id")
+    sample = sample.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    found = sorted((r["doc_id"], r["quality"], r["text"]) for r in sample.collect())
+    if not found:
+        return None
+    return fit([cut(text.encode()) for *_, text in found], np.array([q for _, q, _ in found], np.float32))
+
+
+def scored(docs: DataFrame, net: Net | None, column: str = "score") -> DataFrame:
+    """``docs`` with the double ``column``: the probability of each text, empty and null ones too; 0.5 without a network."""
+    if net is None:
+        return docs.withColumn(column, F.lit(0.5))
     model = docs.sparkSession.sparkContext.broadcast(net)
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
     place = docs.columns.index("text")
@@ -185,14 +188,21 @@ def scored(docs: DataFrame, net: Net, column: str = "score") -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of ``docs`` (doc_id, text; further columns are ignored).
 
-    ``labels`` (doc_id, quality): rows of null id or of a quality other than 0 and 1 are left out; without any labelled
-    row every score is 0.5. Null and empty texts are scored as empty. An empty table gives an empty one.
+    ``labels`` (doc_id, quality): rows of null id or of a quality other than 0 and 1 are left out, and ids with both; without any
+    labelled row every score is 0.5. Null and empty texts are scored as empty. An empty table gives an empty one.
     """
     out = scored(docs.select("doc_id", "text"), train(docs, labels)).drop("text")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject, with their columns."""
+    """The rows of ``docs`` (doc_id, text and any others) that the classifier doesn't reject, with their columns.
+
+    Without any usable label nothing can be rejected, so all rows stay. Null and empty texts are scored as empty; rows count one by
+    one, repeated ones too, and null ids don't matter. An empty table gives an empty one.
+    """
+    net = train(docs, labels)
+    if net is None:
+        return docs
     score = free_name(docs, "score")
-    return scored(docs, train(docs, labels), score).where(F.col(score) >= THRESHOLD).select(docs.columns)
+    return scored(docs, net, score).where(F.col(score) >= THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import materialise
+from claimspark.llm.common import discard, materialise
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -149,7 +149,14 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """The rows of ``docs``, all columns, as often as the mix takes them."""
-    full = keyed(docs, seed)
-    out = _decided(full, decisions(materialise(full.select("source", "_size", "_key", "_tie"), "keys")))
-    return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    """The rows of ``docs`` (doc_id, source, text and any others), all columns, as often as the mix takes them.
+
+    Whole rows travel as one column, so that no name of theirs clashes. Null ids, sources and texts count as in :func:`mix`: a
+    text without words comes as often as its source's complete epochs. Equal rows are taken alike; an empty table gives an empty one.
+    """
+    rows = docs.select("doc_id", "source", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    full = keyed(rows, seed).select("source", "_size", "_key", "_tie", "_row")
+    taken = materialise(full.drop("_row"), "keys")
+    out = _decided(full, decisions(taken))
+    discard(taken)
+    return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")

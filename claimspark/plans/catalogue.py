@@ -1,35 +1,28 @@
-"""Registered queries of the reconciliation operators on the driver's tables, with their SQL."""
+"""Registered queries of the reconciliation operators on the driver's tables, with their SQL; further ones are in the modules named at the end."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimspark.functions import text, times
 from claimspark.operators import assess, claims, reconcile
+from claimspark.plans.registry import ORACLES, QUERIES, load, pick, query
+from claimspark.sources.shared import kept
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 ORDERS_KEY = ["o_orderkey"]
 RUN_DATE = "DATE '1998-01-01'"
 STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+def _named(name: str, f):  # noqa: ANN001, ANN202
+    """The same query under another name."""
 
+    def same(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(spark, sf_dir)
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    same.__name__ = name
+    return same
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -47,12 +40,12 @@ def diff(spark: SparkSession, sf_dir: str, complete: bool = True) -> DataFrame:
     return reconcile.snapshot_diff(before, after, F.to_date(F.lit("1998-01-01")), complete)
 
 
-def diff_sql(gone: str = "withdrawn") -> str:
+def diff_sql(gone: str = f"CASE WHEN b.d < {RUN_DATE} THEN 'pastDropped' ELSE 'withdrawn' END") -> str:
     print_ = "sha256(concat('date=', o_orderdate::DATE::VARCHAR, chr(31), 'priority=', o_orderpriority, chr(31), 'status=', {s}, chr(31)))"
     late = "CASE WHEN o_orderkey % 5 = 1 THEN 'X' ELSE o_orderstatus END"
     return f"""b AS (SELECT o_orderkey AS key, min({print_.format(s='o_orderstatus')}) AS p, arg_min(o_orderdate::DATE, {print_.format(s='o_orderstatus')}) AS d FROM orders WHERE o_orderkey % 10 <> 0 GROUP BY 1),
         a AS (SELECT o_orderkey AS key, min({print_.format(s=late)}) AS p, arg_min(o_orderdate::DATE, {print_.format(s=late)}) AS d FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1),
-        diff AS (SELECT coalesce(a.key, b.key) AS key, coalesce(a.d, b.d) AS date, CASE WHEN b.key IS NULL THEN 'added' WHEN a.key IS NULL THEN CASE WHEN b.d < {RUN_DATE} THEN 'pastDropped' ELSE '{gone}' END WHEN a.p = b.p THEN 'unchanged' ELSE 'updated' END AS action FROM b FULL JOIN a ON a.key = b.key)"""
+        diff AS (SELECT coalesce(a.key, b.key) AS key, coalesce(a.d, b.d) AS date, CASE WHEN b.key IS NULL THEN 'added' WHEN a.key IS NULL THEN {gone} WHEN a.p = b.p THEN 'unchanged' ELSE 'updated' END AS action FROM b FULL JOIN a ON a.key = b.key)"""
 
 
 @query(f"WITH {diff_sql()} SELECT key, action, date FROM diff")
@@ -65,7 +58,7 @@ def snapshot_diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff(spark, sf_dir).groupBy("action").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
-@query(f"WITH {diff_sql('ignoredAbsence')} SELECT key, action, date FROM diff")
+@query(f"WITH {diff_sql("'ignoredAbsence'")} SELECT key, action, date FROM diff")
 def snapshot_diff_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff(spark, sf_dir, complete=False)
 
@@ -118,21 +111,17 @@ PREDICATES = ["hasName", "hasAddress", "occursOn", "supersedes"]
 _CLASS = f"([{', '.join(map(repr, CLASSES))}])[1 + user_id % 7]"
 _PREDICATE = f"([{', '.join(map(repr, PREDICATES))}])[1 + event_id % 4]"
 _SCORE = f"CASE {' '.join(f'WHEN p IN ({chr(44).join(map(repr, g))}) AND a = {a!r} THEN {s}' for g, over in (claims.ARTIST, claims.VENUE, claims.EVENT) for a, s in over.items())} {' '.join(f'WHEN a = {a!r} THEN {s}' for a, s in claims.BASE_SCORE.items())} END"
-STRONGEST = f"""strong AS (SELECT event_id AS claim_id, subject, p AS predicate, a AS authority, {_SCORE} AS score FROM (SELECT event_id, user_id % 50 AS subject, {_PREDICATE} AS p, {_CLASS} AS a FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAYS)
+STRONGEST = f"""strong AS (SELECT event_id AS claim_id, subject, p AS predicate, a AS authority, {_SCORE} AS score FROM (SELECT event_id, user_id % 50 AS subject, {_PREDICATE} AS p, {_CLASS} AS a FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAYS)
     QUALIFY row_number() OVER (PARTITION BY subject, p ORDER BY score DESC, event_id) = 1)"""
 
 
-def pick(values: list[str], at: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
-
-
 def supported(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events")
-    last = events.agg(F.max("ts").alias("last"))
-    recent = events.join(F.broadcast(last), F.col("ts") >= F.col("last") - F.expr("INTERVAL 10 DAYS"))
-    made = recent.select(F.col("event_id").alias("claim_id"), (F.col("user_id") % 50).alias("subject"), pick(PREDICATES, F.col("event_id") % 4).alias("predicate"), F.col("user_id").alias("source"))
+    # One number.
+    last = events.agg(F.max("ts")).first()[0]
+    made = events.select(F.col("event_id").alias("claim_id"), (F.col("user_id") % 50).alias("subject"), pick(PREDICATES, F.col("event_id") % 4).alias("predicate"), F.col("user_id").alias("source"), F.col("ts").cast("string").alias("observed_at"), F.lit("active").alias("status"), F.lit(None).cast("long").alias("proposed_claim_id"))
     sources = events.select(F.col("user_id").alias("source"), pick(CLASSES, F.col("user_id") % 7).alias("authority")).distinct()
-    return claims.strongest(claims.with_authority(made, sources, claims.authority_scores(spark)), ["subject", "predicate"])
+    return claims.strongest(claims.with_authority(made, sources, claims.authority_scores(spark)), ["subject", "predicate"], F.lit(last))
 
 
 @query(f"WITH {STRONGEST} SELECT claim_id, subject, predicate, authority, score FROM strong")
@@ -140,10 +129,13 @@ def strongest_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supported(spark, sf_dir).select("claim_id", "subject", "predicate", "authority", "score")
 
 
-@query(f"""WITH {STRONGEST} SELECT claim_id, CASE WHEN subject % 11 = 0 AND authority NOT IN ('owner', 'artist-owned') THEN 'owner-managed'
-    WHEN subject % 5 = 0 AND claim_id % 2 <> 0 AND score >= 60 THEN 'tombstone' WHEN claim_id % 2 = 0 AND score > 60 THEN 'stronger-support' ELSE 'allow' END AS decision FROM strong""")
+@query(f"""WITH {STRONGEST}, p AS (SELECT *, claim_id % 2 = 0 AS destructive, claim_id % 3 = 0 AS mutation FROM strong)
+    SELECT claim_id, CASE WHEN subject % 11 = 0 AND (mutation OR destructive) AND authority NOT IN ('owner', 'artist-owned') THEN 'owner-managed'
+    WHEN subject % 5 = 0 AND NOT destructive AND authority NOT IN ('owner', 'artist-owned', 'venue-owned') THEN 'tombstone' WHEN destructive AND score > 60 THEN 'stronger-support' ELSE 'allow' END AS decision FROM p""")
 def authority_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = supported(spark, sf_dir).select("claim_id", "authority", F.lit(60).alias("proposed"), F.col("score").alias("support"), (F.col("claim_id") % 2 == 0).alias("destructive"), (F.col("subject") % 11 == 0).alias("owner_managed"), (F.col("subject") % 5 == 0).alias("tombstoned"))
+    claim, subject = F.col("claim_id"), F.col("subject")
+    flags = ((claim % 2 == 0).alias("destructive"), (claim % 3 == 0).alias("mutation"), (subject % 11 == 0).alias("owner_managed"), (subject % 5 == 0).alias("tombstoned"))
+    p = supported(spark, sf_dir).select("claim_id", "authority", F.lit(60).alias("proposed"), F.col("score").alias("support"), *flags)
     return claims.decide(p).select("claim_id", "decision")
 
 
@@ -190,14 +182,21 @@ def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess.precision_recall(docs.where("n_chars > 1500").select("lang", "doc_id"), docs.join(good, "doc_id", "left_semi").select("lang", "doc_id"), ["lang"])
 
 
-@query("""WITH e AS (SELECT c_custkey AS key, unnest([{'f': '_present', 'v': 'yes'}, {'f': 'name', 'v': c_name}, {'f': 'nation', 'v': c_nationkey::VARCHAR}, {'f': 'segment', 'v': c_mktsegment}]) AS x FROM customer WHERE c_custkey % 13 <> 0),
-    a AS (SELECT c_custkey AS key, unnest([{'f': '_present', 'v': 'yes'}, {'f': 'name', 'v': CASE WHEN c_custkey % 7 = 0 THEN upper(c_name) || '!' ELSE c_name END}, {'f': 'nation', 'v': (c_nationkey + (c_custkey % 11 = 0)::INT)::VARCHAR}, {'f': 'segment', 'v': CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END}]) AS x FROM customer WHERE c_custkey % 17 <> 0),
-    b AS (SELECT coalesce(e.key, a.key) AS key, coalesce(e.x.f, a.x.f) AS field, e.x.v AS expected, a.x.v AS actual FROM (FROM e WHERE x.v IS NOT NULL) e FULL JOIN (FROM a WHERE x.v IS NOT NULL) a ON e.key = a.key AND e.x.f = a.x.f)
-    SELECT *, CASE WHEN field = 'segment' THEN 'EXPECTED_RULE_CHANGE' WHEN field = '_present' THEN 'INPUT_DIFFERENCE' WHEN field = 'name' THEN 'IDENTITY_DIFFERENCE' ELSE 'PROJECTION_DIFFERENCE' END AS classification, field <> 'segment' AS material FROM b WHERE expected IS DISTINCT FROM actual""")
+@query("""WITH e AS (SELECT c_custkey AS key, c_name AS name, c_nationkey::VARCHAR AS nation, c_mktsegment AS segment FROM customer WHERE c_custkey % 13 <> 0),
+    a AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 7 = 0 THEN upper(c_name) || '!' ELSE c_name END AS name, (c_nationkey + (c_custkey % 11 = 0)::INT)::VARCHAR AS nation, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS segment FROM customer WHERE c_custkey % 17 <> 0),
+    alone AS (SELECT 'events.' || coalesce(e.key, a.key) AS path, 'PROJECTION_DIFFERENCE' AS classification, e.key IS NULL AS added FROM e FULL JOIN a ON e.key = a.key WHERE e.key IS NULL OR a.key IS NULL),
+    fields AS (SELECT e.key, unnest([{'f': 'name', 'e': e.name, 'a': a.name, 'c': 'IDENTITY_DIFFERENCE'}, {'f': 'nation', 'e': e.nation, 'a': a.nation, 'c': 'PROJECTION_DIFFERENCE'}, {'f': 'segment', 'e': e.segment, 'a': a.segment, 'c': 'PROJECTION_DIFFERENCE'}]) AS x FROM e JOIN a ON e.key = a.key),
+    d AS (SELECT path, classification, CASE WHEN added THEN NULL ELSE 'event' END AS expected, CASE WHEN added THEN 'event' END AS actual FROM alone UNION ALL SELECT 'events.' || key || '.' || x.f, x.c, x.e, x.a FROM fields WHERE x.e IS DISTINCT FROM x.a)
+    SELECT path, expected, actual, CASE WHEN ok THEN 'EXPECTED_RULE_CHANGE' ELSE classification END AS classification, NOT ok AS material
+    FROM (SELECT *, path LIKE 'events.%.segment' AND string_split(path, '.')[2]::INT % 10 = 0 AS ok FROM d)""")
 def parity_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("key")
     base = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
-    other = base.where("key % 17 <> 0").select("key", F.when(F.col("key") % 7 == 0, F.concat(F.upper("name"), F.lit("!"))).otherwise(F.col("name")).alias("name"), (F.col("nation") + (F.col("key") % 11 == 0).cast("int")).alias("nation"), F.when(F.col("key") % 5 != 0, F.col("segment")).alias("segment"))
-    return assess.parity(base.where("key % 13 <> 0"), other, "key", ["name"], ["nation"], ["segment"])
+    other = base.where("key % 17 <> 0").select("key", F.when(key % 7 == 0, F.concat(F.upper("name"), F.lit("!"))).otherwise(F.col("name")).alias("name"), (F.col("nation") + (key % 11 == 0).cast("int")).alias("nation"), F.when(key % 5 != 0, F.col("segment")).alias("segment"))
+    allowed = base.where("key % 10 = 0").select(F.concat(F.lit("events."), key.cast("string"), F.lit(".segment")).alias("path"))
+    out = assess.parity(base.where("key % 13 <> 0"), other, "key", ["name"], allowed)
+    whole = lambda c: F.when(F.startswith(c, F.lit("{")), "event").otherwise(F.col(c)).alias(c)
+    return out.select("path", whole("expected"), whole("actual"), "classification", "material")
 
 
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_quantity, l_returnflag) = 1)
@@ -213,16 +212,17 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", text.canonical_url(F.col("url")).alias("url"))
 
 
-@query(r"SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1) <> '' THEN 'web_url' ELSE 'unknown' END AS kind FROM pages) GROUP BY kind")
-def url_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "pages").groupBy(text.target_kind(F.col("url")).alias("kind")).agg(F.count("*").alias("n"))
+LINKS = (
+    "https://www.facebook.com/room/events/{}", "HTTPS://m.facebook.com/events/{}?ref=1", "https://facebook.com/share/{}/", "https://facebook.com/room{}", "https://fb.me/e/{}", "https://fb.me/x{}",
+    "http://www.instagram.com/p/{}", "ftp://example.org/{}", "{}", "", "https://example.org:8080/events/{}", "https://notfacebook.com/events/{}",
+)
+LINK_KINDS = "facebook_event facebook_event facebook_share facebook_url facebook_event_short generic_url instagram_url unknown unknown unknown generic_url generic_url".split()
 
 
-@query(r"""WITH p AS (SELECT page_id AS id, regexp_extract(lower(url), '^[a-z]+://([^/?#]+)', 1) AS identity FROM pages)
-    SELECT id, identity, CASE WHEN row_number() OVER w > 1 THEN first_value(id) OVER w END AS duplicate_of FROM p WINDOW w AS (PARTITION BY identity ORDER BY id DESC)""")
-def capture_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = load(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
-    return assess.capture_dedupe(pages, F.regexp_extract(F.lower("url"), "^[a-z]+://([^/?#]+)", 1), F.col("id")).drop("url")
+@query(f"SELECT page_id, ([{', '.join(map(repr, LINK_KINDS))}])[1 + page_id % {len(LINKS)}] AS kind FROM pages")
+def url_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    link = F.replace(pick(LINKS, F.col("page_id") % len(LINKS)), F.lit("{}"), F.col("page_id").cast("string"))
+    return load(spark, sf_dir, "pages").select("page_id", text.target_kind(link).alias("kind"))
 
 
 @query(r"""WITH u AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
@@ -230,11 +230,14 @@ def capture_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     p AS (SELECT page_id AS id, nullif(regexp_replace(split_part(u, '?', 1), '/$', '') || CASE WHEN len(k) > 0 THEN '?' || array_to_string(k, '&') ELSE '' END, '') AS identity FROM k)
     SELECT id, identity, CASE WHEN identity IS NOT NULL AND row_number() OVER w > 1 THEN first_value(id) OVER w END AS duplicate_of FROM p WINDOW w AS (PARTITION BY identity ORDER BY id DESC)""".replace("TRACKING", ", ".join(map(repr, text.TRACKING))))
 def capture_dedupe_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reference's identity: the canonical url. capture_dedupe, whose SQL names the host, tells hosts apart only."""
+    """Captures of one canonical url: the newest is kept, the others point to it."""
     pages = load(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
     return assess.capture_dedupe(pages, F.nullif(text.canonical_url(F.col("url")), F.lit("")), F.col("id")).drop("url")
 
 
+query(ORACLES["capture_dedupe_url"])(_named("capture_dedupe", capture_dedupe_url))
+
+
 @query(r"SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS key, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9\s-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part")
 def slug_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_partkey", text.match_key(F.col("p_name")).alias("key"), text.slug(F.col("p_name")).alias("slug"))
@@ -278,18 +281,16 @@ def exact_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS s, 'n' || n_nationkey AS d FROM nation UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders),
-    r AS (SELECT DISTINCT 'r' || r_regionkey AS node, 0 AS depth FROM region WHERE r_regionkey < 2 UNION SELECT d, depth + 1 FROM r JOIN e ON node = s WHERE depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY node""")
+    r AS (SELECT DISTINCT 'r' || r_regionkey AS node, 0 AS depth FROM region UNION SELECT d, depth + 1 FROM r JOIN e ON node = s WHERE depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY node""")
 def graph_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     edge = lambda name, a, b: load(spark, sf_dir, name).select(F.concat(F.lit(a[0]), F.col(a[1]).cast("string")).alias("src"), F.concat(F.lit(b[0]), F.col(b[1]).cast("string")).alias("dst"))
     edges = edge("nation", ("r", "n_regionkey"), ("n", "n_nationkey")).union(edge("customer", ("n", "c_nationkey"), ("c", "c_custkey"))).union(edge("orders", ("c", "o_custkey"), ("o", "o_orderkey"))).distinct()
-    start = load(spark, sf_dir, "region").where("r_regionkey < 2").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"))
-    return assess.expand(start, edges, 3)
+    start = load(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"))
+    return assess.expand(start, kept(edges, "edges"), 3, lambda df: kept(df, "reached"))
 
 
 @query("SELECT event_id, user_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 20")
 def topk_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("ts").desc(), "event_id"))
     return load(spark, sf_dir, "events").select("event_id", "user_id", "ts").withColumn("_n", n).where("_n <= 20").drop("_n")
 
@@ -306,3 +307,7 @@ def gap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "n_chars").join(known, "doc_id", "left")
     short, bare = F.col("n_chars") < 200, F.col("known").isNull()
     return docs.agg(F.count("*").alias("n"), F.count_if(bare).alias("unlabelled"), F.count_if(short).alias("short_text"), F.count_if(short & bare).alias("both_gaps"))
+
+
+# These register their queries beside the ones above.
+from claimspark.plans import enrich_queries, projection_queries, source_queries  # noqa: E402, F401

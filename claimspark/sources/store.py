@@ -1,20 +1,32 @@
-"""Keyed tables as folders of Parquet versions: write-once puts and upserts by joins.
+"""Keyed tables as folders of Parquet versions: write-once puts, upserts and compare-and-swap by joins.
 
-Each write makes a new version folder and then names it in the table's CURRENT file; readers use the version that was
-named when they opened it. There is one writer at a time (a job or a micro-batch).
+A table is a run of parts, split by a hash of the key. A write makes new files for the parts that it changes only, and a new version
+names the files of all parts; readers use the version that was there when they opened it. Versions are numbered, and a number's
+file is created only if it isn't there, so of two writers one fails. Files of versions before the last few are removed.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimspark.operators.reconcile import best_per_key
+
+#: Parts of a table, and versions that stay readable.
+PARTS, VERSIONS = 16, 3
+
+
+class Conflict(RuntimeError):
+    """Another writer made this version."""
+
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, parts: int = PARTS) -> None:
+        self.spark, self.root, self.parts = spark, root.rstrip("/"), parts
 
     def _path(self, *parts: str):  # noqa: ANN202
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
@@ -22,46 +34,107 @@ class Store:
     def _files(self):  # noqa: ANN202
         return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _current(self, name: str) -> str | None:
+    def _versions(self, name: str) -> list[str]:
         files, marks = self._files(), self._path(name, "versions")
-        if not files.exists(marks):
-            return None
-        found = sorted(s.getPath().getName() for s in files.listStatus(marks))
-        return found[-1] if found else None
+        return sorted(s.getPath().getName() for s in files.listStatus(marks)) if files.exists(marks) else []
+
+    def _state(self, name: str) -> tuple[int, dict[str, str]]:
+        """The last version's number, and the folder of each part that has rows."""
+        found = self._versions(name)
+        if not found:
+            return -1, {}
+        stream = self._files().open(self._path(name, "versions", found[-1]))
+        try:
+            text = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        return int(found[-1]), json.loads(text)
+
+    def _part(self, keys: list[str]) -> Column:
+        return F.pmod(F.xxhash64(*keys), F.lit(self.parts)).cast("int")
 
     def read(self, name: str, schema: str) -> DataFrame:
         """The table's current rows; none if it was never written."""
-        version = self._current(name)
-        if version is None:
+        _, parts = self._state(name)
+        if not parts:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{version.split('-', 1)[1]}")
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{name}/{folder}" for folder in sorted(set(parts.values()))))
 
-    def write(self, name: str, rows: DataFrame) -> None:
-        """A new version, named only when all of it is there."""
-        last = self._current(name)
-        number, data = int(last.split("-", 1)[0]) + 1 if last else 0, uuid.uuid4().hex
-        rows.write.parquet(f"{self.root}/{name}/{data}")
-        self._files().create(self._path(name, "versions", f"{number:012d}-{data}"), False).close()
+    def _commit(self, name: str, number: int, parts: dict[str, str]) -> None:
+        """Name a version; an error if another writer has."""
+        files, path = self._files(), self._path(name, "versions", f"{number:012d}")
+        try:
+            stream = files.create(path, False)
+        except Exception as error:
+            raise Conflict(f"{name}: version {number} is another writer's") from error
+        stream.write(bytearray(json.dumps(parts).encode()))
+        stream.close()
+        self._forget(name)
+
+    def _forget(self, name: str) -> None:
+        """Remove versions but the last few, and the folders that none of these names."""
+        files, found = self._files(), self._versions(name)
+        used = set()
+        for version in found[-VERSIONS:]:
+            stream = files.open(self._path(name, "versions", version))
+            used |= set(json.loads(bytes(stream.readAllBytes()).decode()).values())
+            stream.close()
+        for version in found[:-VERSIONS]:
+            files.delete(self._path(name, "versions", version), False)
+        if len(found) > VERSIONS:
+            for status in files.listStatus(self._path(name)):
+                run = status.getPath().getName()
+                if run != "versions" and not any(folder.startswith(f"{run}/") for folder in used):
+                    files.delete(status.getPath(), True)
+
+    def change(self, name: str, keys: list[str], schema: str, touched: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Replace the parts that hold keys of ``touched`` by what ``change`` makes of their rows."""
+        number, parts = self._state(name)
+        hit = {str(r[0]) for r in touched.select(self._part(keys).alias("p")).distinct().collect()}  # numbers below ``parts``
+        if not hit:
+            return
+        folders = sorted({parts[p] for p in hit if p in parts})
+        now = self.spark.read.schema(schema).parquet(*(f"{self.root}/{name}/{f}" for f in folders)) if folders else self.spark.createDataFrame([], schema)
+        run = uuid.uuid4().hex
+        rows = change(now).select(*now.columns).withColumn("_part", self._part(keys))
+        rows.write.partitionBy("_part").parquet(f"{self.root}/{name}/{run}")
+        made = self._files()
+        for p in hit:
+            folder = f"{run}/_part={p}"
+            parts.pop(p, None)
+            if made.exists(self._path(name, folder)):
+                parts[p] = folder
+        self._commit(name, number + 1, parts)
 
     def put_once(self, name: str, rows: DataFrame, keys: list[str], schema: str, strict: bool = False) -> DataFrame:
-        """Add rows of new keys; the rows whose keys are taken are returned, or an error if ``strict``."""
-        now = self.read(name, schema)
-        rows = rows.dropDuplicates(keys)
-        taken = rows.join(now.select(*keys), keys, "left_semi")
-        if strict and not taken.isEmpty():
+        """Add rows of new keys; the rows whose keys are taken are returned, or an error if ``strict``.
+
+        Of rows that share a new key the least is put.
+        """
+        rows = best_per_key(rows, keys, F.struct(F.lit(0)), F.struct(*(F.col(c) for c in rows.columns)))
+        before = self.read(name, schema).select(*keys)
+        taken = rows.join(before, keys, "left_semi")
+        found = [tuple(r) for r in taken.select(*keys).limit(1).collect()]
+        if strict and found:
             raise ValueError(f"{name}: keys exist already")
-        self.write(name, now.unionByName(rows.join(now.select(*keys), keys, "left_anti").select(now.columns)))
+        new = rows.join(before, keys, "left_anti")
+        self.change(name, keys, schema, new, lambda now: now.unionByName(rows.select(now.columns).join(now.select(*keys), keys, "left_anti")))
+        # Read from the version before this one, which stays readable.
         return taken
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str], schema: str) -> None:
         """Replace rows of equal keys, add the others."""
-        now = self.read(name, schema)
-        self.write(name, now.join(rows.select(*keys), keys, "left_anti").unionByName(rows.select(now.columns)))
+        self.change(name, keys, schema, rows, lambda now: now.join(rows.select(*keys), keys, "left_anti").unionByName(rows.select(now.columns)))
 
     def swap(self, name: str, rows: DataFrame, key: str, column: str, schema: str) -> DataFrame:
         """Set ``column`` where it still is as expected (key, expected, new); (key, outcome): swapped or stale."""
-        now = self.read(name, schema)
-        hit = now.join(rows, key, "left").withColumn("_hit", F.coalesce(F.col(column).eqNullSafe(F.col("expected")) & F.col("new").isNotNull(), F.lit(False)))
-        outcome = rows.join(hit.select(key, "_hit"), key, "left").select(key, F.when(F.col("_hit"), "swapped").otherwise("stale").alias("outcome"))
-        self.write(name, hit.withColumn(column, F.when(F.col("_hit"), F.col("new")).otherwise(F.col(column))).select(now.columns))
-        return outcome
+        won = F.coalesce(F.col(column).eqNullSafe(F.col("expected")) & F.col("new").isNotNull(), F.lit(False))
+        seen = self.read(name, schema).join(rows, key).select(key, won.alias("_hit"))
+        outcome = [tuple(r) for r in rows.select(key).join(seen, key, "left").select(key, F.when(F.col("_hit"), "swapped").otherwise("stale").alias("outcome")).collect()]
+
+        def moved(now: DataFrame) -> DataFrame:
+            hit = now.join(rows, key, "left").withColumn(column, F.when(won, F.col("new")).otherwise(F.col(column)))
+            return hit.select(now.columns)
+
+        self.change(name, [key], schema, rows, moved)
+        return self.spark.createDataFrame(outcome, rows.select(key).schema.add("outcome", "string"))

@@ -8,26 +8,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from claimspark.operators.reconcile import first_per_key, pending
+from claimspark.operators.reconcile import best_per_key, pending
+from claimspark.operators.runs import run_state
+from claimspark.sources.shared import kept
 from claimspark.sources.store import Store
 
 LEDGER = "idempotency_key string, status string, attempts long"
+STATE = (
+    "source_id string, last_observation string, last_complete_observation string, last_normalised string, last_complete_normalised string, last_run_at string, last_success_at string, "
+    "last_failure_at string, consecutive_failures long"
+)
 
 
 def consume(stream: DataFrame, store: Store, work: Callable[[DataFrame], DataFrame], checkpoint: str, table: str = "ledger", most: int = 3) -> StreamingQuery:
     """Run ``work`` on each micro-batch's items that aren't done: it returns (idempotency_key, status, ...).
 
-    An item appears once a batch, however often it was sent. The outcome goes into the ledger by upsert, so a batch that is
-    run again finds its own results; after ``most`` attempts a failed item is dead and no longer tried.
+    An item appears once a batch, however often it was sent: the least of its rows. ``work`` is evaluated once a batch. The outcome goes
+    into the ledger by upsert, so a batch that is run again finds its own results; after ``most`` attempts a failed item is
+    dead and no longer tried.
     """
 
     def batch(items: DataFrame, _: int) -> None:
         ledger = store.read(table, LEDGER)
-        todo = pending(first_per_key(items, ["idempotency_key"], F.col("idempotency_key")), ledger)
+        todo = pending(best_per_key(items, ["idempotency_key"], F.struct(F.lit(0)), F.struct(*map(F.col, items.columns))), ledger)
         todo = todo.join(ledger.where("status = 'dead'"), "idempotency_key", "left_anti")
-        done = work(todo).select("idempotency_key", "status").join(ledger.select("idempotency_key", "attempts"), "idempotency_key", "left")
-        done = done.withColumn("attempts", F.coalesce("attempts", F.lit(0)) + 1)
+        done = kept(work(todo).select("idempotency_key", "status"), "ledger")
+        done = done.join(ledger.select("idempotency_key", "attempts"), "idempotency_key", "left").withColumn("attempts", F.coalesce("attempts", F.lit(0)) + 1)
         done = done.withColumn("status", F.when((F.col("status") == "failed") & (F.col("attempts") >= most), "dead").otherwise(F.col("status")))
         store.upsert(table, done, ["idempotency_key"], LEDGER)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def track_runs(stream: DataFrame, store: Store, checkpoint: str, table: str = "source_state") -> StreamingQuery:
+    """Keep each source's state after its runs (source_id, started_at, ok, complete, observation, normalised), batch by batch.
+
+    Within a batch a source's runs count in the order of their times: all but the newest are folded into what the newest one
+    finds, so that failures in a row and last successes are those of the whole sequence.
+    """
+
+    def batch(runs: DataFrame, _: int) -> None:
+        runs = kept(runs.distinct().withColumn("_row", F.to_json(F.struct(*map(F.col, runs.columns)))), "runs")
+        state = store.read(table, STATE)
+        # As many rounds as the most runs that one source has in a batch.
+        rest = runs
+        while not rest.isEmpty():
+            first = rest.groupBy("source_id").agg(F.min(F.struct("started_at", "ok", "complete", "observation", "normalised", "_row")).alias("_r")).select("source_id", "_r.*")
+            state = kept(run_state(state, first), "state")
+            rest = kept(rest.join(first.select("_row"), "_row", "left_anti"), "runs")
+        touched = state.join(runs.select("source_id").distinct(), "source_id", "left_semi")
+        store.upsert(table, touched, ["source_id"], STATE)
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -22,12 +22,12 @@ def test_uk_date(spark, raw, want):
 
 @pytest.mark.parametrize(("raw", "want"), [("9pm", ("21:00", False)), ("20:30", ("20:30", False)), ("8.30pm", ("20:30", False)), ("", ("21:00", True)), ("7:12", ("21:00", True)), ("8", ("20:00", False)), ("8pm to 11pm", ("20:00", False))])
 def test_stage_time(spark, raw, want):
-    assert tuple(value(spark, times.stage_time(F.lit(raw)))) == want
+    assert tuple(value(spark, times.stage_time(F.lit(raw))))[:2] == want
 
 
 @pytest.mark.parametrize(("cadence", "now", "want"), [("daily", "2026-10-23 23:00:00", "2026-10-24 04:00:00"), ("daily", "2026-10-24 23:00:00", "2026-10-25 05:00:00"), ("manual", "2026-10-24 23:00:00", None)])
 def test_next_scan_over_a_clock_change(spark, cadence, now, want):
-    row = spark.createDataFrame([("s", "Europe/London", cadence, "05:00")], "id string, timezone string, cadence string, local_time string")
+    row = spark.createDataFrame([("s", "Europe/London", cadence, "05:00")], "id string, timezone string, cadence string, local_time string").withColumn("next_scan_at", F.lit(None).cast("timestamp"))
     got = times.next_scan(row, F.to_timestamp(F.lit(now))).select(F.col("next_scan").cast("string")).first()[0]
     assert got == want
 
@@ -47,7 +47,7 @@ def test_diff_covers_all_keys(spark):
     a = spark.createDataFrame([("e1", "new", "2026-01-09"), ("e2", "new", "2026-01-09")], "key string, print string, date string")
     for complete, gone in ((True, "withdrawn"), (False, "ignoredAbsence")):
         got = {r["key"]: r["action"] for r in reconcile.snapshot_diff(b, a, F.lit("2026-01-01"), complete).collect()}
-        assert got == {"e1": "updated", "e2": "added", "e3": gone, "e4": "pastDropped"}
+        assert got == {"e1": "updated", "e2": "added", "e3": gone, "e4": "pastDropped" if complete else gone}
 
 
 def test_empty_denominators_give_one(spark):

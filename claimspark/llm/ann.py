@@ -2,8 +2,9 @@
 
 Three rounds of random signs and the fast Hadamard transform rotate each unit vector; its hash is the signed axis it is
 nearest to. A table's bucket is one such hash of each of ROTATIONS rotations; queries look into the buckets of the axes
-that come next as well (multiprobe). A bucket's candidates are ranked by their cosines where they lie; the best of all
-tables are joined and ranked by the exact cosines of the original vectors in double precision.
+that come next as well (multiprobe). What travels to the buckets is a code of each vector, one byte a component, with a bound on
+what the code leaves out; so candidates are ranked between a lower and an upper bound of their cosines, and all that may be
+among the best are kept. Only of those the whole vectors are fetched, and ranked by the exact cosines in double precision.
 """
 
 from __future__ import annotations
@@ -11,16 +12,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import materialise
+from claimspark.llm.common import discard, materialise
 
 #: One rotation a table keeps recall high for neighbours of low cosine (0.3 in 64 dimensions), at the price of large buckets.
-TABLES, ROTATIONS, PROBES = 16, 1, 8
+#: Queries look into the best PROBE_SHARE of a table's buckets.
+TABLES, ROTATIONS, PROBE_SHARE = 4, 1, 0.25
 NEAREST = 5
-#: Vectors of a bucket that one group holds; larger buckets are dealt to several groups, each of which meets all queries.
+#: Vectors of a bucket that are ranked at once; larger buckets are dealt to several groups, each of which meets all queries.
 GROUP = 4096
 SEED = 11
 #: What rounding can make of two equal cosines in float32.
@@ -65,52 +67,119 @@ def probes(x: np.ndarray, table: int, n: int) -> np.ndarray:
     return codes
 
 
-def _hashed(vectors: DataFrame, n: int, whole: bool = False) -> DataFrame:
-    """Each vector (key, unit) in its ``n`` buckets of all tables: key, unit (as float32 bytes), table, bucket.
+def probes_of(width: int) -> int:
+    """Buckets of a table that a query of ``width`` components looks into."""
+    axes = 2 << max(1, (width - 1).bit_length())
+    return max(1, round(PROBE_SHARE * axes**ROTATIONS))
+
+
+def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, scales, errors) of unit vectors: bytes, what one is worth, and the length of what they leave out."""
+    scale = np.abs(x).max(1) / 127
+    code = np.round(x / scale[:, None]).astype(np.int8)
+    return code, scale.astype(np.float32), np.linalg.norm(x - code * scale[:, None].astype(np.float32).astype(float), axis=1).astype(np.float32)
+
+
+HASHED = "width int, tab int, bucket long, key long, code binary, scale float, error float"
+
+
+def _hashed(vectors: DataFrame, asked: bool, whole: bool = False) -> DataFrame:
+    """Each vector (key, unit) coded, in its bucket of each table, or if ``asked`` in all buckets that it looks into.
 
     With ``whole``, all vectors of one length are one bucket of table -1.
     """
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for width, part in frame.groupby(frame["unit"].str.len()):
-                x = np.stack(part["unit"].to_numpy())
-                key, unit = part["key"].to_numpy(), np.array([v.tobytes() for v in x.astype(np.float32)], object)
-                for table in [-1] if whole else range(TABLES):
-                    codes = np.zeros((len(x), 1), np.int64) if whole else probes(x, table, n)
-                    m = codes.shape[1]
-                    yield pd.DataFrame({"key": np.repeat(key, m), "unit": np.repeat(unit, m), "table": table, "bucket": codes.ravel() * 65536 + int(width)})
-
-    return vectors.select("key", "unit").mapInPandas(task, "key long, unit binary, table int, bucket long")
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.array([len(v) for v in batch.column(1)], np.int64)
+            keys, flat = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy()
+            first = np.cumsum(size) - size
+            for width in np.unique(size).tolist():
+                rows = np.flatnonzero(size == width)
+                for k in range(0, len(rows), 1024):
+                    pick = rows[k : k + 1024]
+                    x = flat[first[pick][:, None] + np.arange(width)].astype(float)
+                    code, scale, error = coded(x)
+                    packed = pa.array([c.tobytes() for c in code], pa.binary())
+                    for table in [-1] if whole else range(TABLES):
+                        bucket = np.zeros((len(x), 1), np.int64) if whole else probes(x, table, probes_of(width) if asked else 1)
+                        m = np.repeat(np.arange(len(x)), bucket.shape[1])
+                        columns = [np.full(len(m), width, np.int32), np.full(len(m), table, np.int32), bucket.ravel(), keys[pick][m]]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), packed.take(pa.array(m)), pa.array(scale[m]), pa.array(error[m])], [c.split()[0] for c in HASHED.split(", ")])
+
+    return vectors.select("key", "unit").mapInArrow(task, HASHED)
 
 
 def _ranked(index: DataFrame, queries: DataFrame, nearest: int) -> DataFrame:
-    """(query, key, score): the ``nearest`` + 1 best of each query in each bucket that it looks into."""
-    size = index.groupBy("table", "bucket").agg(F.count("*").alias("n")).withColumn("groups", F.ceil(F.col("n") / GROUP).cast("int")).drop("n")
-    dealt = index.join(size, ["table", "bucket"]).withColumn("lot", F.pmod(F.xxhash64("key"), F.col("groups")).cast("int")).drop("groups")
-    asked = queries.join(size, ["table", "bucket"]).withColumn("lot", F.explode(F.expr("sequence(0, groups - 1)"))).drop("groups")
+    """(query, key, low, high): what may be among the ``nearest`` + 1 best of each query in the buckets that it looks into.
+
+    Rows of both sides are sorted by bucket and read one bucket after the other; a task keeps the best of each of its queries,
+    however many buckets they look into.
+    """
+    by = ["width", "tab", "bucket"]
+    spark = index.sparkSession
+    size = index.groupBy(*by).agg(F.count("*").alias("n"))
+    size = materialise(size.select(*by, F.ceil(F.col("n") / GROUP).cast("int").alias("groups")), "buckets")
+    dealt = index.join(size, by).withColumn("lot", F.pmod(F.xxhash64("key"), F.col("groups")).cast("int"))
+    sent = queries.join(size, by).withColumn("lot", F.explode(F.expr("sequence(0, groups - 1)")))
     # Only groups that some query looks into are ranked.
-    dealt = dealt.join(asked.select("table", "bucket", "lot").distinct(), ["table", "bucket", "lot"], "left_semi")
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query": pd.Series([], dtype="int64"), "key": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-        if not len(left) or not len(right):
-            return none
-        x, q = (np.frombuffer(b"".join(side["unit"]), np.float32).reshape(len(side), -1) for side in (right, left))
-        keys = right["key"].to_numpy()
-        out = []
-        for k in range(0, len(q), 256):
-            score = q[k : k + 256] @ x.T
-            m = min(nearest + 1, len(keys))
-            top = np.argpartition(-score, m - 1, 1)[:, :m]
-            # What differs from the last kept by rounding only is kept too: exact cosines decide later.
-            last = np.take_along_axis(score, top, 1).min(1)
-            rows, cols = np.nonzero(score >= (last - ROUNDING)[:, None])
-            out.append(pd.DataFrame({"query": left["key"].to_numpy()[k + rows], "key": keys[cols], "score": score[rows, cols].astype(float)}))
-        return pd.concat(out)
-
-    by = ["table", "bucket", "lot"]
-    return asked.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInPandas(best, "query long, key long, score double")
+    dealt = dealt.join(queries.select(*by).distinct(), by, "left_semi")
+    columns = [*by, "lot", "key", "code", "scale", "error"]
+    both = dealt.select(F.lit(False).alias("asked"), *columns).unionByName(sent.select(F.lit(True).alias("asked"), *columns))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+        def meet(rows: pa.Table) -> None:
+            asked = rows.column("asked").to_numpy()
+            if asked.all() or not asked.any():
+                return
+            width = rows.column("width")[0].as_py()
+            code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.int8).reshape(-1, width).astype(np.float32) * rows.column("scale").to_numpy()[:, None]
+            key, error = rows.column("key").to_numpy(), rows.column("error").to_numpy()
+            q, x = np.flatnonzero(asked), np.flatnonzero(~asked)
+            for k in range(0, len(q), 256):
+                part = q[k : k + 256]
+                score = code[part] @ code[x].T
+                slack = error[part][:, None] + error[x][None] + error[part][:, None] * error[x][None] + np.float32(ROUNDING)
+                low, high = score - slack, score + slack
+                m = min(nearest + 1, len(x))
+                last = np.partition(low, len(x) - m, 1)[:, len(x) - m]
+                for row, at in enumerate(part.tolist()):
+                    good = np.flatnonzero(high[row] >= last[row])
+                    add(int(key[at]), key[x[good]], low[row, good], high[row, good])
+
+        def add(query: int, key: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+            if query in kept:
+                old = kept[query]
+                key, one = np.unique(np.concatenate([old[0], key]), return_index=True)
+                low, high = np.concatenate([old[1], low])[one], np.concatenate([old[2], high])[one]
+            if len(low) > nearest + 1:
+                good = high >= np.partition(low, len(low) - nearest - 1)[len(low) - nearest - 1]
+                key, low, high = key[good], low[good], high[good]
+            kept[query] = (key, low, high)
+
+        held: list[pa.RecordBatch] = []
+        names = None
+        for batch in batches:
+            names = batch.schema.names
+            where = np.stack([batch.column(c).to_numpy() for c in ("width", "tab", "bucket", "lot")], 1)
+            edges = [0, *(np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1).tolist(), len(where)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                part = batch.slice(a, b - a)
+                if held and any(held[-1].column(names.index(c))[-1].as_py() != part.column(names.index(c))[0].as_py() for c in ("width", "tab", "bucket", "lot")):
+                    meet(pa.Table.from_batches(held))
+                    held = []
+                held.append(part)
+        if held:
+            meet(pa.Table.from_batches(held))
+        for query, (key, low, high) in kept.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), query)), pa.array(key), pa.array(low), pa.array(high)], ["query", "key", "low", "high"])
+
+    group = [*by, "lot"]
+    sorted_ = both.repartition(n, *group).sortWithinPartitions(*group)
+    return sorted_.mapInArrow(best, "query long, key long, low float, high float")
 
 
 def nearest_neighbours(vectors: DataFrame, every: int = 50, nearest: int = NEAREST) -> DataFrame:
@@ -120,41 +189,64 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, nearest: int = NEARE
     are null, zero or hold null or non-finite components take no part, nor do rows of null id; vectors of other lengths
     than the query's are no candidates. Rows of one id count once (the least vector). Queries for which the tables find
     fewer than ``nearest`` are ranked against all rows. Equal vectors are one entry of the index with the ``nearest`` + 1
-    least ids, of which no more can be among a query's nearest. An empty table gives an empty one.
+    least ids, of which no more can be among a query's nearest. Further columns are ignored; an empty table gives an empty one.
     """
-    good = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).where("vec_id is not null and size(v) > 0")
-    good = good.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0.0))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    good = good.groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", "v", norm.alias("norm"))
-    good = good.where("norm > 0 and norm < double('inf')").withColumn("unit", F.transform("v", lambda x: x / F.col("norm")))
-    good = materialise(good.withColumn("print", F.sha2(F.col("v").cast("string"), 256)), "vectors")
+    # The vectors as they are: doubles only where they are worked on.
+    good = vectors.select("vec_id", F.col("embedding").alias("v")).where("vec_id is not null and size(v) > 0")
+    good = good.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))) & F.exists("v", lambda x: x != 0))
+    good = good.groupBy("vec_id").agg(F.min("v").alias("v"))
+    # 128 bits tell vectors apart.
+    good = materialise(good.withColumn("print", F.struct(F.xxhash64(F.lit(1), "v").alias("a"), F.xxhash64("v", F.lit(2)).alias("b"))), "vectors")
+    # The largest component is taken out first, so that no square overflows.
+    most = F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x.cast("double"))))
+    length = lambda most: F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x.cast("double") / most) * (x.cast("double") / most)))
+    unit = good.withColumn("_most", most).withColumn("_length", length(F.col("_most")))
+    unit = unit.select("vec_id", "print", F.transform("v", lambda x: x.cast("double") / F.col("_most") / F.col("_length")).alias("unit"))
+    ids = good.groupBy("print").agg(F.count("*").alias("n"), F.min("vec_id").alias("key"))
+    several = good.join(ids.where("n > 1").select("print"), "print", "left_semi").select("print", "vec_id")
     order = Window.partitionBy("print").orderBy("vec_id")
-    least = good.select("print", "vec_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= nearest + 1)
-    entry = least.groupBy("print").agg(F.min("vec_id").alias("key"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    index = good.join(entry.select("key"), F.col("vec_id") == F.col("key"), "left_semi").select(F.col("vec_id").alias("key"), "unit")
-    queries = good.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("key"), "unit")
-    hits = materialise(_ranked(_hashed(index, 1), _hashed(queries, PROBES), nearest), "hits")
-    members = entry.select("key", F.explode("ids").alias("vec_id"))
+    least = several.withColumn("place", F.row_number().over(order)).where(F.col("place") <= nearest + 1)
+    more = materialise(least.join(ids.select("print", "key"), "print").select("key", "vec_id"), "copies")
+    index = unit.join(ids.select("key"), F.col("vec_id") == F.col("key"), "left_semi").select(F.col("vec_id").alias("key"), "unit")
+    queries = unit.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("key"), "unit")
+    hits = materialise(_ranked(_hashed(index, False), _hashed(queries, True), nearest), "hits")
 
     def top(found: DataFrame) -> DataFrame:
-        found = found.groupBy("query", "key").agg(F.max("score").alias("near"))
-        row = Window.partitionBy("query").orderBy(F.desc("near"), "key")
+        found = found.groupBy("query", "key").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+        row = Window.partitionBy("query").orderBy(F.desc("low"), "key")
         found = found.withColumn("place", F.row_number().over(row))
-        # Entries whose scores differ from the last needed by rounding only are all settled below.
-        last = F.max(F.when(F.col("place") == nearest + 1, F.col("near"))).over(Window.partitionBy("query"))
-        found = found.withColumn("last", last).where(F.col("last").isNull() | (F.col("near") >= F.col("last") - ROUNDING)).drop("last")
-        found = found.join(members, "key").where("query <> vec_id")
-        a = good.select(F.col("vec_id").alias("query"), F.col("v").alias("x"), F.col("norm").alias("nx"))
-        b = good.select("vec_id", F.col("v").alias("y"), F.col("norm").alias("ny"))
-        dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-        found = found.join(a, "query").join(b, "vec_id").select(F.col("query").alias("query_id"), "vec_id", (dot / (F.col("nx") * F.col("ny"))).alias("score"))
+        # What can't be told from the last entry needed is settled below.
+        last = F.max(F.when(F.col("place") == nearest + 1, F.col("low"))).over(Window.partitionBy("query"))
+        found = found.withColumn("last", last).where(F.col("last").isNull() | (F.col("high") >= F.col("last"))).select("query", "key")
+        copies = found.join(more, "key").select("query", "vec_id")
+        found = found.select("query", F.col("key").alias("vec_id")).union(copies).distinct().where("query <> vec_id")
+        found = materialise(found, "pairs")
+        named = found.select("vec_id").union(found.select("query")).distinct()
+        wanted = good.join(named, "vec_id", "left_semi").select("vec_id", "v")
+        a, b = wanted.select(F.col("vec_id").alias("query"), F.col("v").alias("x")), wanted.select("vec_id", F.col("v").alias("y"))
+        found = found.join(a, "query").join(b, "vec_id").select(F.col("query").alias("query_id"), "vec_id", _cosine("x", "y").alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
     result = materialise(top(hits), "nearest")
     enough = result.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= nearest)
     short = materialise(queries.join(enough, F.col("key") == F.col("query_id"), "left_anti"), "short")
+    discard(hits)
     if short.isEmpty():
         return result
-    rest = top(_ranked(_hashed(index, 1, True), _hashed(short, 1, True), nearest))
+    rest = top(_ranked(_hashed(index, False, True), _hashed(short, True, True), nearest))
     return result.join(short, F.col("query_id") == F.col("key"), "left_anti").unionByName(rest)
+
+
+def _cosine(x: str, y: str):  # noqa: ANN202
+    """The cosine of two arrays in double precision; the largest components are taken out, so that nothing overflows."""
+    most = lambda v: F.aggregate(v, F.lit(0.0), lambda a, c: F.greatest(a, F.abs(c.cast("double"))))
+    small = lambda v: F.transform(v, lambda c: c.cast("double"))
+    dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+
+    def of(u, v):  # noqa: ANN001, ANN202
+        return dot(u, v) / (F.sqrt(dot(u, u)) * F.sqrt(dot(v, v)))
+
+    big = (most(x) > 1e150) | (most(y) > 1e150) | (most(x) < 1e-150) | (most(y) < 1e-150)
+    scaled = lambda v: F.transform(v, lambda c: c.cast("double") / most(v))
+    return F.when(big, of(scaled(x), scaled(y))).otherwise(of(small(x), small(y)))

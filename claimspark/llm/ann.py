@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.llm.common import discard, materialise
@@ -84,7 +84,7 @@ HASHED = "width int, tab int, bucket long, key long, code binary, scale float, e
 
 
 def _hashed(vectors: DataFrame, asked: bool, whole: bool = False) -> DataFrame:
-    """Each vector (key, unit) coded, in its bucket of each table, or if ``asked`` in all buckets that it looks into.
+    """Each vector (key, v) as a unit vector's code, in its bucket of each table, or if ``asked`` in all buckets that it looks into.
 
     With ``whole``, all vectors of one length are one bucket of table -1.
     """
@@ -92,13 +92,16 @@ def _hashed(vectors: DataFrame, asked: bool, whole: bool = False) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = np.array([len(v) for v in batch.column(1)], np.int64)
-            keys, flat = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy()
+            keys, flat = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False)
             first = np.cumsum(size) - size
             for width in np.unique(size).tolist():
                 rows = np.flatnonzero(size == width)
                 for k in range(0, len(rows), 1024):
                     pick = rows[k : k + 1024]
                     x = flat[first[pick][:, None] + np.arange(width)].astype(float)
+                    # The largest component is taken out first, so that no square overflows.
+                    x /= np.abs(x).max(1, keepdims=True)
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
                     code, scale, error = coded(x)
                     packed = pa.array([c.tobytes() for c in code], pa.binary())
                     for table in [-1] if whole else range(TABLES):
@@ -107,7 +110,7 @@ def _hashed(vectors: DataFrame, asked: bool, whole: bool = False) -> DataFrame:
                         columns = [np.full(len(m), width, np.int32), np.full(len(m), table, np.int32), bucket.ravel(), keys[pick][m]]
                         yield pa.RecordBatch.from_arrays([*map(pa.array, columns), packed.take(pa.array(m)), pa.array(scale[m]), pa.array(error[m])], [c.split()[0] for c in HASHED.split(", ")])
 
-    return vectors.select("key", "unit").mapInArrow(task, HASHED)
+    return vectors.select("key", "v").mapInArrow(task, HASHED)
 
 
 def _ranked(index: DataFrame, queries: DataFrame, nearest: int) -> DataFrame:
@@ -197,18 +200,13 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, nearest: int = NEARE
     good = good.groupBy("vec_id").agg(F.min("v").alias("v"))
     # 128 bits tell vectors apart.
     good = materialise(good.withColumn("print", F.struct(F.xxhash64(F.lit(1), "v").alias("a"), F.xxhash64("v", F.lit(2)).alias("b"))), "vectors")
-    # The largest component is taken out first, so that no square overflows.
-    most = F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x.cast("double"))))
-    length = lambda most: F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x.cast("double") / most) * (x.cast("double") / most)))
-    unit = good.withColumn("_most", most).withColumn("_length", length(F.col("_most")))
-    unit = unit.select("vec_id", "print", F.transform("v", lambda x: x.cast("double") / F.col("_most") / F.col("_length")).alias("unit"))
     ids = good.groupBy("print").agg(F.count("*").alias("n"), F.min("vec_id").alias("key"))
     several = good.join(ids.where("n > 1").select("print"), "print", "left_semi").select("print", "vec_id")
     order = Window.partitionBy("print").orderBy("vec_id")
     least = several.withColumn("place", F.row_number().over(order)).where(F.col("place") <= nearest + 1)
     more = materialise(least.join(ids.select("print", "key"), "print").select("key", "vec_id"), "copies")
-    index = unit.join(ids.select("key"), F.col("vec_id") == F.col("key"), "left_semi").select(F.col("vec_id").alias("key"), "unit")
-    queries = unit.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("key"), "unit")
+    index = good.join(ids.select("key"), F.col("vec_id") == F.col("key"), "left_semi").select(F.col("vec_id").alias("key"), "v")
+    queries = good.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("key"), "v")
     hits = materialise(_ranked(_hashed(index, False), _hashed(queries, True), nearest), "hits")
 
     def top(found: DataFrame) -> DataFrame:
@@ -222,9 +220,11 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, nearest: int = NEARE
         found = found.select("query", F.col("key").alias("vec_id")).union(copies).distinct().where("query <> vec_id")
         found = materialise(found, "pairs")
         named = found.select("vec_id").union(found.select("query")).distinct()
-        wanted = good.join(named, "vec_id", "left_semi").select("vec_id", "v")
-        a, b = wanted.select(F.col("vec_id").alias("query"), F.col("v").alias("x")), wanted.select("vec_id", F.col("v").alias("y"))
-        found = found.join(a, "query").join(b, "vec_id").select(F.col("query").alias("query_id"), "vec_id", _cosine("x", "y").alias("score"))
+        wanted = _measured(good.join(named, "vec_id", "left_semi"))
+        a = wanted.select(F.col("vec_id").alias("query"), F.col("v").alias("x"), F.col("norm").alias("nx"))
+        b = wanted.select("vec_id", F.col("v").alias("y"), F.col("norm").alias("ny"))
+        score = _dot("x", "y") / (F.col("nx") * F.col("ny"))
+        found = found.join(a, "query").join(b, "vec_id").select(F.col("query").alias("query_id"), "vec_id", score.alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
@@ -238,15 +238,14 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, nearest: int = NEARE
     return result.join(short, F.col("query_id") == F.col("key"), "left_anti").unionByName(rest)
 
 
-def _cosine(x: str, y: str):  # noqa: ANN202
-    """The cosine of two arrays in double precision; the largest components are taken out, so that nothing overflows."""
-    most = lambda v: F.aggregate(v, F.lit(0.0), lambda a, c: F.greatest(a, F.abs(c.cast("double"))))
-    small = lambda v: F.transform(v, lambda c: c.cast("double"))
-    dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+def _dot(x: str, y: str) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
 
-    def of(u, v):  # noqa: ANN001, ANN202
-        return dot(u, v) / (F.sqrt(dot(u, u)) * F.sqrt(dot(v, v)))
 
-    big = (most(x) > 1e150) | (most(y) > 1e150) | (most(x) < 1e-150) | (most(y) < 1e-150)
-    scaled = lambda v: F.transform(v, lambda c: c.cast("double") / most(v))
-    return F.when(big, of(scaled(x), scaled(y))).otherwise(of(small(x), small(y)))
+def _measured(vectors: DataFrame) -> DataFrame:
+    """(vec_id, v, norm): vectors whose squares would leave the range of a double are scaled, which no cosine notices."""
+    most = F.aggregate("v", F.lit(0.0), lambda a, c: F.greatest(a, F.abs(c.cast("double"))))
+    out = vectors.select("vec_id", "v", most.alias("most"))
+    odd = ~F.col("most").between(1e-100, 1e100)
+    out = out.select("vec_id", F.when(odd, F.transform("v", lambda c: c.cast("double") / F.col("most"))).otherwise(F.col("v").cast("array<double>")).alias("v"))
+    return out.withColumn("norm", F.sqrt(_dot("v", "v")))

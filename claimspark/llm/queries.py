@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimspark.llm import alignment, ann, chat, decontaminate, jaccard_join, mixing, pii, quality, token_count, token_store, warc
+from claimspark.llm import alignment, ann, chat, decontaminate, jaccard_join, mixing, pii, quality, token_count, token_store, vector_codes, warc
 from claimspark.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_quality_classifier": op2_quality_classifier,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_personal_data": op9_personal_data,
     "op10_warc_round_trip": op10_warc_round_trip,
     "op11_token_alignment": op11_token_alignment,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -113,6 +118,35 @@ def _mixing_sql() -> str:
 
 _BASE32 = "list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || sha1(h)[1 + 5 * (i // 4) : 5 + 5 * (i // 4)])::BIGINT) >> (15 - 5 * (i % 4))) & 31)::INT, 1) for i in range(32)], 'string_agg', '')"
 
+
+
+def _codes_sql() -> str:
+    """Every round spelled out: distances entry by entry, means position by position."""
+    steps = []
+    for k in range(vector_codes.ROUNDS + 1):
+        steps.append(f"""
+        far_{k} AS (SELECT vec_id, y.p, e, x, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT AS d FROM y JOIN book_{k} b ON y.p = b.p),
+        near_{k} AS (SELECT vec_id, p, any_value(x) AS x, min((d, e)) AS best FROM far_{k} GROUP BY vec_id, p)""")
+        if k < vector_codes.ROUNDS:
+            steps.append(f"""
+        flat_{k} AS (SELECT p, best[2] AS e, unnest(x) AS v, unnest(range(len(x))) AS i FROM near_{k}),
+        mean_{k} AS (SELECT p, e, i, floor(sum(v) / count(*))::BIGINT AS v FROM flat_{k} GROUP BY p, e, i),
+        new_{k} AS (SELECT p, e, list(v ORDER BY i) AS c FROM mean_{k} GROUP BY p, e),
+        book_{k + 1} AS (SELECT b.p, b.e, coalesce(n.c, b.c) AS c FROM book_{k} b LEFT JOIN new_{k} n ON b.p = n.p AND b.e = n.e)""")
+    last = vector_codes.ROUNDS
+    return f"""
+        WITH kept AS MATERIALIZED (
+            SELECT vec_id, label, list_transform(embedding, lambda c: floor({vector_codes.SCALE} * c::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: coalesce(isfinite(c), false))) = len(embedding)),
+        y AS MATERIALIZED (SELECT vec_id, p::INT AS p, v[p * len(v) // {vector_codes.PARTS} + 1 : (p + 1) * len(v) // {vector_codes.PARTS}] AS x FROM kept, range({vector_codes.PARTS}) r(p)),
+        seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < {vector_codes.ENTRIES}),
+        book_0 AS (SELECT p, e, x AS c FROM y JOIN seeds USING (vec_id)),{','.join(s.replace(' AS (', ' AS MATERIALIZED (') for s in steps)},
+        coded AS (
+            SELECT vec_id, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error FROM near_{last} GROUP BY vec_id),
+        hash AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book_{last})
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), hash"""
+
+
 ORACLES: dict[str, str] = {
     "op10_warc_round_trip": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -121,6 +155,7 @@ ORACLES: dict[str, str] = {
             CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
         FROM p JOIN f ON p.h = f.h""",
     "op3_source_mixing": _mixing_sql(),
+    "op13_vector_codes": _codes_sql(),
     "op4_ngram_jaccard_join": rf"""
         WITH RECURSIVE tokens AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         sets AS (

@@ -41,7 +41,9 @@ HELD = 1 << 21
 #: How byte-level tokenizers cut a text before merging. Fixed value.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Runs that the quicker encoder isn't made for.
-LONG_RUN = re.compile(r"\s{200}|\S{400}")
+LONG, LONG_BLANK = 400, re.compile(r"\s{200}")
+#: Slices of ends that are compared at first.
+LEAST = 8
 #: Groups of more pairs than this are counted by distinct ids on either side.
 WIDE = 4096
 
@@ -118,49 +120,54 @@ class Tokenizers:
             begin = at + 1
         return [*out, text[begin:]]
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both for a space and each text."""
-        quick = self._quick
-        ids = [quick.encode_ordinary(f" {t}") if quick and not LONG_RUN.search(t) else self._byte.encode(f" {t}", add_special_tokens=False).ids for t in texts]
-        return ids, self._piece.encode(texts, num_threads=1)
+    def quick(self, text: str) -> bool:
+        """Whether the quicker encoder takes the text; it knows all bytes, so that its tokens always give the text back."""
+        return self._quick is not None and max(map(len, text.split()), default=0) < LONG and not LONG_BLANK.search(text)
 
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+        """Ids of both for a space and each text, and whether the quicker encoder took it."""
+        quick = list(map(self.quick, texts))
+        ids = [self._quick.encode_ordinary(f" {t}") if q else self._byte.encode(f" {t}", add_special_tokens=False).ids for t, q in zip(texts, quick)]
+        return ids, self._piece.encode(texts, num_threads=1), quick
 
-def stretch(a: list[int], b: list[int], i: int, j: int) -> int:
-    """How many ends from ``i`` of ``a`` and ``j`` of ``b`` on are equal, by doubling and then halving slices."""
-    most = min(len(a) - i, len(b) - j)
-    if not most or a[i] != b[j]:
-        return 0
-    done, step = 1, 2
-    while done < most and a[i + done : i + done + step] == b[j + done : j + done + step]:
-        done = min(done + step, most)
-        step *= 2
-    while step > 1 and done < most:
-        step //= 2
-        if a[i + done : i + done + step] == b[j + done : j + done + step]:
-            done = min(done + step, most)
-    return done
 
-
-def runs(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int]]:
-    """(i, n, j): a stretch of ``n`` one-to-one groups from those indices on, or with ``n`` 0 one group of more tokens.
+def runs(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """(i, n, j) of each run: a stretch of ``n`` one-to-one groups from those indices on, or with ``n`` 0 one group of more tokens.
 
     ``a`` and ``b`` are ascending ends of tokens; the last ones are equal.
     """
+    starts_a, sizes, starts_b = [], [], []
     i = j = 0
     while i < len(a):
-        if n := stretch(a, b, i, j):
-            yield i, n, j
-            i, j = i + n, j + n
-            if i == len(a):
-                return
-        p, q = i, j
-        while (x := a[p]) != (y := b[q]):
+        starts_a.append(i)
+        starts_b.append(j)
+        if a[i] == b[j]:
+            # At this index shift: slices double while they are equal, then halve to the first difference.
+            p, q, step = i + 1, j + 1, LEAST
+            while (same := a[p : p + step]) == b[q : q + step]:
+                p, q = p + len(same), q + len(same)
+                if len(same) < step:
+                    break
+                step *= 2
+            while step > LEAST:
+                step //= 2
+                if (same := a[p : p + step]) == b[q : q + step]:
+                    p, q = p + len(same), q + len(same)
+            for x, y in zip(a[p : p + LEAST], b[q : q + LEAST]):
+                if x != y:
+                    break
+                p, q = p + 1, q + 1
+            sizes.append(p - i)
+            i, j = p, q
+            continue
+        while (x := a[i]) != (y := b[j]):
             if x < y:
-                p += 1
+                i += 1
             else:
-                q += 1
-        yield i, 0, j
-        i, j = p + 1, q + 1
+                j += 1
+        sizes.append(0)
+        i, j = i + 1, j + 1
+    return starts_a, sizes, starts_b
 
 
 class Text:
@@ -220,19 +227,18 @@ class Aligner:
 
     def call(self, parts: list[tuple[Text, str]]) -> set[Text]:
         """Adds the parts to their texts; returns the texts that a tokenizer doesn't give back."""
-        found = [(text, f" {part}".encode(), x, y) for (text, part), x, y in zip(parts, *self.t.encode([p for _, p in parts]))]
-        same = lambda whole, x, y: b"".join(map(self.t.byte_tokens.__getitem__, x)) == whole == b"".join(map(self.t.piece_tokens.__getitem__, y))
-        bad = {text for text, whole, x, y in found if not same(whole, x, y)}
+        found = [(text, f" {part}".encode(), x, y, quick) for (text, part), x, y, quick in zip(parts, *self.t.encode([p for _, p in parts]))]
+        joined = lambda tokens, ids: b"".join(map(tokens.__getitem__, ids))
+        bad = {text for text, whole, x, y, quick in found if joined(self.t.piece_tokens, y) != whole or not quick and joined(self.t.byte_tokens, x) != whole}
         found = [f for f in found if f[0] not in bad]
         if not found:
             return bad
         lens_a, lens_b = (np.array([len(f[k]) for f in found]) for k in (2, 3))
         a, b = (np.fromiter(chain.from_iterable(f[k] for f in found), np.int64, n) for k, n in ((2, lens_a.sum()), (3, lens_b.sum())))
         # Parts end with a token in both sequences, so that one pass aligns them all and no group leaves its part.
-        cut = np.array(list(runs(np.cumsum(self.size_a[a]).tolist(), np.cumsum(self.size_b[b]).tolist())), np.int64)
-        single = cut[:, 1]
-        count = np.where(single > 0, single, 1)
-        first_a, first_b = _places(cut[:, 0], count), _places(cut[:, 2], count)
+        starts_a, sizes, starts_b = (np.array(x, np.int64) for x in runs(np.cumsum(self.size_a[a]).tolist(), np.cumsum(self.size_b[b]).tolist()))
+        count = np.maximum(sizes, 1)
+        first_a, first_b = _places(starts_a, count), _places(starts_b, count)
         n_a, n_b = np.diff(first_a, append=len(a)), np.diff(first_b, append=len(b))
         of = np.searchsorted(np.cumsum(lens_a), first_a, "right")
 

@@ -115,7 +115,7 @@ def test_stretches_are_jumped_exactly():
         if r.random() < 0.5:
             b = sorted({*a, *r.sample(range(1, 60), 3)})
         both, seen = sorted(set(a) & set(b)), []
-        for i, n, j in alignment.runs(a, b):
+        for i, n, j in zip(*alignment.runs(a, b)):
             assert n or a[i] != b[j]
             seen += a[i : i + n] or [next(x for x in a[i:] if x in set(b))]
         assert seen == both

@@ -89,9 +89,10 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     count = np.diff(w.first)
     n = len(w.hash)
     doc = np.repeat(np.arange(len(count)), count)
-    value = np.zeros(max(0, n - k + 1), np.uint64)
+    most = max(0, n - k + 1)
+    value = np.zeros(most, np.uint64)
     for j in range(k):
-        value = mix(value * BASE + w.hash[j : n - k + 1 + j])
+        value = mix(value * BASE + w.hash[j : most + j])
     whole = doc[: len(value)] == doc[k - 1 :] if len(value) else np.zeros(0, bool)
     doc, value = doc[: len(value)][whole], value[whole]
     short = np.flatnonzero((count > 0) & (count < k))

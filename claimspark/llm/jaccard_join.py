@@ -9,11 +9,7 @@ Jaccard similarity is at least t, that is when |x ^ y| <= (1 - t) / (1 + t) * (|
    distances of two linked documents differ by |x ^ y| at most (triangle inequality), so each document is replicated
    to the regions of its first shingles up to that window, and the first shingle that a linked pair has in common is
    met by both within it.
-2. Within a region the most central document becomes the next pivot and its distance to every member that the windows
-   leave is found exactly. Members within 1 - t of it link with it: the ball is one class whose inner pairs nobody
-   needs. Documents of other classes are then joined within the region, but only with those whose distance to the pivot
-   differs from theirs by 1 - t at most (triangle inequality again), whose size and position windows allow it, and that
-   are not in their class already.
+2. Within a region documents are the pivots, of classes and of Voronoi cells, recursively: see :mod:`claimspark.llm.links`.
 3. Each pair left is decided on the whole shingle sets. Pairs of unlike class meet in the region of their first common
    shingle, so nothing is lost; pairs inside a class add nothing to it.
 
@@ -32,40 +28,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimspark.llm import hashing
-from claimspark.llm.common import bit_map, discard, free_name, materialise, sketch
-from claimspark.llm.graph import components
+from claimspark.llm.common import free_name, materialise, sketch
+from claimspark.llm.links import all_shingles, classes, labelled, nodes, prefix_sizes
 
 #: Counters of the shingle sketch, a power of two, 4 bytes each: what tells common shingles from rare ones. Their number
 #: is the same at any size of the table, so what is broadcast is 16 MB and what tasks send follows their number alone.
 COUNTERS = 22
-#: Bits of the map of wanted documents, a power of two: 2 MB.
-MARKS = 24
-#: Common shingles that the rarest of two documents must show before their whole sets are fetched.
-SHARE = 4
 
 
 def _slot(value: np.ndarray, bits: int) -> np.ndarray:
     return (value >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _all_shingles(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for row, end, data, at in hashing.slices(column):
-        yield row, end, *hashing.shingle_sets(hashing.words(data, at), k)
-
-
-def _nodes(value: np.ndarray, doc: np.ndarray, n: int) -> list[bytes]:
-    """128 bits for each of ``n`` sets."""
-    out = np.zeros((n, 2), np.uint64)
-    for j, salt in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
-        total = np.zeros(n, np.uint64)
-        np.add.at(total, doc, hashing.mix(value ^ np.uint64(salt)))
-        out[:, j] = hashing.mix(total)
-    return [x.tobytes() for x in out]
-
-
 def _counts(docs: DataFrame, k: int, bits: int) -> np.ndarray:
     def slots(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        return (_slot(v, bits) for *_, v in _all_shingles(batch.column(0), k))
+        return (_slot(v, bits) for *_, v in all_shingles(batch.column(0), k))
 
     return sketch(docs.select("text"), slots, 1 << bits)
 
@@ -78,18 +55,18 @@ def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = counts.value
         for batch in batches:
-            for row, end, doc, value in _all_shingles(batch.column(1), k):
+            for row, end, doc, value in all_shingles(batch.column(1), k):
                 n = np.bincount(doc, minlength=end - row)
                 seen = often[_slot(value, COUNTERS)]
                 order = np.lexsort((value, seen, doc))
                 lead = np.concatenate(([0], np.cumsum(n)[:-1]))
                 place = np.arange(len(value)) - np.repeat(lead, n)
                 # A linked partner has at least percent / 100 of the set: SHARE of the rest + SHARE rarest are common.
-                most = np.minimum(n, n - -(-n * percent // 100) + SHARE)
+                most = prefix_sizes(n, percent)
                 kept = value[order][place < np.repeat(most, n)].astype(np.int64)
                 centre = np.zeros(end - row)
                 np.add.at(centre, doc, np.log2(seen + 1.0))
-                node = _nodes(value, doc, end - row)
+                node = nodes(value, doc, end - row)
                 tie = np.array([int.from_bytes(x[:5], "little") for x in node], np.int64)
                 pri = (np.minimum(centre / np.maximum(n, 1) * 2**17, 2**22 - 1).astype(np.int64) << 40) | tie
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(n.astype(np.int64)), pa.array(node, pa.binary()), hashing.lists(pa.array(kept), most), pa.array(pri)], schema.names)
@@ -99,76 +76,6 @@ def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return out
 
 
-def _marks(keys: DataFrame) -> np.ndarray:
-    """A bit map of bounded size of the only column of ``keys``."""
-    return bit_map(keys.select(_mark(keys.columns[0]).alias("slot")), MARKS)
-
-
-def _mark(column: str) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(column), 64 - MARKS)
-
-
-def _hit(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return ((marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
-
-
-def _marked(rows: DataFrame, marks) -> DataFrame:  # noqa: ANN001
-    """Rows whose first column is marked, and few others, so that the rest is spared the transport to an exact join."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:]).filter(pa.array(_hit(marks.value, batch.column(0).to_numpy())))
-
-    return rows.select(_mark(rows.columns[0]).alias("slot"), *rows.columns).mapInArrow(keep, rows.schema)
-
-
-def _sets(docs: DataFrame, k: int, marks) -> DataFrame:  # noqa: ANN001
-    """(node, shingles) of the documents whose ids are marked, and of few others."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).filter(pa.array(_hit(marks.value, batch.column(0).to_numpy())))
-            for row, end, doc, value in _all_shingles(texts, k):
-                n = np.bincount(doc, minlength=end - row)
-                yield pa.RecordBatch.from_arrays([pa.array(_nodes(value, doc, end - row), pa.binary()), hashing.lists(pa.array(value.astype(np.int64)), n)], ["node", "shingles"])
-
-    return docs.select(_mark("doc_id").alias("slot"), "text").mapInArrow(emit, "node binary, shingles array<long>")
-
-
-def _common(pairs: DataFrame, lists: DataFrame, column: str) -> DataFrame:
-    """``pairs`` (a, b, na, nb) with ``common``, the number of values that the two nodes' lists share.
-
-    Values that the list of ``a`` repeats count as shared, so that shortened hashes never make the number too small.
-    """
-    a, b = (lists.select(F.col("node").alias(x), F.col(column).alias(f"list_{x}")) for x in "ab")
-    twice = F.size("list_a") - F.size(F.array_distinct("list_a"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", (F.size(F.array_intersect("list_a", "list_b")) + twice).cast("long").alias("common"))
-
-
-def _compare(docs: DataFrame, k: int, percent: int, pairs: DataFrame, node: DataFrame) -> DataFrame:
-    """Those of ``pairs`` that can link, with ``common``, the size of the intersection of their whole sets.
-
-    If two sets have m values in common, the n - m + SHARE first in any one order share SHARE; that spares most pairs the
-    transport of whole sets.
-    """
-    spark = docs.sparkSession
-    ends = lambda df: df.select(F.col("a").alias("node")).union(df.select("b")).distinct()
-    marks = spark.sparkContext.broadcast(_marks(ends(pairs)))
-    # The upper halves of the hashes do for that.
-    brief = _marked(node.select("node", "rep", F.transform("prefix", lambda x: F.shiftright(x, 32).cast("int")).alias("brief")), marks)
-    able = _common(pairs, brief, "brief").where(F.col("common") >= F.least(F.lit(SHARE), F.expr(f"({percent} * greatest(na, nb) + 99) div 100")))
-    able = materialise(able.drop("common"), "able")
-    wanted = materialise(brief.select("node", "rep").join(ends(able), "node", "left_semi"), "wanted")
-    texts = spark.sparkContext.broadcast(_marks(wanted.select("rep")))
-    sets = _sets(docs, k, texts).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets = materialise(sets, "sets")
-    out = materialise(_common(able, sets, "shingles"), "compared")
-    marks.destroy()
-    texts.destroy()
-    discard(able, wanted, sets)
-    return out
-
-
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text; further columns are ignored).
 
@@ -187,45 +94,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     member = node.select("node", F.posexplode(rarest).alias("pos", "s"))
     shared = member.groupBy("s").agg(F.count("*").alias("members")).where("members > 1").select("s")
     member = materialise(member.join(shared, "s").join(node.select("node", "n", "pri"), "node"), "shared")
-    top = member.groupBy("s").agg(F.max("pri").alias("top"))
-    member, bare = materialise(member.join(top, "s"), "regions"), member
-    discard(bare)
-
-    size = lambda m, n: (100 * F.least(m, n) >= percent * F.greatest(m, n))
-    # The first common shingle at places i and j: at most least(m - i, n - j) are common, and i + j others are not.
-    window = lambda m, n, i, j: F.expr(f"{100 + percent} * ({i} + {j}) <= {100 - percent} * ({m} + {n}) and {100 + percent} * least({m} - {i}, {n} - {j}) >= {percent} * ({m} + {n})")
-    linked = F.expr(f"100 * common >= {percent} * (na + nb - common)")
-
-    pivot = member.where("pri = top").select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    near = member.select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    near = near.join(pivot, "s").where((F.col("a") != F.col("b")) & size("na", "nb") & window("na", "nb", "pa", "pb"))
-    near = materialise(near.select("a", "b", "na", "nb").distinct(), "near")
-    star = _compare(docs, k, percent, near, node)
-    discard(near)
-    label = components(star.where(linked))
-
-    # The pivot's region again, each member with its class and its distance to the pivot where it is known.
-    far = star.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
-    inside = member.join(label, "node", "left").select("s", "node", "n", "pos", (F.col("pri") == F.col("top")).alias("first"), F.coalesce("label", "node").alias("label"))
-    mixed = inside.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("first"), F.col("label"))).alias("main"), F.min(F.when(F.col("first"), F.col("node"))).alias("pivot"))
-    inside = inside.where("not first").join(mixed.where("low <> high").select("s", "main", "pivot"), "s").join(far, ["node", "pivot"], "left")
-    inside = materialise(inside.select("s", "node", "n", "pos", "label", "d", (F.col("label") != F.col("main")).alias("out")), "inside")
-    discard(member)
-    x = inside.where("out").select("s", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "label", "d")))
-    rest = x.join(inside, "s").where((F.col("label_x") != F.col("label")) & (~F.col("out") | (F.col("node_x") < F.col("node"))) & size("n_x", "n") & window("n_x", "n", "pos_x", "pos") & F.expr(f"d_x is null or d is null or abs(d_x - d) <= {(100 - percent) / 100} + 1e-9"))
-    rest = rest.select(F.col("node_x").alias("a"), F.col("node").alias("b"), F.col("n_x").alias("na"), F.col("n").alias("nb")).distinct()
-    rest = materialise(rest, "rest")
-    discard(inside)
-    pairs = _compare(docs, k, percent, rest, node).where(linked)
-    discard(rest)
-    if not pairs.isEmpty():
-        discard(label)
-        label = components(star.where(linked).unionByName(pairs))
-    discard(star, pairs)
-
-    least = node.join(label, "node").groupBy("label").agg(F.min("rep").alias("component_id"))
-    least = node.join(label, "node", "left").join(least, "label", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    return profile.join(least, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return labelled(profile, node, classes(docs, k, percent, node, member))
 
 
 def _whole_row(docs: DataFrame) -> Column:

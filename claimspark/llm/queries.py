@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimspark.llm import alignment, ann, chat, decontaminate, jaccard_join, mixing, pii, quality, token_count, token_store, vector_codes, warc
+from claimspark.llm import alignment, ann, chat, decontaminate, jaccard_join, minhash, mixing, pii, quality, token_count, token_store, vector_codes, warc
 from claimspark.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
 
+def op12_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_components(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_personal_data": op9_personal_data,
     "op10_warc_round_trip": op10_warc_round_trip,
     "op11_token_alignment": op11_token_alignment,
+    "op12_circulant_minhash": op12_circulant_minhash,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -116,6 +121,27 @@ def _mixing_sql() -> str:
         FROM rows_{mixing.FILLS} r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source"""
 
 
+def _components_sql(k: int, percent: int, more: str = "") -> str:
+    """All pairs that share a shingle, and what they reach."""
+    return rf"""
+        WITH RECURSIVE tokens AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        sets AS (
+            SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= {k} THEN list_transform(range(1, len(w) - {k - 2}), lambda i: concat_ws(' ', w[i], {', '.join(f'w[i + {j}]' for j in range(1, k))})) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s
+            FROM tokens),
+        copies AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM sets GROUP BY s),
+        items AS (SELECT rep, n, unnest(s) AS t FROM copies),
+        common AS (
+            SELECT a.rep AS x, b.rep AS y, a.n AS nx, b.n AS ny, count(*) AS c
+            FROM items a JOIN items b ON a.t = b.t AND a.rep < b.rep AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+            GROUP BY ALL),
+        links AS (SELECT x, y FROM common WHERE 100 * c >= {percent} * (nx + ny - c)),
+        edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links UNION SELECT x, x FROM links UNION SELECT y, y FROM links),
+        reach AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x),
+        least_id AS (SELECT x, min(y) AS low FROM reach GROUP BY x)
+        SELECT d.doc_id, c.n::BIGINT AS n_shingles, CASE WHEN c.n = 0 THEN d.doc_id ELSE coalesce(l.low, c.rep) END AS component_id{more}
+        FROM sets d JOIN copies c ON d.s = c.s LEFT JOIN least_id l ON c.rep = l.x"""
+
+
 _BASE32 = "list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || sha1(h)[1 + 5 * (i // 4) : 5 + 5 * (i // 4)])::BIGINT) >> (15 - 5 * (i % 4))) & 31)::INT, 1) for i in range(32)], 'string_agg', '')"
 
 
@@ -156,21 +182,6 @@ ORACLES: dict[str, str] = {
         FROM p JOIN f ON p.h = f.h""",
     "op3_source_mixing": _mixing_sql(),
     "op13_vector_codes": _codes_sql(),
-    "op4_ngram_jaccard_join": rf"""
-        WITH RECURSIVE tokens AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-        sets AS (
-            SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s
-            FROM tokens),
-        copies AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM sets GROUP BY s),
-        items AS (SELECT rep, n, unnest(s) AS t FROM copies),
-        common AS (
-            SELECT a.rep AS x, b.rep AS y, a.n AS nx, b.n AS ny, count(*) AS c
-            FROM items a JOIN items b ON a.t = b.t AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
-            GROUP BY ALL),
-        links AS (SELECT x, y FROM common WHERE 100 * c >= 90 * (nx + ny - c)),
-        edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links UNION SELECT x, x FROM links UNION SELECT y, y FROM links),
-        reach AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x),
-        least_id AS (SELECT x, min(y) AS low FROM reach GROUP BY x)
-        SELECT d.doc_id, c.n::BIGINT AS n_shingles, CASE WHEN c.n = 0 THEN d.doc_id ELSE coalesce(l.low, c.rep) END AS component_id
-        FROM sets d JOIN copies c ON d.s = c.s LEFT JOIN least_id l ON c.rep = l.x""",
+    "op4_ngram_jaccard_join": _components_sql(3, 90),
+    "op12_circulant_minhash": _components_sql(5, 85, ", d.doc_id = component_id AS kept"),
 }

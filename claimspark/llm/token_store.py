@@ -1,7 +1,9 @@
 """Token ids in training order: fixed-stride binary shards whose global order is a keyed permutation.
 
-Texts become sequences of LENGTH ids. A sequence's number is a hash of its text's file and row and of its place in the
-text, so it doesn't depend on how the table is split for reading. A Feistel network over the key permutes the numbers;
+Texts become sequences of LENGTH ids. A sequence's number is a hash of its document's id and text and of its place in the
+text, so it doesn't depend on where the table lies, in what order, or how it is split for reading. Equal rows have equal
+numbers, and which of them is which nobody can tell; only those that are more than a shard's number of records are told
+apart by a count, so that they are dealt to all shards. A Feistel network over the key permutes the numbers;
 equal ranges of what it gives are the shards, and range partitions gather them. How many sequences a shard has is known
 only then: a second Feistel network, which walks the cycle until it is below that size, gives each its place, and the
 shards' sizes in their order give every place its global slot. All texts are encoded once and moved once.
@@ -20,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ KEY = 0x5EED5EED
 ROUNDS = 6
 #: Numbers before the first permutation are below this.
 NUMBERS = 1 << 62
+#: Copies of a much repeated row that one row stands for.
+BLOCK = 1 << 10
 #: Records that a task gathers before it sends them to their shards.
 GATHERED = 1 << 15
 
@@ -72,25 +75,31 @@ def read_ranks(path: str = RANKS) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, at) of each row, ``at`` a hash of its file and row; what isn't read from Parquet files as it is, is written first."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    try:
-        placed = docs.select("doc_id", "text", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("at"))
-        if "Exchange" not in placed._jdf.queryExecution().executedPlan().toString():
-            return placed
-    except AnalysisException:
-        pass
-    return _placed(materialise(docs, "texts"))
+def _placed(docs: DataFrame, most: int) -> DataFrame:
+    """(doc_id, text, at, first, copies) of each row, ``at`` a hash of it; of rows there more than ``most`` times, blocks of copies.
 
-
-def _sequences(ids: list[bytes], at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    Every such row takes ``most`` of all, so that what is broadcast has a ``most``-th of the table's rows at most.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("at", F.xxhash64(F.isnull("doc_id"), "doc_id", F.isnull("text"), "text"))
+    often = docs.groupBy("at").count().where(F.col("count") > most).select("at")
+    often = F.broadcast(materialise(often, "often"))
+    single = docs.join(often, "at", "left_anti").select("doc_id", "text", "at", F.lit(0).cast("long").alias("first"), F.lit(1).cast("long").alias("copies"))
+    # Copies are counted before the shuffle; a block of them is a row of its own again.
+    block = max(1, min(most, BLOCK))
+    many = docs.join(often, "at", "left_semi").groupBy("at", "doc_id").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    many = many.select("doc_id", "text", "at", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {block}"))).alias("k"))
+    many = many.select("doc_id", "text", "at", (F.col("k") * block).alias("first"), F.least(F.lit(block), F.col("n") - F.col("k") * block).alias("copies"))
+    return single.unionByName(many.hint("rebalance"))
+
+
+def _sequences(ids: list[bytes], at: np.ndarray, copy: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(number, row, seq, used, ids) of the sequences of texts whose ids, two bytes each, are given; ``ids`` one after the other."""
     count = np.array([len(x) // 2 for x in ids], np.int64)
     n = -(-count // length)
     row = np.repeat(np.arange(len(n)), n)
     seq = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    number = hashing.mix(at.astype(np.uint64)[row] + hashing.mix(seq.astype(np.uint64))) & np.uint64(NUMBERS - 1)
+    whole = hashing.mix(at.astype(np.uint64) + hashing.mix(hashing.mix(copy.astype(np.uint64))))
+    number = hashing.mix(whole[row] + hashing.mix(seq.astype(np.uint64))) & np.uint64(NUMBERS - 1)
     return number, row, seq.astype(np.int32), np.minimum(length, count[row] - seq * length), np.frombuffer(b"".join(ids), np.uint16)
 
 
@@ -118,6 +127,16 @@ def _unpacked(data: bytes, n: int, m: int) -> list[np.ndarray]:
     return [np.frombuffer(raw, k, size, int(at)) for (k, size), at in zip(kinds, sizes[:-1], strict=True)]
 
 
+def _copies(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]:
+    """(doc_id, text, at, copy) of some rows at a time, each as often as it has copies."""
+    copies = batch.column(4).to_numpy()
+    row = np.repeat(np.arange(len(copies)), copies)
+    copy = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies) + batch.column(3).to_numpy()[row]
+    for k in range(0, len(row), 256):
+        part = batch.take(pa.array(row[k : k + 256]))
+        yield part.column(0), part.column(1), part.column(2).to_numpy(), copy[k : k + 256]
+
+
 def store(docs: DataFrame, folder: str, length: int = LENGTH, shard: int = SHARD, key: int = KEY) -> DataFrame:
     """Write ``docs`` (doc_id, text) as shards below ``folder``; (shard, path, records, first) of each, ``first`` its first slot.
 
@@ -125,10 +144,10 @@ def store(docs: DataFrame, folder: str, length: int = LENGTH, shard: int = SHARD
     only, of equal bytes.
     """
     spark = docs.sparkSession
-    placed, vocabulary = _placed(docs), read_ranks()
+    placed, vocabulary = _placed(docs, shard), read_ranks()
     end, kind = len(vocabulary), record_type(length)
     ranks = spark.sparkContext.broadcast(vocabulary)
-    texts, size = placed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    texts, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     shards = max(1, round((texts + size / BYTES_OF_ID / length) / shard))
     tasks = min(shards, 100_000)
 
@@ -143,9 +162,8 @@ def store(docs: DataFrame, folder: str, length: int = LENGTH, shard: int = SHARD
             return pa.RecordBatch.from_arrays([pa.array([x * tasks // shards for x in at], pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int32()), pa.array(m, pa.int64()), pa.array(data, pa.binary())], ["part", "shard", "n", "m", "data"])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                doc, text, at = batch.slice(k, 256).columns
-                number, row, seq, used, ids = _sequences([array("H", encode(x.as_py() or "")).tobytes() + stop for x in text], at.to_numpy(), length)
+            for doc, text, at, copy in _copies(batch):
+                number, row, seq, used, ids = _sequences([array("H", encode(x.as_py() or "")).tobytes() + stop for x in text], at, copy, length)
                 valid = doc.is_valid().to_numpy(zero_copy_only=False)
                 held.append((feistel(number, NUMBERS, key), doc.fill_null(0).to_numpy()[row], valid[row], seq, used, ids))
                 gathered += len(row)

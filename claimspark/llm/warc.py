@@ -14,7 +14,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,28 +71,29 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 def write(pages: DataFrame, folder: str) -> DataFrame:
     """Write marked pages into archives below ``folder``; (path, records) of each archive."""
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root)
         out, path, n, size = None, "", 0, 0
-        for frame in frames:
-            for page_id, url, html, refers_to in zip(frame["page_id"], frame["url"], frame["html"], frame["refers_to"], strict=True):
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], ["path", "records"])
+        for batch in batches:
+            for row in range(len(batch)):
+                page_id, url, html, refers_to = (c[row].as_py() for c in batch.columns)
                 if out is None:
                     path, n, size = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(path, compression=None)
-                whole = lambda x: None if pd.isna(x) else int(x)
-                member = record(whole(page_id), url, html.encode(), whole(refers_to))
+                member = record(page_id, url, html.encode(), refers_to)
                 out.write(member)
                 n, size = n + 1, size + len(member)
                 if size >= ARCHIVE_BYTES:
                     out.close()
                     out = None
-                    yield pd.DataFrame({"path": [path], "records": [n]})
+                    yield done()
         if out is not None:
             out.close()
-            yield pd.DataFrame({"path": [path], "records": [n]})
+            yield done()
 
-    return pages.select("page_id", "url", "html", "refers_to").mapInPandas(task, "path string, records long")
+    return pages.select(F.col("page_id").cast("long"), "url", "html", F.col("refers_to").cast("long")).mapInArrow(task, "path string, records long")
 
 
 def members(stream: Iterator[bytes]) -> Iterator[bytes]:
@@ -140,30 +141,30 @@ def read(archives: DataFrame, folder: str, texts: bool = False) -> DataFrame:
         digits = field[len("<urn:page:") : -1] if field else ""
         return int(digits) if digits else None
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = pa.schema([(part.split()[0], pa.int64() if part.endswith("long") else pa.string()) for part in schema.split(", ")])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
-        for frame in frames:
-            for path in frame["path"]:
-                rows = []
-                with store.open_input_stream(path, compression=None) as stream:
-                    for member in members(pieces(stream)):
-                        fields, block = parse(member)
-                        http, _, payload = block.partition(b"\r\n\r\n")
-                        size = int(http.rpartition(b"Content-Length: ")[2])
-                        row = (number(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), size, fields["WARC-Payload-Digest"][5:], fields["WARC-Type"], number(fields.get("WARC-Refers-To")))
-                        rows.append((*row, payload.decode()) if texts else row)
-                        if len(rows) >= (64 if texts else 4096):
-                            yield frame_of(rows)
-                            rows = []
-                if rows:
-                    yield frame_of(rows)
-
-    def frame_of(rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=[part.split()[0] for part in schema.split(", ")])
-        return frame.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+        for path in (x.as_py() for batch in batches for x in batch.column(0)):
+            rows = []
+            with store.open_input_stream(path, compression=None) as stream:
+                for member in members(pieces(stream)):
+                    fields, block = parse(member)
+                    http, _, payload = block.partition(b"\r\n\r\n")
+                    size = int(http.rpartition(b"Content-Length: ")[2])
+                    row = (number(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), size, fields["WARC-Payload-Digest"][5:], fields["WARC-Type"], number(fields.get("WARC-Refers-To")))
+                    rows.append((*row, payload.decode()) if texts else row)
+                    if len(rows) >= (64 if texts else 4096):
+                        yield batch_of(rows)
+                        rows = []
+            if rows:
+                yield batch_of(rows)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds.types)], schema=kinds)
 
     n = max(1, archives.count())
-    return archives.repartition(min(n, 10_000)).select("path").mapInPandas(task, schema)
+    return archives.repartition(min(n, 10_000)).select("path").mapInArrow(task, schema)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, texts: bool = False) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from claimspark.functions.text import identity, match_key, present, without_prefix
 from claimspark.operators.claims import EVENT, base_scores, decide, latest_claims, strongest
 from claimspark.operators.reconcile import best_per_key, pending
+from claimspark.sources.shared import kept
 
 #: A candidate's required fields, in the order in which missing ones are named.
 REQUIRED = {"artist_name": "artistName", "venue_name": "venueName", "venue_location": "venueLocation", "date": "date", "start_time": "startTime"}
@@ -152,17 +153,16 @@ def _outcome(df: DataFrame, status: str, **columns: Column) -> DataFrame:
     return out.select(*OUTCOME)
 
 
-def project(items: DataFrame, world: World, now: Column, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def project(items: DataFrame, world: World, now: Column, keep: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
     """One row of OUTCOME for each item (idempotency_key, source_id, observation_id, candidate_key, action, claim_ids).
 
     status is idempotent, exception, shadow or success. Items of one batch that need the same new artist, venue or event
     share its id; the least idempotency_key among them counts as its creator. ``keep`` stores a stage that several
-    later ones read.
+    later ones read, in the folder that driver and executors share unless it is told otherwise.
     """
-    todo = pending(items, world.ledger)
+    todo = keep(pending(items, world.ledger).join(world.sources, "source_id", "left"))
     done = _outcome(items.join(todo.select("idempotency_key"), "idempotency_key", "left_anti"), "idempotent")
-    todo = todo.join(world.sources, "source_id", "left")
-    found = item_claims(todo, world.claims)
+    found = keep(item_claims(todo, world.claims))
     staged = todo.join(event_candidates(found), "idempotency_key", "left")
     proposed = found.join(todo.select("idempotency_key", F.explode("claim_ids").alias("claim_id")).distinct(), ["idempotency_key", "claim_id"])
     proposed = proposed.groupBy("idempotency_key").agg(F.min_by("claim_id", F.struct("observed_at", "claim_id")).alias("proposed_claim_id"))
@@ -222,9 +222,11 @@ def _put_forward(items: DataFrame, world: World, keep: Callable[[DataFrame], Dat
     owned = world.events.select(F.col("id").alias("event_id"), owner_managed().alias("owner_managed"), F.col("cancelled"), F.col("is_public"))
     out = keep(out.join(owned, "event_id", "left").withColumn("owner_managed", F.coalesce("owner_managed", F.lit(False))))
     # Several items may need one new entity: one of them creates it, the others find it there.
-    for kind in ("artist", "venue", "event"):
-        first = out.where(f"new_{kind} and not blocked").groupBy(f"{kind}_id").agg(F.min("idempotency_key").alias("_first"))
-        out = out.join(first, f"{kind}_id", "left").withColumn(f"new_{kind}", F.coalesce(F.col(f"new_{kind}") & (F.col("idempotency_key") == F.col("_first")), F.lit(False))).drop("_first")
+    kinds = ("artist", "venue", "event")
+    needs = F.array_compact(F.array(*(F.when(F.col(f"new_{kind}"), F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}_id").alias("id"))) for kind in kinds)))
+    first = out.where("not blocked").select("idempotency_key", F.inline(needs)).groupBy("kind", "id").agg(F.min("idempotency_key").alias("idempotency_key"))
+    first = first.groupBy("idempotency_key").agg(*(F.max(F.col("kind") == kind).alias(f"makes_{kind}") for kind in kinds))
+    out = out.join(first, "idempotency_key", "left").withColumns({f"new_{kind}": F.coalesce(f"makes_{kind}", F.lit(False)) for kind in kinds})
     changes = {"tombstoned": F.lit(False), "destructive": F.lit(False), "mutation": (F.col("action") == "update") | ~F.col("new_event"), "support": F.lit(None).cast("int"), "proposed": F.lit(0)}
     out = keep(decide(out.withColumns(changes)))
     flags = {"artist_id": F.col("artist_id"), "venue_id": F.col("venue_id"), "event_id": F.col("event_id"), "artist_created": F.col("new_artist"), "venue_created": F.col("new_venue")}

@@ -154,9 +154,12 @@ def test_store_swaps_and_tells_conflicts(spark, tmp_path):
     assert {r["id"] for r in store.read("t", schema).where("at = '2'").collect()} == {"k1"} and store.read("t", schema).count() == 20
     for n in range(5):
         store.upsert("t", spark.createDataFrame([("k3", str(n))], schema), ["id"], schema)
-    assert len(store._versions("t")) == 3 and store.read("t", schema).where("id = 'k3'").first()["at"] == "4" and store.read("t", schema).count() == 20
+    assert len(store.commits()) == 3 and store.read("t", schema).where("id = 'k3'").first()["at"] == "4" and store.read("t", schema).count() == 20
+    late = store.transaction()
+    late.upsert("t", spark.createDataFrame([("k3", "late")], schema), ["id"], schema)
+    store.upsert("t", spark.createDataFrame([("k4", "first")], schema), ["id"], schema)
     with pytest.raises(Conflict):
-        store._commit("t", store._state("t")[0], {})
+        late.commit()
 
 
 def test_run_state_stream(spark, tmp_path):

@@ -35,7 +35,7 @@ MARKS = 24
 SHARE = 4
 #: Combinations of outside members and members above which a region is divided, pivots of a division, and what share of its
 #: region's combinations a cell may have to be divided again.
-PAIRS, PIVOTS, SHRUNK = 1 << 16, 32, 0.8
+PAIRS, PIVOTS, SHRUNK = 1 << 22, 32, 0.8
 
 
 def all_shingles(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

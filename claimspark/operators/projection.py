@@ -252,12 +252,13 @@ def tombstone_rows(outcomes: DataFrame, candidates: DataFrame, world: World, cre
     return best_per_key(rows, ["id"], F.struct(F.lit(0)), F.col("idempotency_key")).drop("idempotency_key")
 
 
-def reinstated(tombstones: DataFrame, outcomes: DataFrame, candidates: DataFrame, at: str) -> DataFrame:
-    """``tombstones`` after the run: those that a strong source's event brought back are reinstated, none is deleted."""
+def reinstated(tombstones: DataFrame, outcomes: DataFrame, candidates: DataFrame, at: str, changed: bool = False) -> DataFrame:
+    """``tombstones`` after the run: those that a strong source's event brought back are reinstated, none is deleted. With ``changed`` only these."""
     keys = ["artist_id", "venue_id", "date"]
     back = outcomes.where("reinstated").join(candidates, "idempotency_key").groupBy(*keys).agg(F.min("claim_id").alias("_claim"))
-    out = tombstones.join(back.withColumn("_back", F.lit(True)), keys, "left")
+    out = tombstones.join(back.withColumn("_back", F.lit(True)), keys, "inner" if changed else "left")
     hit = F.coalesce(F.col("_back") & (F.col("status") == "active"), F.lit(False))
+    out = out.where(hit) if changed else out
     return out.select(*keys, F.when(hit, "reinstated").otherwise(F.col("status")).alias("status"), F.when(hit, F.lit(at)).alias("superseded_at"), F.when(hit, F.col("_claim")).alias("superseded_by_claim_id"))
 
 
@@ -280,6 +281,15 @@ def merged_mappings(mappings: DataFrame, outcomes: DataFrame) -> DataFrame:
     return mappings.select(*keys, *ids).join(new, keys, "full_outer").select(*keys, *(F.coalesce(f"_{c}", c).alias(c) for c in ids))
 
 
+def changed_mappings(mappings: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The rows of :func:`merged_mappings` that the run's successes and shadows name; no other row is read further than its key."""
+    keys, ids = ["source_id", "candidate_key"], ["artist_id", "venue_id", "event_id"]
+    new = outcomes.where("status in ('success', 'shadow')")
+    new = best_per_key(new.select(*keys, *ids, "idempotency_key"), keys, F.struct(F.lit(0)), F.col("idempotency_key"))
+    old = mappings.select(*keys, *(F.col(c).alias(f"_{c}") for c in ids))
+    return new.join(old, keys, "left").select(*keys, *(F.coalesce(c, f"_{c}").alias(c) for c in ids))
+
+
 def support_links(outcomes: DataFrame, found: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """(entity_type, entity_id, claim_id) that successful creations and updates add: all claims to the event, performer claims to the artist, place claims to the venue.
 
@@ -307,6 +317,55 @@ def update_payload(existing: Column) -> list[Column]:
     return [F.col("artist_id"), F.col("venue_id"), F.col("date"), F.col("start_time"), ids.alias("external_ids"), *optional, paid.alias("ticketed")]
 
 
+def new_entities(outcomes: DataFrame, candidates: DataFrame, kind: str) -> DataFrame:
+    """The artists or venues that a run creates: id, name, where they are, and the source's id for them (by name, if it has none)."""
+    made = outcomes.where(f"status = 'success' and {kind}_created").select("idempotency_key", "source_id", F.col(f"{kind}_id").alias("id")).join(candidates, "idempotency_key")
+    name = F.lower(F.col(f"{kind}_name"))
+    if kind == "artist":
+        own, where = F.concat(F.lit("name:"), name), {"location": F.coalesce("artist_location", "venue_location"), "region": F.col("venue_location")}
+    else:
+        own, where = F.concat(F.lit("name:"), name, F.lit(":"), F.lower("venue_location")), {"city": F.col("venue_location"), "address": F.col("venue_address")}
+    external = F.array(F.struct(F.col("source_id").alias("source"), F.coalesce(f"{kind}_external_id", own).alias("id")))
+    return made.select("id", F.col(f"{kind}_name").alias("name"), *(c.alias(n) for n, c in where.items()), external.alias("external_ids"))
+
+
+#: What an event has besides its ids; an update leaves unset what its candidate lacks.
+EVENT_TEXTS = ("date", "start_time", "end_time", "title", "event_url", "ticket_url", "price")
+
+
+def changed_events(outcomes: DataFrame, candidates: DataFrame, events: DataFrame) -> DataFrame:
+    """The events that a run creates, updates, cancels, hides or brings back, whole, one row each.
+
+    Items of one event count in the order of their keys: a later one's value stands, and what it leaves unset stays. ``events`` may
+    lack columns, which are null then.
+    """
+    touched = outcomes.where("status = 'success' and (event_created or event_updated or event_cancelled or event_hidden or reinstated)")
+    rows = touched.join(candidates.drop("n_claims", "status"), "idempotency_key", "left").withColumn("source_event_key", without_prefix(F.col("candidate_key"), F.concat(F.lit("event:"), F.col("source_id"), F.lit(":"))))
+    put = F.col("event_created") | F.col("event_updated")
+    paid = F.when(F.nullif(F.col("admission_status"), F.lit("")).isNotNull(), F.col("admission_status") == "PAID_CONFIRMED")
+    value = {"artist_id": F.col("artist_id"), "venue_id": F.col("venue_id"), **{c: F.nullif(F.col(c), F.lit("")) for c in EVENT_TEXTS}, "ticketed": paid}
+    value = {c: F.when(put, v) for c, v in value.items()}
+    value["cancelled"] = F.when(F.col("event_cancelled"), F.lit(True)).when(F.col("reinstated"), F.lit(False))
+    value["is_public"] = F.when(F.col("event_hidden"), F.lit(False)).when(F.col("reinstated"), F.lit(True))
+    last = lambda c, v: F.max_by(v, F.when(v.isNotNull(), F.col("idempotency_key"))).alias(f"_{c}")
+    ids = F.sort_array(F.collect_set(F.when(put, F.struct("idempotency_key", F.struct(F.col("source_id").alias("source"), F.col("source_event_key").alias("id")).alias("x")))))
+    new = rows.groupBy(F.col("event_id").alias("id")).agg(*(last(c, v) for c, v in value.items()), ids.alias("_ids"))
+    kinds = {"cancelled": "boolean", "is_public": "boolean", "ticketed": "boolean", "verified_by_artist": "boolean", "artist_ids": "array<string>", "external_ids": "array<struct<source:string,id:string>>"}
+    columns = ("artist_id", "artist_ids", "venue_id", *EVENT_TEXTS, "ticketed", "cancelled", "is_public", "membership_id", "verified_by_artist", "external_ids")
+    old = events.select("id", *(F.col(c) if c in events.columns else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in columns))
+    both = new.join(old, "id", "left")
+    merged = F.array_distinct(F.concat(F.coalesce("external_ids", F.array().cast(kinds["external_ids"])), F.transform("_ids", lambda x: x["x"])))
+    found = {c: F.coalesce(f"_{c}", c) for c in value} | {"cancelled": F.coalesce("_cancelled", "cancelled", F.lit(False)), "is_public": F.coalesce("_is_public", "is_public", F.lit(True)), "external_ids": merged}
+    return both.select("id", *(found.get(c, F.col(c)).alias(c) for c in columns))
+
+
+def withdrawals(outcomes: DataFrame, priors: DataFrame, at: str) -> DataFrame:
+    """(id, source_id, observation_id, prior_claim_id, source_event_key, reason, created_at) of hidden events whose source had said something before."""
+    gone = outcomes.where("status = 'success' and event_hidden").join(priors, "idempotency_key")
+    key = without_prefix(F.col("candidate_key"), F.concat(F.lit("event:"), F.col("source_id"), F.lit(":")))
+    return gone.select(identity("withdrawal-", F.col("idempotency_key")).alias("id"), "source_id", "observation_id", "prior_claim_id", key.alias("source_event_key"), F.lit("absent-from-complete-snapshot").alias("reason"), F.lit(at).alias("created_at"))
+
+
 def verified(outcomes: DataFrame, candidates: DataFrame, events: DataFrame) -> DataFrame:
     """(idempotency_key, problem) of written events that don't read back as they should: missing, or another date, venue or artist."""
     wrote = outcomes.where("status = 'success' and not protected and not event_cancelled and not event_hidden").join(candidates.select("idempotency_key", F.col("date").alias("_date")), "idempotency_key")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from claimspark.operators import access, claims, graph, projection, reconcile
 from claimspark.plans.registry import listed, load, pick, query, text
-from claimspark.sources.shared import kept
+from claimspark.sources import sinks
+from claimspark.sources.shared import kept, shared_folder
+from claimspark.sources.store import Store
 
 CLASSES = list(claims.BASE_SCORE)
 STRONG = "('owner', 'artist-owned', 'venue-owned')"
@@ -139,6 +141,25 @@ def tombstone_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.tombstone_rows(out, dated, around, NOW).select("id", "reason", "canonical_event_id")
 
 
+@query(f"""WITH {_WORLD}, x AS (SELECT * FROM outcome WHERE status = 'success' AND (event_created OR event_updated OR event_cancelled OR event_hidden OR reinstated)),
+    n AS (SELECT event_id AS id, idempotency_key AS i, event_created OR event_updated AS put, source_id || ':' || k AS own, artist, venue, d, CASE WHEN event_cancelled THEN true WHEN reinstated THEN false END AS cancelled, CASE WHEN event_hidden THEN false WHEN reinstated THEN true END AS shown FROM x),
+    old AS (SELECT 'e' || k AS id, 'a' || (c % 200) AS artist, 'v' || (c % 60) AS venue, d, source || ':' || k AS own FROM i WHERE there),
+    e AS (SELECT n.id, coalesce(arg_max(n.artist, i) FILTER (put), any_value(old.artist)) AS artist_id, coalesce(arg_max(n.venue, i) FILTER (put), any_value(old.venue)) AS venue_id, coalesce(arg_max(n.d, i) FILTER (put), any_value(old.d)) AS date,
+        coalesce(arg_max(cancelled, i) FILTER (cancelled IS NOT NULL), false) AS cancelled, coalesce(arg_max(shown, i) FILTER (shown IS NOT NULL), true) AS is_public, list_sort(list_distinct(list_filter([any_value(old.own)], lambda z: z IS NOT NULL) || coalesce(list(n.own) FILTER (put), []))) AS ids
+        FROM n LEFT JOIN old ON n.id = old.id GROUP BY n.id)
+    SELECT id, artist_id, venue_id, date, cancelled, is_public, array_to_string(ids, ',') AS external_ids FROM e""")
+def projection_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events that a run changes, written with all its other changes in one commit and read back from the store."""
+    items, around = world(spark, sf_dir)
+    out = keep(projection.project(items, around, F.to_timestamp(F.lit(NOW)), keep))
+    found = keep(projection.item_claims(items, around.claims))
+    put = projection.event_candidates(found).join(items.select("idempotency_key", F.try_element_at("claim_ids", F.lit(1)).alias("claim_id")), "idempotency_key")
+    store = Store(spark, shared_folder(spark, "canonical"), indexes={"event": ["venue_id"]})
+    sinks.write_projection(store, out, found, put, around, NOW)
+    events = store.read("event", "id string, artist_id string, venue_id string, date string, cancelled boolean, is_public boolean, external_ids array<struct<source:string,id:string>>")
+    return events.withColumn("external_ids", F.array_join(F.sort_array(F.transform("external_ids", lambda x: F.concat(x["source"], F.lit(":"), x["id"]))), ","))
+
+
 @query(f"""WITH {_WORLD}, new AS (SELECT source_id, 'event:' || source_id || ':' || k AS candidate_key, CASE WHEN status = 'success' THEN CASE WHEN event_cancelled OR event_hidden THEN 'a' || (c % 200) ELSE artist END END AS a, event_id AS e FROM outcome WHERE status IN ('success', 'shadow')),
     old AS (SELECT source AS source_id, 'event:' || source || ':' || k AS candidate_key, 'a' || (c % 200) AS a, 'e' || k AS e FROM i WHERE mapped)
     SELECT coalesce(new.source_id, old.source_id) AS source_id, coalesce(new.candidate_key, old.candidate_key) AS candidate_key, coalesce(new.a, old.a) AS artist_id, coalesce(new.e, old.e) AS event_id FROM new FULL JOIN old ON new.candidate_key = old.candidate_key""")

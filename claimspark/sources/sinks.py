@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimspark.functions import text, times
 from claimspark.operators import projection
+from claimspark.sources.shared import kept
 from claimspark.sources.store import Store
 
 ARTIFACTS = ("normalised", "diff", "parity", "run-report")
@@ -51,24 +52,52 @@ def capture_status(store: Store, captures: DataFrame, schema: str) -> None:
     store.upsert("capture", now.join(new, "id").withColumn("status", F.col("_status")).select(now.columns), ["id"], schema)
 
 
-def write_projection(store: Store, outcomes: DataFrame, found: DataFrame, candidates: DataFrame, world: projection.World, at: str) -> None:
-    """The changes of a projection: links, mappings, tombstones, exceptions, enrichment items, then the ledger.
+def write_projection(store: Store, outcomes: DataFrame, found: DataFrame, candidates: DataFrame, world: projection.World, at: str, batch: tuple[str, int] | None = None) -> bool:
+    """All changes of a projection in one commit: canonical artists, venues and events, links, mappings, tombstones, withdrawals, exceptions, enrichment items and the ledger.
 
-    The ledger comes last: a run that ends before it is run again, and finds its own rows.
+    ``candidates`` are those of :func:`projection.event_candidates` with claim_id, the claim that each item puts forward. Readers see
+    the run whole or not at all, and a run that is repeated changes nothing more. With ``batch``, a writer's name and a growing number,
+    a batch that is committed already is left out; the result is whether this one was written.
     """
     types = lambda df: ", ".join(f"{c} {t}" for c, t in df.dtypes)
-    links = projection.support_links(outcomes, found)
-    store.put_once("support_link", links, links.columns, types(links))
-    mappings = projection.merged_mappings(world.mappings, outcomes)
-    store.upsert("projection_mapping", mappings, ["source_id", "candidate_key"], types(mappings))
-    graves = projection.tombstone_rows(outcomes, candidates, world, at)
-    store.put_once("tombstone", graves, ["id"], types(graves))
-    failed = projection.exceptions(outcomes, at)
-    store.put_once("projection_exception", failed, ["id"], types(failed))
-    more = projection.enrichment_items(outcomes)
-    store.put_once("entity_enrichment", more, ["id"], types(more))
-    done = projection.ledger_rows(outcomes)
-    store.upsert("projection_item", done, ["idempotency_key"], types(done))
+    outcomes, found, candidates = kept(outcomes, "outcomes"), kept(found, "found"), kept(candidates, "candidates")
+    with store.transaction() as change:
+        if batch and not change.once(*batch):
+            change.writer = None
+            return False
+        for kind in ("artist", "venue"):
+            rows = projection.new_entities(outcomes, candidates, kind)
+            change.put_once(kind, rows, ["id"], types(rows))
+        events = projection.changed_events(outcomes, candidates, world.events)
+        change.upsert("event", events, ["id"], types(events))
+        links = projection.support_links(outcomes, found)
+        change.put_once("support_link", links, links.columns, types(links))
+        mappings = projection.changed_mappings(world.mappings, outcomes)
+        change.upsert("projection_mapping", mappings, ["source_id", "candidate_key"], types(mappings))
+        graves = projection.tombstone_rows(outcomes, candidates, world, at)
+        later = {c: F.lit(None).cast("string") for c in ("superseded_at", "superseded_by_claim_id")}
+        graves = graves.withColumns(later)
+        change.put_once("tombstone", graves, ["id"], types(graves))
+        change.upsert("tombstone", _brought_back(change.read("tombstone", types(graves)), projection.reinstated(world.tombstones, outcomes, candidates, at, changed=True)), ["id"], types(graves))
+        sources = outcomes.join(candidates.select("idempotency_key", F.col("claim_id").alias("proposed_claim_id")), "idempotency_key").select("idempotency_key", "source_id", "proposed_claim_id")
+        gone = projection.withdrawals(outcomes, projection.prior_claims(found, sources), at)
+        change.put_once("source_withdrawal", gone, ["id"], types(gone))
+        failed = projection.exceptions(outcomes, at)
+        change.put_once("projection_exception", failed, ["id"], types(failed))
+        more = projection.enrichment_items(outcomes)
+        change.put_once("entity_enrichment", more, ["id"], types(more))
+        done = projection.ledger_rows(outcomes)
+        change.upsert("projection_item", done, ["idempotency_key"], types(done))
+    return True
+
+
+def _brought_back(now: DataFrame, back: DataFrame) -> DataFrame:
+    """Reinstated tombstones as whole rows of the store: as they are there, or with their key alone if they came from elsewhere."""
+    mark = F.concat_ws("|", "artist_id", "venue_id", "date")
+    new = back.withColumns({"id": text.identity("tombstone-", mark), "event_fingerprint": mark})
+    old = now.select("id", *(F.col(c).alias(f"_{c}") for c in now.columns if c != "id"))
+    both = new.join(old, "id", "left")
+    return both.select(*(F.col(c) if c == "id" else F.coalesce(c, f"_{c}").alias(c) if c in new.columns else F.col(f"_{c}").alias(c) for c in now.columns))
 
 
 def put_discoveries(store: Store, results: DataFrame) -> None:

@@ -66,17 +66,25 @@ def test_changes_of_a_run(spark, world, tmp_path):
     outcomes = outcomes.unionByName(projection.project(reinstating, world, F.to_timestamp(F.lit(NOW)))).cache()
     every = items(spark, ["match", "strong", "gaps", "shadow"]).union(reinstating)
     found = projection.item_claims(every, world.claims)
-    dated = projection.event_candidates(found).select("idempotency_key", "date").join(every.select("idempotency_key", F.element_at("claim_ids", 1).alias("claim_id")), "idempotency_key")
+    dated = projection.event_candidates(found).join(every.select("idempotency_key", F.element_at("claim_ids", 1).alias("claim_id")), "idempotency_key")
     graves = projection.tombstone_rows(outcomes, dated, world, NOW).collect()
     assert [(g["canonical_event_id"], g["reason"], g["event_fingerprint"], g["claim_id"]) for g in graves] == [("e9", "absent from complete snapshot", "a1|v1|2026-09-09", "own-9-hasStatus")]
     assert [tuple(r)[:4] for r in projection.reinstated(world.tombstones, outcomes, dated, NOW).collect()] == [("a1", "v1", "2026-09-04", "reinstated")]
     links = {(r["entity_type"], r["claim_id"]) for r in projection.support_links(outcomes, found, world.links).where("entity_id in ('e1', 'a1', 'v1')").collect()}
     assert {("event", "cur-1-occursOn"), ("artist", "cur-1-hasPerformer"), ("venue", "cur-1-occursAt")} <= links and ("artist", "cur-1-occursOn") not in links
     store = Store(spark, f"file://{tmp_path}/s", parts=2)
-    for _ in range(2):  # a run that is repeated changes nothing more
-        write_projection(store, outcomes, found, dated, world, NOW)
+    for n in range(2):  # a run that is repeated changes nothing more
+        assert write_projection(store, outcomes, found, dated, world, NOW, ("runs", 0)) == (n == 0)
+    assert len(store.commits()) == 1
+    events = {r["id"]: r for r in store.read("event", "id string, artist_id string, venue_id string, date string, start_time string, cancelled boolean, is_public boolean, external_ids array<struct<source:string,id:string>>").collect()}
+    back = events.pop(next(e for e in events if e.startswith("event-")))
+    assert set(events) == {"e9"} and (events["e9"]["is_public"], events["e9"]["cancelled"], events["e9"]["artist_id"]) == (False, False, "a1")
+    assert (back["artist_id"], back["venue_id"], back["date"], back["start_time"], back["is_public"], back["cancelled"]) == ("a1", "v1", "2026-09-04", "20:00", True, False) and [tuple(x) for x in back["external_ids"]] == [("own", "4")]
+    assert store.read("projection_mapping", "source_id string, candidate_key string, event_id string").count() == 4
+    assert {(r["status"], r["superseded_by_claim_id"]) for r in store.read("tombstone", "id string, status string, superseded_by_claim_id string").collect()} == {("active", None), ("reinstated", "own-4-hasStatus")}
+    assert [r["prior_claim_id"] for r in store.read("source_withdrawal", "id string, prior_claim_id string").collect()] == ["own-9-hasPerformer"]
     assert {(r["idempotency_key"], r["status"]) for r in store.read("projection_item", "idempotency_key string, status string").collect()} == {("match", "success"), ("strong", "success"), ("gaps", "success"), ("shadow", "shadow"), ("back", "success")}
-    assert store.read("projection_exception", "id string, idempotency_key string, reason string, created_at string").count() == 1 and store.read("tombstone", "id string, reason string").count() == 1
+    assert store.read("projection_exception", "id string, idempotency_key string, reason string, created_at string").count() == 1 and store.read("tombstone", "id string, reason string").count() == 2
     problems = projection.verified(outcomes, dated, world.events).collect()
     assert {(r["idempotency_key"], r["problem"]) for r in problems} == {("back", "missing")}
 

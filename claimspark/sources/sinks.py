@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimspark.functions import text, times
 from claimspark.operators import projection
+from claimspark.sources import formats
 from claimspark.sources.shared import kept
 from claimspark.sources.store import Store
 
@@ -19,12 +20,17 @@ def evidence_key(source: Column, at: Column, observation: Column, kind: Column)
     return F.concat_ws("/", *parts)
 
 
+def evidence_rows(observations: DataFrame) -> DataFrame:
+    """``observations`` (observation_id, source_id, observed_at, content_type, body) with evidence_key and day."""
+    return observations.withColumns({"evidence_key": evidence_key(F.col("source_id"), F.col("observed_at"), F.col("observation_id"), text.content_kind(F.col("content_type"))), "day": F.to_date("observed_at")})
+
+
 def put_evidence(store: Store, observations: DataFrame) -> DataFrame:
-    """Add observations (observation_id, source_id, observed_at, content_type, body) once each; those that are there already are returned.
+    """Add observations once each; those that are there already are returned.
 
-    Bodies are Parquet rows by source and day, not one object each, so that a run of many sources writes few files.
+    Bodies are rows of the store's parts, not one object each, so that a run of many sources writes few files.
     """
-    rows = observations.withColumns({"evidence_key": evidence_key(F.col("source_id"), F.col("observed_at"), F.col("observation_id"), text.content_kind(F.col("content_type"))), "day": F.to_date("observed_at")})
+    rows = evidence_rows(observations)
     return store.put_once("source_observation", rows, ["observation_id"], ", ".join(f"{c} {t}" for c, t in rows.dtypes))
 
 
@@ -36,20 +42,51 @@ def write_artifacts(rows: DataFrame, root: str, kind: str) -> None:
     safe.write.mode("errorifexists").partitionBy("source_id", "run_id").json(f"{root.rstrip('/')}/{kind}")
 
 
-def publish(items: DataFrame, queue: str, required: list[str]) -> DataFrame:
-    """Append complete items to a queue of Parquet files, which a stream reads; the incomplete ones are returned."""
+def publish(items: DataFrame, queue: str, required: list[str], batch: str | None = None) -> DataFrame:
+    """Send the complete items to a queue as one batch; the incomplete ones are returned.
+
+    All of a batch is seen at once or not at all, and a batch of a name that is there already sends nothing, so that a
+    sending may be repeated. Without a name each sending is a batch of its own.
+    """
     whole = F.lit(True)
     for c in required:
         whole = whole & F.nullif(F.col(c).cast("string"), F.lit("")).isNotNull()
-    items.where(whole).write.mode("append").parquet(queue)
+    out = items.where(whole).write.format("queue").option("path", queue).mode("append")
+    formats.register(items.sparkSession)
+    (out.option("batch", batch) if batch else out).save()
     return items.where(~whole)
 
 
+NOTE = "id string, capture_id string, note string, at string"
+
+
 def capture_status(store: Store, captures: DataFrame, schema: str) -> None:
-    """Set the status of captures (id, ...) to their new_status."""
-    now = store.read("capture", schema)
-    new = captures.select("id", F.col("new_status").alias("_status"))
-    store.upsert("capture", now.join(new, "id").withColumn("status", F.col("_status")).select(now.columns), ["id"], schema)
+    """Set the status of captures (id, new_status, and note and at, if they have any) and add their notes, in one commit.
+
+    A note that is added again is the same one.
+    """
+    captures = kept(captures, "captures")
+    with store.transaction() as change:
+        now = change.read("capture", schema)
+        new = captures.select("id", F.col("new_status").alias("_status"))
+        change.upsert("capture", now.join(new, "id").withColumn("status", F.col("_status")).select(now.columns), ["id"], schema)
+        if "note" in captures.columns:
+            notes = captures.where("note <> ''").select(F.col("id").alias("capture_id"), "note", "at").withColumn("id", text.identity("note-", F.col("capture_id"), F.col("at"), F.col("note")))
+            change.put_once("capture_note", notes, ["id"], NOTE)
+
+
+def persist_knowledge(store: Store, observations: DataFrame, claims: DataFrame) -> DataFrame:
+    """Evidence and its claims in one commit; (observation_id, evidence_key, claim_records) of each observation.
+
+    ``observations`` as for :func:`put_evidence`, ``claims`` (claim_id, observation_id, ...). What is there already stays as it is and counts.
+    """
+    rows, claims = kept(evidence_rows(observations), "evidence"), kept(claims, "claims")
+    types = lambda df: ", ".join(f"{c} {t}" for c, t in df.dtypes)
+    with store.transaction() as change:
+        change.put_once("source_observation", rows, ["observation_id"], types(rows))
+        change.put_once("claim", claims, ["claim_id"], types(claims))
+    n = claims.groupBy("observation_id").agg(F.count_distinct("claim_id").alias("claim_records"))
+    return rows.select("observation_id", "evidence_key").distinct().join(n, "observation_id", "left").na.fill(0, ["claim_records"])
 
 
 def write_projection(store: Store, outcomes: DataFrame, found: DataFrame, candidates: DataFrame, world: projection.World, at: str, batch: tuple[str, int] | None = None) -> bool:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimspark.operators.asof import as_of
 from claimspark.operators.reconcile import best_per_key
 
 
@@ -31,12 +32,9 @@ def baselines(runs: DataFrame, asked: DataFrame) -> DataFrame:
     A complete capture of a delta source of complete snapshots needs the last complete run before it; all others the last run.
     ``runs`` (source_id, run_id, started_at, complete) are successful ones.
     """
+    found = as_of(asked, runs.select("source_id", "started_at", "run_id", F.col("complete").alias("whole")), "source_id", "started_at", {"_any": "true", "_complete": "whole"}, ["run_id"])
     needs = F.col("complete") & (F.col("mode") == "delta") & (F.col("semantics") == "complete")
-    past = runs.select(F.col("source_id").alias("_s"), F.col("run_id").alias("_run"), F.col("started_at").alias("_at"), F.col("complete").alias("_whole"))
-    want = asked.withColumn("_needs", needs)
-    hits = want.join(past, (F.col("source_id") == F.col("_s")) & (F.col("_at") < F.col("started_at")) & (~F.col("_needs") | F.col("_whole")))
-    last = hits.groupBy("source_id", "started_at").agg(F.max_by("_run", F.struct("_at", "_run")).alias("baseline"))
-    return asked.join(last, ["source_id", "started_at"], "left")
+    return found.withColumn("baseline", F.when(F.coalesce(needs, F.lit(False)), F.col("_complete.run_id")).otherwise(F.col("_any.run_id"))).drop("_any", "_complete")
 
 
 def report(diff: DataFrame, claims: DataFrame, parked: DataFrame, items: DataFrame, by: str = "source_id") -> DataFrame:
@@ -72,6 +70,27 @@ def run_state(state: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+def folded(state: DataFrame, runs: DataFrame) -> DataFrame:
+    """``state`` after all ``runs``, many a source: what :func:`run_state` gives for one after the other, in the order of their times.
+
+    The last run of each kind, and the failures after the last success, are aggregates that combine before they meet, so one
+    pass does for any number of runs. Equal times go by success, completeness, observation and baseline, nulls first;
+    equal rows count once.
+    """
+    order = F.struct(F.col("started_at").alias("_at"), F.col("ok"), F.col("complete"), F.col("observation"), F.col("normalised"))
+    rows = runs.select("source_id", order.alias("_run")).distinct().withColumn("_ok", F.coalesce("_run.ok", F.lit(False)))
+    whole = F.col("_ok") & F.coalesce(F.col("_run.complete"), F.lit(False))
+    last = rows.groupBy("source_id").agg(F.max("_run").alias("_last"), F.max(F.when(F.col("_ok"), F.col("_run"))).alias("_good"), F.max(F.when(whole, F.col("_run"))).alias("_whole"), F.max(F.when(~F.col("_ok"), F.col("_run"))).alias("_bad"))
+    after = rows.join(last.select("source_id", "_good"), "source_id").where("_good is null or _run > _good").groupBy("source_id").agg(F.count("*").alias("_fails"))
+    both = state.join(last.join(after, "source_id", "left"), "source_id", "full_outer")
+    moved = lambda kind, field, old: F.when(F.col(kind).isNotNull(), F.col(f"{kind}.{field}")).otherwise(F.col(old)).alias(old)
+    fails = F.coalesce("_fails", F.lit(0)) + F.when(F.col("_good").isNull(), F.coalesce("consecutive_failures", F.lit(0))).otherwise(0)
+    return both.select(
+        "source_id", moved("_good", "observation", "last_observation"), moved("_whole", "observation", "last_complete_observation"), moved("_good", "normalised", "last_normalised"),
+        moved("_whole", "normalised", "last_complete_normalised"), moved("_last", "_at", "last_run_at"), moved("_good", "_at", "last_success_at"), moved("_bad", "_at", "last_failure_at"), fails.cast("long").alias("consecutive_failures"),
+    )
+
+
 def failures_in_a_row(runs: DataFrame, source: str, at: str, ok: Column, tie: str) -> DataFrame:
     """(source, consecutive_failures): failed runs after the last successful one.
 

@@ -141,13 +141,13 @@ def tombstone_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.tombstone_rows(out, dated, around, NOW).select("id", "reason", "canonical_event_id")
 
 
-@query(f"""WITH {_WORLD}, x AS (SELECT * FROM outcome WHERE status = 'success' AND (event_created OR event_updated OR event_cancelled OR event_hidden OR reinstated)),
-    n AS (SELECT event_id AS id, idempotency_key AS i, event_created OR event_updated AS put, source_id || ':' || k AS own, artist, venue, d, CASE WHEN event_cancelled THEN true WHEN reinstated THEN false END AS cancelled, CASE WHEN event_hidden THEN false WHEN reinstated THEN true END AS shown FROM x),
+@query(f"""WITH {_WORLD}, chg AS (SELECT * FROM outcome WHERE status = 'success' AND (event_created OR event_updated OR event_cancelled OR event_hidden OR reinstated)),
+    put AS (SELECT event_id AS id, idempotency_key AS i, event_created OR event_updated AS put, source_id || ':' || k AS own, artist, venue, d, CASE WHEN event_cancelled THEN true WHEN reinstated THEN false END AS cancelled, CASE WHEN event_hidden THEN false WHEN reinstated THEN true END AS shown FROM chg),
     old AS (SELECT 'e' || k AS id, 'a' || (c % 200) AS artist, 'v' || (c % 60) AS venue, d, source || ':' || k AS own FROM i WHERE there),
-    e AS (SELECT n.id, coalesce(arg_max(n.artist, i) FILTER (put), any_value(old.artist)) AS artist_id, coalesce(arg_max(n.venue, i) FILTER (put), any_value(old.venue)) AS venue_id, coalesce(arg_max(n.d, i) FILTER (put), any_value(old.d)) AS date,
+    ev AS (SELECT n.id, coalesce(arg_max(n.artist, i) FILTER (put), any_value(old.artist)) AS artist_id, coalesce(arg_max(n.venue, i) FILTER (put), any_value(old.venue)) AS venue_id, coalesce(arg_max(n.d, i) FILTER (put), any_value(old.d)) AS date,
         coalesce(arg_max(cancelled, i) FILTER (cancelled IS NOT NULL), false) AS cancelled, coalesce(arg_max(shown, i) FILTER (shown IS NOT NULL), true) AS is_public, list_sort(list_distinct(list_filter([any_value(old.own)], lambda z: z IS NOT NULL) || coalesce(list(n.own) FILTER (put), []))) AS ids
-        FROM n LEFT JOIN old ON n.id = old.id GROUP BY n.id)
-    SELECT id, artist_id, venue_id, date, cancelled, is_public, array_to_string(ids, ',') AS external_ids FROM e""")
+        FROM put n LEFT JOIN old ON n.id = old.id GROUP BY n.id)
+    SELECT id, artist_id, venue_id, date, cancelled, is_public, array_to_string(ids, ',') AS external_ids FROM ev""")
 def projection_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events that a run changes, written with all its other changes in one commit and read back from the store."""
     items, around = world(spark, sf_dir)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from claimspark.operators.reconcile import best_per_key, pending
-from claimspark.operators.runs import run_state
+from claimspark.operators.runs import folded
 from claimspark.sources.shared import kept
 from claimspark.sources.store import Store
 
@@ -43,20 +43,18 @@ def consume(stream: DataFrame, store: Store, work: Callable[[DataFrame], DataFra
 def track_runs(stream: DataFrame, store: Store, checkpoint: str, table: str = "source_state") -> StreamingQuery:
     """Keep each source's state after its runs (source_id, started_at, ok, complete, observation, normalised), batch by batch.
 
-    Within a batch a source's runs count in the order of their times: all but the newest are folded into what the newest one
-    finds, so that failures in a row and last successes are those of the whole sequence.
+    Within a batch a source's runs count in the order of their times, in one pass. A batch that is run again after its commit
+    changes nothing.
     """
 
-    def batch(runs: DataFrame, _: int) -> None:
-        runs = kept(runs.distinct().withColumn("_row", F.to_json(F.struct(*map(F.col, runs.columns)))), "runs")
-        state = store.read(table, STATE)
-        # As many rounds as the most runs that one source has in a batch.
-        rest = runs
-        while not rest.isEmpty():
-            first = rest.groupBy("source_id").agg(F.min(F.struct("started_at", "ok", "complete", "observation", "normalised", "_row")).alias("_r")).select("source_id", "_r.*")
-            state = kept(run_state(state, first), "state")
-            rest = kept(rest.join(first.select("_row"), "_row", "left_anti"), "runs")
-        touched = state.join(runs.select("source_id").distinct(), "source_id", "left_semi")
-        store.upsert(table, touched, ["source_id"], STATE)
+    def batch(runs: DataFrame, number: int) -> None:
+        with store.transaction() as change:
+            if not change.once(checkpoint, number):
+                change.writer = None
+                return
+            runs = kept(runs, "runs")
+            state = change.read(table, STATE)
+            touched = state.join(runs.select("source_id").distinct(), "source_id", "left_semi")
+            change.upsert(table, folded(touched, runs), ["source_id"], STATE)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

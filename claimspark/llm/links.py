@@ -8,12 +8,15 @@ signatures). Here each region is joined exactly, without a pair for every two of
 2. Members of other classes (*outside*) are joined with the whole region, but only with those whose distance to the pivot
    differs from theirs by 1 - t at most (triangle inequality), whose size and place allow it, and that aren't in their
    class already.
-3. Where outside times size is above PAIRS, the region is divided first: some outside members become pivots, everyone goes
+3. Regions that share members are one cluster. A cluster of bounded size is compared at once, each member's set being sent
+   there once, however many regions it is in: members of other classes than the most common one are compared with all,
+   by gathers from the cluster's own numbering of shingles, and one link for each two classes is all that leaves.
+4. Of larger clusters each region is joined for itself. Where outside times size is above PAIRS, it is divided first: some outside members become pivots, everyone goes
    to the Voronoi cell of the nearest one and is replicated to each cell whose border is within the window 2 (1 - t)
    (and whose radius it is near enough to), and each cell is a region of its own, which is divided again. A cell that
    hasn't become much smaller than its region isn't divided any further: its members are about equally far from each
    other, and are joined as in 2.
-4. Each pair left is decided on the whole shingle sets.
+5. Each pair left is decided on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +37,8 @@ from claimspark.llm.graph import components
 MARKS = 24
 #: Common shingles that the first of two documents must show before their whole sets are fetched.
 SHARE = 4
+#: Members of a cluster that is compared at once, the shingles of their sets together, and members that one task compares with all.
+CLUSTER, CLUSTER_SHINGLES, CHUNK = 4096, 1 << 22, 1024
 #: Combinations of outside members and members above which a region is divided, pivots of a division, and what share of its
 #: region's combinations a cell may have to be divided again.
 PAIRS, PIVOTS, SHRUNK = 1 << 22, 32, 0.8
@@ -89,6 +95,70 @@ def _sets(docs: DataFrame, k: int, marks) -> DataFrame:  # noqa: ANN001
     return docs.select(_mark("doc_id").alias("slot"), "text").mapInArrow(emit, "node binary, shingles array<long>")
 
 
+def _whole(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the ``wanted`` ones (node, rep)."""
+    wanted = materialise(wanted, "wanted")
+    texts = docs.sparkSession.sparkContext.broadcast(_marks(wanted.select("rep")))
+    sets = _sets(docs, k, texts).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = materialise(sets, "sets")
+    texts.destroy()
+    discard(wanted)
+    return sets
+
+
+def spanning(labels: list, sets: list[np.ndarray], asked: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (a, b) between sets of unlike labels, a among ``asked``: as many as make the labels that links join one, not all."""
+    size = np.array(list(map(len, sets)))
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.cumsum(size) - size
+    root = {x: x for x in labels}
+
+    def find(x: object) -> object:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    held, out = np.zeros(len(values), np.int32), []
+    for a in np.flatnonzero(asked).tolist():
+        own = code[first[a] : first[a] + size[a]]
+        held[own] = 1
+        common = np.add.reduceat(held[code], first)
+        held[own] = 0
+        for b in np.flatnonzero(100 * common >= percent * (size[a] + size - common)).tolist():
+            if (x := find(labels[a])) != (y := find(labels[b])):
+                root[x] = y
+                out.append((a, b))
+    return out
+
+
+def _clustered(docs: DataFrame, k: int, percent: int, node: DataFrame, inside: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, rest): links (a, b) that join the classes of each cluster of bounded size, and what of ``inside`` is in larger ones."""
+    hub = inside.groupBy("s").agg(F.min("node").alias("hub"))
+    near = components(inside.join(hub, "s").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()).withColumnRenamed("label", "cluster")
+    member = inside.select("node", "n", "label").distinct().join(near, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    member = materialise(member, "clusters")
+    main = member.groupBy("cluster", "label").agg(F.count("*").alias("n_label"), F.sum("n").alias("n_shingles"))
+    main = main.groupBy("cluster").agg(F.max_by("label", F.struct("n_label", "label")).alias("main"), F.sum("n_label").alias("members"), F.max("n_label").alias("most"), F.sum("n_shingles").alias("shingles"))
+    small = main.where((F.col("members") <= CLUSTER) & (F.col("shingles") <= CLUSTER_SHINGLES) & (F.col("members") > F.col("most")))
+    small = materialise(small.select("cluster", "main", F.expr(f"(members - most + {CHUNK - 1}) div {CHUNK}").alias("chunks")), "small")
+    rest = member.join(main.where((F.col("members") > CLUSTER) | (F.col("shingles") > CLUSTER_SHINGLES)).select("cluster"), "cluster", "left_semi").select("node")
+    asked = materialise(member.join(small, "cluster"), "asked")
+    sets = _whole(docs, k, node.select("node", "rep").join(asked.select("node"), "node", "left_semi"))
+    own = F.when(F.col("label") != F.col("main"), F.pmod(F.xxhash64("node"), "chunks"))
+    rows = asked.join(sets, "node").select("cluster", "node", "label", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        found = spanning(group["label"].tolist(), group["shingles"].tolist(), (group["own"] == group["chunk"]).to_numpy(), percent)
+        names = group["node"].tolist()
+        return pd.DataFrame({"a": [names[a] for a, _ in found], "b": [names[b] for _, b in found]}, dtype=object)
+
+    links = materialise(rows.groupBy("cluster", "chunk").applyInPandas(compare, "a binary, b binary"), "links")
+    rest = materialise(inside.join(rest, "node", "left_semi"), "inside")
+    discard(member, small, asked, sets)
+    return links, rest
+
+
 def _common(pairs: DataFrame, lists: DataFrame, column: str) -> DataFrame:
     """``pairs`` (a, b, na, nb) with ``common``, the number of values that the two nodes' lists share.
 
@@ -114,14 +184,10 @@ def _compare(docs: DataFrame, k: int, percent: int, pairs: DataFrame, node: Data
     if not every:
         able = _common(pairs, brief, "brief").where(F.col("common") >= F.least(F.lit(SHARE), F.expr(f"({percent} * greatest(na, nb) + 99) div 100")))
         able = materialise(able.drop("common"), "able")
-    wanted = materialise(brief.select("node", "rep").join(ends(able), "node", "left_semi"), "wanted")
-    texts = spark.sparkContext.broadcast(_marks(wanted.select("rep")))
-    sets = _sets(docs, k, texts).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets = materialise(sets, "sets")
+    sets = _whole(docs, k, brief.select("node", "rep").join(ends(able), "node", "left_semi"))
     out = materialise(_common(able, sets, "shingles"), "compared")
     marks.destroy()
-    texts.destroy()
-    discard(wanted, sets, *([] if every else [able]))
+    discard(sets, *([] if every else [able]))
     return out
 
 
@@ -165,7 +231,16 @@ def classes(docs: DataFrame, k: int, percent: int, node: DataFrame, member: Data
     inside = materialise(inside, "inside")
     discard(member)
 
-    kept, rests = [star], []
+    joined, rest = _clustered(docs, k, percent, node, inside)
+    discard(inside)
+    inside, kept, rests = rest, [star, joined], []
+    if not joined.isEmpty():
+        links = links.unionByName(joined)
+        discard(label)
+        label = components(links)
+    if inside.isEmpty():
+        discard(inside, *kept)
+        return label
     while True:
         large = inside.groupBy("s").agg((F.count_if("out") * F.count("*")).alias("pairs"), F.first("above").alias("above"))
         large = large.where(f"pairs > {PAIRS} and pairs <= {SHRUNK} * above").select("s", "pairs")

@@ -79,8 +79,39 @@ def one_region(spark, rows, k, percent):
     return sorted(map(tuple, links.labelled(profile, node, links.classes(docs, k, percent, node, member)).collect()), key=str)
 
 
+def test_clusters_are_compared_at_once(spark, monkeypatch):
+    """Only the pivot's pairs are compared as pairs; chunks and many regions of one cluster change nothing."""
+    monkeypatch.setattr(links, "CHUNK", 16)
+    rows = families(6, 25, 9)
+    seen = compared(monkeypatch)
+    assert one_region(spark, rows, 3, 90) == brute_components(rows, 3, 90)
+    assert len(seen) == 1 and seen[0] < len(rows)
+
+
+def test_spanning_links(spark):
+    r = random.Random(4)
+    for _ in range(40):
+        sets = [np.array(sorted(r.sample(range(30), r.randint(1, 12)))) for _ in range(25)]
+        labels = [r.randrange(12) for _ in sets]
+        asked = np.array([x != 3 for x in labels])
+        joined = lambda pairs: jaccard_classes(labels, pairs)
+        every = [(a, b) for a in range(25) for b in range(25) if asked[a] and labels[a] != labels[b] and 100 * len({*sets[a]} & {*sets[b]}) >= 50 * len({*sets[a]} | {*sets[b]})]
+        found = links.spanning(labels, sets, asked, 50)
+        assert set(found) <= set(every) and joined(found) == joined(every) and len(found) < 12
+
+
+def jaccard_classes(labels, pairs):
+    root = {x: x for x in labels}
+    for _ in root:
+        for a, b in pairs:
+            low = min(root[labels[a]], root[labels[b]])
+            root[labels[a]] = root[labels[b]] = low
+    return root
+
+
 def test_regions_are_divided_until_they_are_small(spark, monkeypatch):
     """Fourteen families in one region: divided, it takes far fewer pairs, with the same result."""
+    monkeypatch.setattr(links, "CLUSTER", 0)
     rows = families(14, 18, 7)
     want = brute_components(rows, 3, 90)
     seen = compared(monkeypatch)
@@ -102,6 +133,7 @@ def test_a_region_just_under_the_threshold(spark, monkeypatch):
             w[(11 * i + 37 * j) % 100] = f"y{i}-{j}"
         rows.append((i, " ".join(w), "s"))
     want = brute_components(rows, 3, 90)
+    monkeypatch.setattr(links, "CLUSTER", 0)
     monkeypatch.setattr(links, "PAIRS", 100)
     seen = compared(monkeypatch)
     assert one_region(spark, rows, 3, 90) == want
@@ -109,6 +141,7 @@ def test_a_region_just_under_the_threshold(spark, monkeypatch):
 
 
 def test_join_with_divided_regions(spark, monkeypatch):
+    monkeypatch.setattr(links, "CLUSTER", 20)
     monkeypatch.setattr(links, "PAIRS", 8)
     rows = families(5, 12, 11) + [(500 + i, f"{words(40, 12)} {words(90, 100 + i, 30)}", "s") for i in range(20)]
     got = jaccard_join.jaccard_components(docs_of(spark, rows)).collect()

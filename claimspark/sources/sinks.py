@@ -138,8 +138,10 @@ def _brought_back(now: DataFrame, back: DataFrame) -> DataFrame:
 
 
 def put_discoveries(store: Store, results: DataFrame) -> None:
-    """Discovery results by entity, time and run, and the eligibility that follows from them by entity, from one reading."""
+    """Discovery results by entity, time and run, and the eligibility that follows from them by entity, in one commit."""
     types = lambda df: ", ".join(f"{c} {t}" for c, t in df.dtypes)
-    store.upsert("discovery_result", results, ["type", "id", "retrieved_at", "run_id"], types(results))
+    results = kept(results, "discoveries")
     newest = results.groupBy("type", "id").agg(F.max_by(F.struct("class", "suppressed", "suppressed_until", "retrieved_at"), F.struct("retrieved_at", "run_id")).alias("_e")).select("type", "id", "_e.*")
-    store.upsert("eligibility", newest, ["type", "id"], types(newest))
+    with store.transaction() as change:
+        change.upsert("discovery_result", results, ["type", "id", "retrieved_at", "run_id"], types(results))
+        change.upsert("eligibility", newest, ["type", "id"], types(newest))

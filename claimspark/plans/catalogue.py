@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspark.functions import text, times
-from claimspark.operators import assess, claims, reconcile
+from claimspark.operators import access, assess, claims, reconcile
 from claimspark.plans.registry import ORACLES, QUERIES, load, pick, query
 from claimspark.sources.shared import kept
 
@@ -291,14 +291,13 @@ def graph_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, user_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 20")
 def topk_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("ts").desc(), "event_id"))
-    return load(spark, sf_dir, "events").select("event_id", "user_id", "ts").withColumn("_n", n).where("_n <= 20").drop("_n")
+    return access.newest(load(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id")
 
 
 @query("SELECT p_partkey, DATE '2026-01-01' + p_size AS next_scan FROM part WHERE p_size % 3 <> 0 AND DATE '2026-01-01' + p_size <= DATE '2026-01-20' ORDER BY next_scan, p_partkey LIMIT 100")
 def due_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = load(spark, sf_dir, "part").where("p_size % 3 <> 0").select("p_partkey", F.date_add(F.lit("2026-01-01").cast("date"), F.col("p_size")).alias("next_scan"))
-    return parts.where(F.col("next_scan") <= F.to_date(F.lit("2026-01-20"))).orderBy("next_scan", "p_partkey").limit(100)
+    sources = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("source_id"), (F.col("p_size") % 3 != 0).alias("enabled"), F.date_add(F.lit("2026-01-01").cast("date"), F.col("p_size")).alias("next_scan"))
+    return access.due(sources, F.to_date(F.lit("2026-01-20"))).select(F.col("source_id").alias("p_partkey"), "next_scan")
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (l.doc_id IS NULL) AS unlabelled, count(*) FILTER (n_chars < 200) AS short_text, count(*) FILTER (n_chars < 200 AND l.doc_id IS NULL) AS both_gaps FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")

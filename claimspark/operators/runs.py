@@ -146,3 +146,30 @@ def islands(runs: DataFrame, source: str, at: str, ok: Column) -> DataFrame:
 def newest_runs(runs: DataFrame) -> DataFrame:
     """The newest run of each source (source_id, started_at, observation, ...), of equal times the greatest observation's."""
     return best_per_key(runs, ["source_id"], F.struct("started_at", "observation"), F.col("observation"))
+
+
+def drift(counts: DataFrame, source: str, period: str, n: str, width: int = 6, least: float = 3.0) -> DataFrame:
+    """(source, period, n, ratio, z, changed) of each period: how its level compares with what came before.
+
+    ``counts`` are summed to one row for each source and period (a day, say), so that a source's series is no longer than the
+    calendar. ratio is n over the mean of up to ``width`` periods before; z compares the means of the logarithms of n + 1 over
+    ``width`` periods from this one on and before it, in standard errors. A change is a full pair of windows beyond ``least``.
+    """
+    rows = counts.groupBy(source, period).agg(F.sum(n).alias("n")).where(F.col(source).isNotNull() & F.col(period).isNotNull())
+    order = Window.partitionBy(source).orderBy(period)
+    before, after = order.rowsBetween(-width, -1), order.rowsBetween(0, width - 1)
+    level = F.log(F.col("n") + 1.0)
+    mean = lambda w: F.avg(level).over(w)
+    spread = lambda w: F.greatest(F.lit(0.0), F.avg(level * level).over(w) - mean(w) * mean(w))
+    error = F.sqrt((spread(before) + spread(after)) / width + 1e-6)
+    full = (F.count("*").over(before) == width) & (F.count("*").over(after) == width)
+    out = rows.select(source, period, "n", F.round(F.col("n") / F.avg("n").over(before), 6).alias("ratio"), F.when(full, F.round((mean(after) - mean(before)) / error, 4)).alias("z"))
+    return out.withColumn("changed", F.coalesce(F.abs("z") >= least, F.lit(False)))
+
+
+def health(drifted: DataFrame, source: str, period: str) -> DataFrame:
+    """(source, last_period, last_ratio, changes, strongest) of :func:`drift`: the newest period, how many changes, and the first of the largest."""
+    best = F.max(F.when(F.col("changed"), F.abs("z")))
+    top = drifted.groupBy(source).agg(F.max(period).alias("last_period"), F.max_by("ratio", period).alias("last_ratio"), F.count_if("changed").alias("changes"), best.alias("_top"))
+    at = drifted.join(top.select(source, "_top"), source).where(F.col("changed") & (F.abs("z") == F.col("_top"))).groupBy(source).agg(F.min(period).alias("strongest"))
+    return top.drop("_top").join(at, source, "left")

@@ -309,4 +309,4 @@ def gap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # These register their queries beside the ones above.
-from claimspark.plans import enrich_queries, landed_queries, projection_queries, resolve_queries, source_queries  # noqa: E402, F401
+from claimspark.plans import enrich_queries, landed_queries, projection_queries, resolve_queries, source_queries, stream_queries  # noqa: E402, F401

@@ -94,3 +94,20 @@ def lookup_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = orders.where("o_custkey % 2 = 0").select((c % 30).alias("group")).distinct().withColumn("class", text("class ", F.col("group")))
     found = access.with_looked_up(load(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 30).alias("group")), known, ["group"]).select(F.lit("eligibility").alias("path"), text("c", F.col("c_custkey")).alias("key"), F.col("class").alias("value"))
     return support.unionByName(items).unionByName(found)
+
+
+_DRIFT = """s AS (SELECT source, period, k * CASE WHEN source < 3 AND first >= DATE '1995-06-01' THEN 4 ELSE 1 END AS n FROM (SELECT o_custkey % 20 AS source, date_trunc('month', o_orderdate)::DATE AS period, count(*) AS k, min(o_orderdate::DATE) AS first FROM orders GROUP BY ALL)),
+    w AS (SELECT *, ln(n + 1.0) AS l FROM s),
+    m AS (SELECT *, n / avg(n) OVER b AS ratio, avg(l) OVER b AS mb, avg(l) OVER a AS ma, greatest(0.0, avg(l * l) OVER b - (avg(l) OVER b) * (avg(l) OVER b)) AS vb, greatest(0.0, avg(l * l) OVER a - (avg(l) OVER a) * (avg(l) OVER a)) AS va,
+        count(*) OVER b = 6 AND count(*) OVER a = 6 AS whole FROM w WINDOW b AS (PARTITION BY source ORDER BY period ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY source ORDER BY period ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)),
+    d AS (SELECT source, period, round(ratio, 6) AS ratio, CASE WHEN whole THEN round((ma - mb) / sqrt((vb + va) / 6 + 1e-6), 4) END AS z FROM m)"""
+
+
+@query(f"""WITH {_DRIFT}, t AS (SELECT source, max(period) AS last_period, arg_max(ratio, period) AS last_ratio, count(*) FILTER (abs(z) >= 3) AS changes, max(abs(z)) FILTER (abs(z) >= 3) AS top FROM d GROUP BY source)
+    SELECT t.source, last_period, last_ratio, changes, (SELECT min(period) FROM d WHERE d.source = t.source AND abs(z) = t.top) AS strongest FROM t""")
+def source_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly counts of sources, some of which grow in the middle: changes of level and the last ratio."""
+    rows = load(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("source"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("period"), F.to_date("o_orderdate").alias("d"))
+    counts = rows.groupBy("source", "period").agg(F.count("*").alias("k"), F.min("d").alias("first"))
+    counts = counts.withColumn("n", F.col("k") * F.when((F.col("source") < 3) & (F.col("first") >= F.to_date(F.lit("1995-06-01"))), 4).otherwise(1))
+    return runs.health(runs.drift(counts, "source", "period", "n"), "source", "period")

@@ -23,19 +23,23 @@ STATE = (
 def consume(stream: DataFrame, store: Store, work: Callable[[DataFrame], DataFrame], checkpoint: str, table: str = "ledger", most: int = 3) -> StreamingQuery:
     """Run ``work`` on each micro-batch's items that aren't done: it returns (idempotency_key, status, ...).
 
-    An item appears once a batch, however often it was sent: the least of its rows. ``work`` is evaluated once a batch. The outcome goes
-    into the ledger by upsert, so a batch that is run again finds its own results; after ``most`` attempts a failed item is
+    An item appears once a batch, however often it was sent: the least of its rows. ``work`` is evaluated once a batch. The outcomes
+    and the batch's number are one commit of the store, so a batch that is run again after it changes nothing; after ``most`` attempts a failed item is
     dead and no longer tried.
     """
 
-    def batch(items: DataFrame, _: int) -> None:
-        ledger = store.read(table, LEDGER)
-        todo = pending(best_per_key(items, ["idempotency_key"], F.struct(F.lit(0)), F.struct(*map(F.col, items.columns))), ledger)
-        todo = todo.join(ledger.where("status = 'dead'"), "idempotency_key", "left_anti")
-        done = kept(work(todo).select("idempotency_key", "status"), "ledger")
-        done = done.join(ledger.select("idempotency_key", "attempts"), "idempotency_key", "left").withColumn("attempts", F.coalesce("attempts", F.lit(0)) + 1)
-        done = done.withColumn("status", F.when((F.col("status") == "failed") & (F.col("attempts") >= most), "dead").otherwise(F.col("status")))
-        store.upsert(table, done, ["idempotency_key"], LEDGER)
+    def batch(items: DataFrame, number: int) -> None:
+        with store.transaction() as change:
+            if not change.once(checkpoint, number):
+                change.writer = None
+                return
+            ledger = change.read(table, LEDGER)
+            todo = pending(best_per_key(items, ["idempotency_key"], F.struct(F.lit(0)), F.struct(*map(F.col, items.columns))), ledger)
+            todo = todo.join(ledger.where("status = 'dead'"), "idempotency_key", "left_anti")
+            done = kept(work(todo).select("idempotency_key", "status"), "ledger")
+            done = done.join(ledger.select("idempotency_key", "attempts"), "idempotency_key", "left").withColumn("attempts", F.coalesce("attempts", F.lit(0)) + 1)
+            done = done.withColumn("status", F.when((F.col("status") == "failed") & (F.col("attempts") >= most), "dead").otherwise(F.col("status")))
+            change.upsert(table, done, ["idempotency_key"], LEDGER)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

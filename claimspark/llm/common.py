@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,26 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimspark.sources.shared import shared_folder as shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder, whole."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors all see.
-
-    Only a local master may leave the setting unset (as tests do); a machine-local folder on a cluster would lose data
-    with its executor, so there the missing setting is an error.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{root.rstrip('/')}/claimspark/{name}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, name)

@@ -1,22 +1,22 @@
 """Classes of documents that Jaccard links connect, from regions in which every linked pair meets.
 
 The callers divide the documents into regions so that two linked documents share one (by rare shingles, or by bands of
-signatures). Here each region is joined exactly, without a pair for every two of its members:
-
-1. The most central member is the pivot, and its distance to every member that the windows leave is found exactly. Members
-   that link with it are one class, whose inner pairs nobody needs.
-2. Members of other classes (*outside*) are joined with the whole region, but only with those whose distance to the pivot
+signatures). Here they are joined exactly, without a pair for every two members:
+
+1. Regions that share members are one cluster. A cluster of bounded size is compared at once, each set being sent there
+   once, however many regions it is in: a member is compared with all others by gathers from the cluster's own numbering
+   of shingles, until all that is left is one class. One link for each two classes joined is what leaves.
+2. Of larger clusters each region is joined for itself. The most central member is the pivot, and its distance to every
+   member that the windows leave is found exactly. Members that link with it are one class, whose inner pairs nobody needs.
+   Members of other classes (*outside*) are joined with the whole region, but only with those whose distance to the pivot
    differs from theirs by 1 - t at most (triangle inequality), whose size and place allow it, and that aren't in their
    class already.
-3. Regions that share members are one cluster. A cluster of bounded size is compared at once, each member's set being sent
-   there once, however many regions it is in: members of other classes than the most common one are compared with all,
-   by gathers from the cluster's own numbering of shingles, and one link for each two classes is all that leaves.
-4. Of larger clusters each region is joined for itself. Where outside times size is above PAIRS, it is divided first: some outside members become pivots, everyone goes
+3. Where outside times size is above PAIRS, the region is divided first: some outside members become pivots, everyone goes
    to the Voronoi cell of the nearest one and is replicated to each cell whose border is within the window 2 (1 - t)
    (and whose radius it is near enough to), and each cell is a region of its own, which is divided again. A cell that
    hasn't become much smaller than its region isn't divided any further: its members are about equally far from each
    other, and are joined as in 2.
-5. Each pair left is decided on the whole shingle sets.
+4. Each pair left is decided on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ from claimspark.llm.graph import components
 MARKS = 24
 #: Common shingles that the first of two documents must show before their whole sets are fetched.
 SHARE = 4
-#: Members of a cluster that is compared at once, the shingles of their sets together, and members that one task compares with all.
-CLUSTER, CLUSTER_SHINGLES, CHUNK = 4096, 1 << 22, 1024
+#: Members of a cluster that is compared at once, in one task, and the shingles of their sets together.
+CLUSTER, CLUSTER_SHINGLES = 8192, 1 << 22
 #: Combinations of outside members and members above which a region is divided, pivots of a division, and what share of its
 #: region's combinations a cell may have to be divided again.
 PAIRS, PIVOTS, SHRUNK = 1 << 22, 32, 0.8
@@ -106,56 +106,72 @@ def _whole(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     return sets
 
 
-def spanning(labels: list, sets: list[np.ndarray], asked: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links (a, b) between sets of unlike labels, a among ``asked``: as many as make the labels that links join one, not all."""
+def spanning(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (a, b) between sets: as many as make the classes that all links make.
+
+    A set that isn't in the largest class is compared with all; what remains in that class needs no comparison of its own.
+    """
     size = np.array(list(map(len, sets)))
     values, code = np.unique(np.concatenate(sets), return_inverse=True)
     first = np.cumsum(size) - size
-    root = {x: x for x in labels}
+    root, members = list(range(len(sets))), [1] * len(sets)
 
-    def find(x: object) -> object:
+    def find(x: int) -> int:
         while root[x] != x:
             root[x] = root[root[x]]
             x = root[x]
         return x
 
-    held, out = np.zeros(len(values), np.int32), []
-    for a in np.flatnonzero(asked).tolist():
-        own = code[first[a] : first[a] + size[a]]
-        held[own] = 1
-        common = np.add.reduceat(held[code], first)
-        held[own] = 0
-        for b in np.flatnonzero(100 * common >= percent * (size[a] + size - common)).tolist():
-            if (x := find(labels[a])) != (y := find(labels[b])):
-                root[x] = y
-                out.append((a, b))
+    held, out, largest = np.zeros(len(values), np.int32), [], 0
+    # Whoever is passed over in the largest class may be outside of it later, when another one has become larger.
+    todo = list(range(len(sets)))
+    while todo:
+        passed, done = [], False
+        for a in todo:
+            if done and find(a) == find(largest):
+                passed.append(a)
+                continue
+            done = True
+            own = code[first[a] : first[a] + size[a]]
+            held[own] = 1
+            common = np.add.reduceat(held[code], first)
+            held[own] = 0
+            for b in np.flatnonzero(100 * common >= percent * (size[a] + size - common)).tolist():
+                if (x := find(a)) != (y := find(b)):
+                    if members[x] < members[y]:
+                        x, y = y, x
+                    root[y] = x
+                    members[x] += members[y]
+                    out.append((a, b))
+                    if members[x] > members[find(largest)]:
+                        largest = x
+        todo = passed if any(find(a) != find(largest) for a in passed) else []
     return out
 
 
-def _clustered(docs: DataFrame, k: int, percent: int, node: DataFrame, inside: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, rest): links (a, b) that join the classes of each cluster of bounded size, and what of ``inside`` is in larger ones."""
-    hub = inside.groupBy("s").agg(F.min("node").alias("hub"))
-    near = components(inside.join(hub, "s").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()).withColumnRenamed("label", "cluster")
-    member = inside.select("node", "n", "label").distinct().join(near, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
-    member = materialise(member, "clusters")
-    main = member.groupBy("cluster", "label").agg(F.count("*").alias("n_label"), F.sum("n").alias("n_shingles"))
-    main = main.groupBy("cluster").agg(F.max_by("label", F.struct("n_label", "label")).alias("main"), F.sum("n_label").alias("members"), F.max("n_label").alias("most"), F.sum("n_shingles").alias("shingles"))
-    small = main.where((F.col("members") <= CLUSTER) & (F.col("shingles") <= CLUSTER_SHINGLES) & (F.col("members") > F.col("most")))
-    small = materialise(small.select("cluster", "main", F.expr(f"(members - most + {CHUNK - 1}) div {CHUNK}").alias("chunks")), "small")
-    rest = member.join(main.where((F.col("members") > CLUSTER) | (F.col("shingles") > CLUSTER_SHINGLES)).select("cluster"), "cluster", "left_semi").select("node")
-    asked = materialise(member.join(small, "cluster"), "asked")
-    sets = _whole(docs, k, node.select("node", "rep").join(asked.select("node"), "node", "left_semi"))
-    own = F.when(F.col("label") != F.col("main"), F.pmod(F.xxhash64("node"), "chunks"))
-    rows = asked.join(sets, "node").select("cluster", "node", "label", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+def _stars(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what ``edges`` connect: each a with the least of its bs, and these with it. A node has few."""
+    low = edges.groupBy("a").agg(F.min("b").alias("low"), F.collect_set("b").alias("hubs"))
+    return low.select("a", F.col("low").alias("b")).unionByName(low.select(F.explode("hubs").alias("a"), F.col("low").alias("b")).where("a <> b").distinct())
+
+
+def _clustered(docs: DataFrame, k: int, percent: int, node: DataFrame, member: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, rest): links (a, b) that make the classes of each cluster of bounded size, and what of ``member`` is in larger ones."""
+    hub = member.groupBy("s").agg(F.min("node").alias("hub"))
+    near = components(_stars(member.join(hub, "s").select(F.col("node").alias("a"), F.col("hub").alias("b")))).withColumnRenamed("label", "cluster")
+    inside = materialise(near.join(node.select("node", "n", "rep"), "node"), "clusters")
+    size = inside.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    size = size.withColumn("small", F.expr(f"members <= {CLUSTER} and shingles <= {CLUSTER_SHINGLES}"))
+    asked = materialise(inside.join(size.where("small").select("cluster"), "cluster", "left_semi"), "asked")
+    rest = materialise(member.join(inside.join(size.where("not small").select("cluster"), "cluster", "left_semi").select("node"), "node", "left_semi"), "rest")
+    sets = _whole(docs, k, asked.select("node", "rep"))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        found = spanning(group["label"].tolist(), group["shingles"].tolist(), (group["own"] == group["chunk"]).to_numpy(), percent)
-        names = group["node"].tolist()
+        names, found = group["node"].tolist(), spanning(group["shingles"].tolist(), percent)
         return pd.DataFrame({"a": [names[a] for a, _ in found], "b": [names[b] for _, b in found]}, dtype=object)
 
-    links = materialise(rows.groupBy("cluster", "chunk").applyInPandas(compare, "a binary, b binary"), "links")
-    rest = materialise(inside.join(rest, "node", "left_semi"), "inside")
-    discard(member, small, asked, sets)
+    links = materialise(asked.select("cluster", "node").join(sets, "node").groupBy("cluster").applyInPandas(compare, "a binary, b binary"), "links")
+    discard(inside, asked, sets)
     return links, rest
 
 
@@ -200,9 +216,23 @@ def classes(docs: DataFrame, k: int, percent: int, node: DataFrame, member: Data
     """(node, label) of the nodes that link with any other.
 
     ``node`` (node, rep, n, prefix) has each distinct set once, ``member`` (s, node, n, pri, pos) its regions s, as
-    materialised by the caller, and deleted here once read; pos is how many
-    of the node's shingles come before s, 0 if that is unknown, and pri orders the members of a region.
+    materialised by the caller, and deleted here once read; pos is how many of the node's shingles come before s, 0 if that
+    is unknown, and pri orders the members of a region.
     """
+    links, rest = _clustered(docs, k, percent, node, member)
+    discard(member)
+    if rest.isEmpty():
+        label = components(links)
+    else:
+        more, kept = _region_links(docs, k, percent, node, rest)
+        label = components(_stars(links.unionByName(more)))
+        discard(*kept)
+    discard(links)
+    return label
+
+
+def _region_links(docs: DataFrame, k: int, percent: int, node: DataFrame, member: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(links, tables that they are read from): links (a, b) that make the classes of the members of each region; ``member`` is deleted."""
     size = lambda m, n: (100 * F.least(m, n) >= percent * F.greatest(m, n))
     # The first common shingle at places i and j: at most least(m - i, n - j) are common, and i + j others are not.
     window = lambda m, n, i, j: F.expr(f"{100 + percent} * ({i} + {j}) <= {100 - percent} * ({m} + {n}) and {100 + percent} * least({m} - {i}, {n} - {j}) >= {percent} * ({m} + {n})")
@@ -220,7 +250,7 @@ def classes(docs: DataFrame, k: int, percent: int, node: DataFrame, member: Data
     star = _compare(docs, k, percent, near, node)
     discard(near)
     links = star.where(linked).select("a", "b")
-    label = components(links)
+    label = components(_stars(links))
 
     # The pivot's region again, each member with its class and its distance to the pivot where it is known.
     far = star.select(F.col("a").alias("node"), F.col("b").alias("pivot"), distance.alias("d"))
@@ -231,16 +261,7 @@ def classes(docs: DataFrame, k: int, percent: int, node: DataFrame, member: Data
     inside = materialise(inside, "inside")
     discard(member)
 
-    joined, rest = _clustered(docs, k, percent, node, inside)
-    discard(inside)
-    inside, kept, rests = rest, [star, joined], []
-    if not joined.isEmpty():
-        links = links.unionByName(joined)
-        discard(label)
-        label = components(links)
-    if inside.isEmpty():
-        discard(inside, *kept)
-        return label
+    kept, rests = [star], []
     while True:
         large = inside.groupBy("s").agg((F.count_if("out") * F.count("*")).alias("pairs"), F.first("above").alias("above"))
         large = large.where(f"pairs > {PAIRS} and pairs <= {SHRUNK} * above").select("s", "pairs")
@@ -258,7 +279,7 @@ def classes(docs: DataFrame, k: int, percent: int, node: DataFrame, member: Data
         # What links with a pivot need not be compared again.
         kept.append(measured)
         links = links.unionByName(measured.where(linked).select("a", "b"))
-        old, label = label, components(links)
+        old, label = label, components(_stars(links))
         discard(old)
         inside = cells.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
         inside = materialise(inside.select("s", "node", "n", "pos", "label", "d", "out", "above"), "inside")
@@ -269,11 +290,8 @@ def classes(docs: DataFrame, k: int, percent: int, node: DataFrame, member: Data
         every = every.unionByName(r)
     pairs = _compare(docs, k, percent, every.distinct(), node).where(linked)
     discard(*rests)
-    if not pairs.isEmpty():
-        discard(label)
-        label = components(links.unionByName(pairs.select("a", "b")))
-    discard(pairs, *kept)
-    return label
+    discard(label)
+    return links.unionByName(pairs.select("a", "b")), [pairs, *kept]
 
 
 def _divided(docs: DataFrame, k: int, percent: int, node: DataFrame, region: DataFrame, distance: Column, reach: float) -> tuple[DataFrame, DataFrame]:

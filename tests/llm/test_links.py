@@ -80,35 +80,31 @@ def one_region(spark, rows, k, percent):
 
 
 def test_clusters_are_compared_at_once(spark, monkeypatch):
-    """Only the pivot's pairs are compared as pairs; chunks and many regions of one cluster change nothing."""
-    monkeypatch.setattr(links, "CHUNK", 16)
+    """No pair is made, and each set is sent once."""
     rows = families(6, 25, 9)
     seen = compared(monkeypatch)
-    assert one_region(spark, rows, 3, 90) == brute_components(rows, 3, 90)
-    assert len(seen) == 1 and seen[0] < len(rows)
+    assert one_region(spark, rows, 3, 90) == brute_components(rows, 3, 90) and not seen
 
 
-def test_spanning_links(spark):
-    r = random.Random(4)
-    for _ in range(40):
-        sets = [np.array(sorted(r.sample(range(30), r.randint(1, 12)))) for _ in range(25)]
-        labels = [r.randrange(12) for _ in sets]
-        asked = np.array([x != 3 for x in labels])
-        joined = lambda pairs: jaccard_classes(labels, pairs)
-        every = [(a, b) for a in range(25) for b in range(25) if asked[a] and labels[a] != labels[b] and 100 * len({*sets[a]} & {*sets[b]}) >= 50 * len({*sets[a]} | {*sets[b]})]
-        found = links.spanning(labels, sets, asked, 50)
-        assert set(found) <= set(every) and joined(found) == joined(every) and len(found) < 12
-
-
-def jaccard_classes(labels, pairs):
-    root = {x: x for x in labels}
-    for _ in root:
+def classes_of(n, pairs):
+    root = list(range(n))
+    for _ in range(n):
         for a, b in pairs:
-            low = min(root[labels[a]], root[labels[b]])
-            root[labels[a]] = root[labels[b]] = low
+            root[a] = root[b] = min(root[a], root[b])
     return root
 
 
+def test_spanning_links():
+    r = random.Random(4)
+    for percent in (40, 60, 90):
+        for _ in range(40):
+            base = [r.sample(range(60), r.randint(1, 14)) for _ in range(5)]
+            sets = [np.array(sorted({x for x in r.choice(base) if r.random() < 0.85} | {r.randrange(60)})) for _ in range(30)]
+            every = [(a, b) for a in range(30) for b in range(a) if 100 * len({*sets[a]} & {*sets[b]}) >= percent * len({*sets[a]} | {*sets[b]})]
+            found = links.spanning(sets, percent)
+            assert {(max(p), min(p)) for p in found} <= set(every) and classes_of(30, found) == classes_of(30, every) and len(found) < 30
+
+
 def test_regions_are_divided_until_they_are_small(spark, monkeypatch):
     """Fourteen families in one region: divided, it takes far fewer pairs, with the same result."""
     monkeypatch.setattr(links, "CLUSTER", 0)

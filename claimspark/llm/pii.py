@@ -339,24 +339,24 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of each row of ``docs`` (doc_id, text).
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, base_email, base_ip, base_card, base_phone) of each row of ``docs`` (doc_id, text).
 
-    Counts and spans are of all spans, base and added; base_sha256 is the digest of the base spans alone (of the empty
-    string if there are none). A null text is empty; null ids stay; further columns are ignored; an empty table gives an
+    n_ columns and spans are of all spans, base and added; base_ columns are of the base spans alone, base_sha256 their
+    digest (of the empty string if there are none). A null text is empty; null ids stay; further columns are ignored; an empty table gives an
     empty one.
     """
     model = docs.sparkSession.sparkContext.broadcast(field())
-    names = ["doc_id", *(f"n_{kind}" for kind in KINDS), "base_sha256", "spans"]
-    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string").fields])
+    names = ["doc_id", *(f"n_{kind}" for kind in KINDS), "base_sha256", "spans", *(f"base_{kind}" for kind in KINDS)]
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, " + ", ".join(f"base_{k} long" for k in KINDS)).fields])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
                 found = spans_of([x or "" for x in part.column(1).to_pylist()], model.value)
-                counts = [pa.array([sum(s[2] == kind for s in every) for _, every in found], pa.int64()) for kind in KINDS]
+                counts, of_base = ([pa.array([sum(s[2] == kind for s in each[j]) for each in found], pa.int64()) for kind in KINDS] for j in (1, 0))
                 digest = pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found])
-                yield pa.RecordBatch.from_arrays([part.column(0), *counts, digest, pa.array([joined(every) for _, every in found])], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *counts, digest, pa.array([joined(every) for _, every in found]), *of_base], names)
 
     return docs.select("doc_id", "text").mapInArrow(task, schema)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from claimspark.llm import alignment, ann, chat, decontaminate, jaccard_join, minhash, mixing, pii, quality, token_count, token_store, vector_codes, warc
 from claimspark.llm.common import table
@@ -43,7 +44,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents"))
+    """The contract's counts are of base spans, as base_sha256 is; what the field adds is in ``spans`` and all_ counts."""
+    found = pii.find(table(spark, sf_dir, "documents")).withColumnsRenamed({f"n_{kind}": f"all_{kind}" for kind in pii.KINDS})
+    return found.select("doc_id", *(F.col(f"base_{kind}").alias(f"n_{kind}") for kind in pii.KINDS), "base_sha256", "spans", *(f"all_{kind}" for kind in pii.KINDS))
 
 
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from claimspark.llm import decontaminate, mixing, pii, quality
+from claimspark.llm import decontaminate, mixing, pii, quality, queries
 
 ROW = "doc_id long, text string, lang string, source string, n_chars long, target string, epochs string, `left` string, _size string, _row string"
 
@@ -36,6 +36,14 @@ def test_base_spans_by_the_contract(spark):
     assert got == {k: hashlib.sha256(base_by_the_contract(text or "").encode()).hexdigest() for k, text in rows}
 
 
+def test_op9_counts_base_spans_alone(spark, tmp_path):
+    rows = [(1, "mail ann at example dot com or é a@b.cd"), (2, "call (555) 123-4567 (555) 987-6543"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.QUERIES["op9_personal_data"](spark, str(tmp_path)).collect()}
+    assert [(r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for _, r in sorted(got.items())] == [(1, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0)]
+    assert got[1]["all_email"] == 2 and got[2]["all_phone"] == 2 and got[2]["spans"].count("phone:") == 2
+
+
 def bm25(query, item, items, k1=1.2, b=0.75):
     """Plain BM25 of an item for the distinct terms of a query."""
     mean = sum(map(len, items)) / len(items)

@@ -191,3 +191,12 @@ def test_discoveries_and_sheet_report(spark, tmp_path):
     assert [(r["class"], r["suppressed"]) for r in store.read("eligibility", "type string, id string, class string, suppressed boolean").collect()] == [("strong", True)] and store.read("discovery_result", schema).count() == 2
     made = spark.createDataFrame([("create",), ("create",), ("update",)], "action string")
     assert dict(map(tuple, tabular.run_report(made, made.limit(1)).collect())) == {"create": 2, "update": 1, "exception": 1}
+
+
+def test_cells_of_circles_are_not_sent_to_every_task(spark):
+    """The estimate of a table of circles knows nothing of their cells: a join that trusts it sends millions of rows through the driver."""
+    places = spark.range(4).select(F.col("id").alias("place"), (F.col("id") * 1.0).alias("lat"), (F.col("id") * 1.0).alias("lon"))
+    circles = spark.range(2).select(F.col("id").alias("circle"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), F.lit(160.0).alias("radius"))
+    found = geo.within(places, circles, 3)
+    assert sorted((r["place"], r["circle"]) for r in found.collect()) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -26,6 +26,12 @@ TEXTS = {
 }
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that deals both sides by the key. Tables that grow with the items are never sent to every task:
+    their files are far smaller than their rows, so that Spark's estimate would send millions of them through the driver."""
+    return df.hint("merge")
+
+
 class World(NamedTuple):
     """What a projection reads.
 
@@ -51,10 +57,10 @@ def item_claims(items: DataFrame, claims: DataFrame) -> DataFrame:
     """(idempotency_key, and the claim's columns) of each item: its candidate's claims, or if there are none those that its claim_ids name."""
     names = [c for c in claims.columns if c != "source_id"]
     mine = items.select("idempotency_key", "candidate_key", "claim_ids")
-    by_subject = mine.join(claims.withColumn("claim_source", F.col("source_id")).drop("source_id"), F.col("candidate_key") == F.col("subject"))
-    bare = mine.join(by_subject.select("idempotency_key").distinct(), "idempotency_key", "left_anti")
+    by_subject = mine.join(dealt(claims.withColumn("claim_source", F.col("source_id")).drop("source_id")), F.col("candidate_key") == F.col("subject"))
+    bare = mine.join(dealt(claims.select("subject").distinct()), F.col("candidate_key") == F.col("subject"), "left_anti")
     named = bare.select("idempotency_key", F.explode("claim_ids").alias("claim_id")).distinct()
-    by_id = named.join(claims.withColumn("claim_source", F.col("source_id")).drop("source_id"), "claim_id")
+    by_id = named.join(dealt(claims.withColumn("claim_source", F.col("source_id")).drop("source_id")), "claim_id")
     columns = ["idempotency_key", *names, "claim_source"]
     return by_subject.select(columns).unionByName(by_id.select(columns))
 
@@ -76,7 +82,7 @@ def event_candidates(found: DataFrame) -> DataFrame:
         part("occursAt", "sourceNativeId").alias("venue_external_id"), part("occursAt", "location").alias("venue_location"), part("occursAt", "address").alias("venue_address"),
         *(present(F.col(p)).alias(c) for p, c in TEXTS.items()),
     )
-    out = totals.join(wide, "idempotency_key", "left")
+    out = totals.join(dealt(wide), "idempotency_key", "left")
     missing = F.array_join(F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(shown)) for c, shown in REQUIRED.items()))), ", ")
     return out.withColumn("missing", missing)
 
@@ -89,21 +95,21 @@ def find_by_external_id(keys: DataFrame, events: DataFrame) -> DataFrame:
     """(source_id, source_event_key, found_id): the event that carries the external id; of several the least id."""
     ids = events.select(F.col("id").alias("found_id"), F.explode("external_ids").alias("x"))
     ids = ids.groupBy(F.col("x.source").alias("source_id"), F.col("x.id").alias("source_event_key")).agg(F.min("found_id").alias("found_id"))
-    return keys.select("source_id", "source_event_key").distinct().join(ids, ["source_id", "source_event_key"])
+    return keys.select("source_id", "source_event_key").distinct().join(dealt(ids), ["source_id", "source_event_key"])
 
 
 def resolve(names: DataFrame, known: DataFrame, kind: str) -> DataFrame:
     """(name, id, created) of each distinct name: the known entity of the same key (of several the least id), or a new one whose id the key gives."""
     keyed = known.select(match_key(F.col("name")).alias("key"), "id").groupBy("key").agg(F.min("id").alias("id"))
     asked = names.select("name").distinct().withColumn("key", match_key(F.col("name")))
-    out = asked.join(keyed, "key", "left")
+    out = asked.join(dealt(keyed), "key", "left")
     return out.select("name", F.coalesce("id", identity(f"{kind}-", F.col("key"))).alias("id"), F.col("id").isNull().alias("created"))
 
 
 def blocked_by_tombstone(candidates: DataFrame, tombstones: DataFrame) -> DataFrame:
     """Candidates (artist_id, venue_id, date, authority) with tombstone (its status, or null) and blocked: an active one stops all but the strongest classes."""
     keys = ["artist_id", "venue_id", "date"]
-    out = candidates.join(tombstones.select(*keys, F.col("status").alias("tombstone")), keys, "left")
+    out = candidates.join(dealt(tombstones.select(*keys, F.col("status").alias("tombstone"))), keys, "left")
     gate = decide(out.withColumns({"owner_managed": F.lit(False), "tombstoned": F.coalesce(F.col("tombstone") == "active", F.lit(False)), "destructive": F.lit(False), "mutation": F.lit(True), "support": F.lit(None).cast("int"), "proposed": F.lit(0)}))
     return gate.withColumn("blocked", F.col("decision") == "tombstone").select(*candidates.columns, "tombstone", "blocked")
 
@@ -112,7 +118,7 @@ def ensure_events(wanted: DataFrame, events: DataFrame) -> DataFrame:
     """(artist_id, venue_id, date, ensured_id, event_created): the event of the same artist, venue and date, or a new one whose id these give."""
     keys = ["artist_id", "venue_id", "date"]
     there = events.select(*keys, F.col("id").alias("there")).groupBy(*keys).agg(F.min("there").alias("there"))
-    out = wanted.select(*keys).distinct().join(there, keys, "left")
+    out = wanted.select(*keys).distinct().join(dealt(there), keys, "left")
     return out.select(*keys, F.coalesce("there", identity("event-", *map(F.col, keys))).alias("ensured_id"), F.col("there").isNull().alias("event_created"))
 
 
@@ -129,7 +135,7 @@ def strongest_support(event_ids: DataFrame, world: World, now: Column) -> DataFr
     """
     links = world.links.where("entity_type = 'event'").select(F.col("entity_id").alias("event_id"), "claim_id").distinct()
     claims = world.claims.select("claim_id", "source_id", "observed_at", "status")
-    found = event_ids.join(links, "event_id").join(claims, "claim_id").join(world.sources.select("source_id", "authority"), "source_id", "left")
+    found = event_ids.join(dealt(links), "event_id").join(dealt(claims), "claim_id").join(world.sources.select("source_id", "authority"), "source_id", "left")
     found = found.withColumn("authority", F.coalesce("authority", F.lit("capture"))).withColumn("score", status_score(F.col("authority")))
     best = strongest(found.select("idempotency_key", "claim_id", "proposed_claim_id", "observed_at", "status", "authority", "score"), ["idempotency_key"], now)
     return best.select("idempotency_key", F.col("score").alias("support"), F.col("authority").alias("support_authority"))
@@ -160,14 +166,14 @@ def project(items: DataFrame, world: World, now: Column, keep: Callable[[DataFra
     share its id; the least idempotency_key among them counts as its creator. ``keep`` stores a stage that several
     later ones read, in the folder that driver and executors share unless it is told otherwise.
     """
-    todo = keep(pending(items, world.ledger).join(world.sources, "source_id", "left"))
-    done = _outcome(items.join(todo.select("idempotency_key"), "idempotency_key", "left_anti"), "idempotent")
+    todo = keep(pending(items, dealt(world.ledger)).join(world.sources, "source_id", "left"))
+    done = _outcome(items.join(dealt(todo.select("idempotency_key")), "idempotency_key", "left_anti"), "idempotent")
     found = keep(item_claims(todo, world.claims))
-    staged = todo.join(event_candidates(found), "idempotency_key", "left")
-    proposed = found.join(todo.select("idempotency_key", F.explode("claim_ids").alias("claim_id")).distinct(), ["idempotency_key", "claim_id"])
+    staged = todo.join(dealt(event_candidates(found)), "idempotency_key", "left")
+    proposed = found.join(dealt(todo.select("idempotency_key", F.explode("claim_ids").alias("claim_id")).distinct()), ["idempotency_key", "claim_id"])
     proposed = proposed.groupBy("idempotency_key").agg(F.min_by("claim_id", F.struct("observed_at", "claim_id")).alias("proposed_claim_id"))
     mapped = world.mappings.select("source_id", "candidate_key", F.col("artist_id").alias("was_artist"), F.col("venue_id").alias("was_venue"), F.col("event_id").alias("was_event"))
-    staged = staged.join(proposed, "idempotency_key", "left").join(mapped, ["source_id", "candidate_key"], "left")
+    staged = staged.join(dealt(proposed), "idempotency_key", "left").join(dealt(mapped), ["source_id", "candidate_key"], "left")
     staged = staged.withColumn("source_event_key", without_prefix(F.col("candidate_key"), F.concat(F.lit("event:"), F.col("source_id"), F.lit(":"))))
     stop = (
         F.when(F.col("authority").isNull(), F.concat(F.lit("Unknown source "), F.col("source_id"))).when(F.col("n_claims").isNull(), "Projection item has no readable Claims")
@@ -184,13 +190,13 @@ def project(items: DataFrame, world: World, now: Column, keep: Callable[[DataFra
 
 def _taken_back(items: DataFrame, world: World, now: Column, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Cancellations and withdrawals: the event is found by mapping or external id, and its support weighed."""
-    found = items.join(find_by_external_id(items, world.events), ["source_id", "source_event_key"], "left")
+    found = items.join(dealt(find_by_external_id(items, world.events)), ["source_id", "source_event_key"], "left")
     found = found.withColumn("event_id", F.coalesce("was_event", "found_id"))
     event = world.events.select(F.col("id").alias("event_id"), F.lit(True).alias("there"), F.coalesce(F.nullif(F.col("artist_id"), F.lit("")), F.try_element_at("artist_ids", F.lit(1))).alias("its_artist"), F.col("venue_id").alias("its_venue"), owner_managed().alias("owner_managed"))
-    found = found.join(event, "event_id", "left")
+    found = found.join(dealt(event), "event_id", "left")
     found = keep(found)
     support = strongest_support(found.select("idempotency_key", "event_id", "proposed_claim_id"), world, now)
-    found = found.join(support, "idempotency_key", "left").withColumns({"proposed": status_score(F.col("authority")), "tombstoned": F.lit(False), "destructive": F.lit(True), "mutation": F.lit(False), "owner_managed": F.coalesce("owner_managed", F.lit(False))})
+    found = found.join(dealt(support), "idempotency_key", "left").withColumns({"proposed": status_score(F.col("authority")), "tombstoned": F.lit(False), "destructive": F.lit(True), "mutation": F.lit(False), "owner_managed": F.coalesce("owner_managed", F.lit(False))})
     found = decide(found).withColumns({"new_artist": F.coalesce("its_artist", "was_artist"), "new_venue": F.coalesce(F.nullif(F.col("its_venue"), F.lit("")), F.col("was_venue"))})
     reason = (
         F.when(F.col("event_id").isNull(), "No canonical event mapping for destructive projection")
@@ -211,22 +217,22 @@ def _put_forward(items: DataFrame, world: World, keep: Callable[[DataFrame], Dat
     for kind, known in (("artist", world.artists), ("venue", world.venues)):
         names = items.where(f"was_{kind} is null").select(F.col(f"{kind}_name").alias("name"))
         made = resolve(names, known, kind).select(F.col("name").alias(f"{kind}_name"), F.col("id").alias(f"found_{kind}"), F.col("created").alias(f"new_{kind}"))
-        out = out.join(made, f"{kind}_name", "left").withColumns({f"{kind}_id": F.coalesce(f"was_{kind}", f"found_{kind}"), f"new_{kind}": F.col(f"was_{kind}").isNull() & F.coalesce(f"new_{kind}", F.lit(False))})
+        out = out.join(dealt(made), f"{kind}_name", "left").withColumns({f"{kind}_id": F.coalesce(f"was_{kind}", f"found_{kind}"), f"new_{kind}": F.col(f"was_{kind}").isNull() & F.coalesce(f"new_{kind}", F.lit(False))})
     out = blocked_by_tombstone(out, world.tombstones)
     event = world.events.select(F.col("id").alias("was_event"), F.lit(True).alias("there"))
-    out = out.join(event, "was_event", "left")
+    out = out.join(dealt(event), "was_event", "left")
     wanted = out.where("there is null and not blocked")
-    out = out.join(ensure_events(wanted, world.events), ["artist_id", "venue_id", "date"], "left")
+    out = out.join(dealt(ensure_events(wanted, world.events)), ["artist_id", "venue_id", "date"], "left")
     known = F.col("there").isNotNull()
     out = out.withColumns({"event_id": F.when(known, F.col("was_event")).otherwise(F.col("ensured_id")), "new_event": ~known & F.coalesce("event_created", F.lit(False))})
     owned = world.events.select(F.col("id").alias("event_id"), owner_managed().alias("owner_managed"), F.col("cancelled"), F.col("is_public"))
-    out = keep(out.join(owned, "event_id", "left").withColumn("owner_managed", F.coalesce("owner_managed", F.lit(False))))
+    out = keep(out.join(dealt(owned), "event_id", "left").withColumn("owner_managed", F.coalesce("owner_managed", F.lit(False))))
     # Several items may need one new entity: one of them creates it, the others find it there.
     kinds = ("artist", "venue", "event")
     needs = F.array_compact(F.array(*(F.when(F.col(f"new_{kind}"), F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}_id").alias("id"))) for kind in kinds)))
     first = out.where("not blocked").select("idempotency_key", F.inline(needs)).groupBy("kind", "id").agg(F.min("idempotency_key").alias("idempotency_key"))
     first = first.groupBy("idempotency_key").agg(*(F.max(F.col("kind") == kind).alias(f"makes_{kind}") for kind in kinds))
-    out = out.join(first, "idempotency_key", "left").withColumns({f"new_{kind}": F.coalesce(f"makes_{kind}", F.lit(False)) for kind in kinds})
+    out = out.join(dealt(first), "idempotency_key", "left").withColumns({f"new_{kind}": F.coalesce(f"makes_{kind}", F.lit(False)) for kind in kinds})
     changes = {"tombstoned": F.lit(False), "destructive": F.lit(False), "mutation": (F.col("action") == "update") | ~F.col("new_event"), "support": F.lit(None).cast("int"), "proposed": F.lit(0)}
     out = keep(decide(out.withColumns(changes)))
     flags = {"artist_id": F.col("artist_id"), "venue_id": F.col("venue_id"), "event_id": F.col("event_id"), "artist_created": F.col("new_artist"), "venue_created": F.col("new_venue")}
@@ -243,9 +249,9 @@ def tombstone_rows(outcomes: DataFrame, candidates: DataFrame, world: World, cre
 
     ``candidates`` (idempotency_key, date, claim_id): the candidate's date and the claim that took the event back.
     """
-    gone = outcomes.where("status = 'success' and (event_cancelled or event_hidden)").join(candidates, "idempotency_key")
+    gone = outcomes.where("status = 'success' and (event_cancelled or event_hidden)").join(dealt(candidates), "idempotency_key")
     keys = ["artist_id", "venue_id", "date"]
-    gone = gone.join(world.tombstones.select(*keys), keys, "left_anti").join(world.sources.select("source_id", "authority"), "source_id")
+    gone = gone.join(dealt(world.tombstones.select(*keys)), keys, "left_anti").join(world.sources.select("source_id", "authority"), "source_id")
     print_ = F.concat_ws("|", *keys)
     why = F.when(F.col("event_cancelled"), "explicit cancellation").otherwise("absent from complete snapshot")
     rows = gone.select(identity("tombstone-", print_).alias("id"), print_.alias("event_fingerprint"), F.col("event_id").alias("canonical_event_id"), *keys, F.lit("active").alias("status"), why.alias("reason"), F.col("authority").alias("authority_class"), "source_id", "claim_id", "observation_id", F.lit(created_at).alias("created_at"), "idempotency_key")
@@ -255,8 +261,8 @@ def tombstone_rows(outcomes: DataFrame, candidates: DataFrame, world: World, cre
 def reinstated(tombstones: DataFrame, outcomes: DataFrame, candidates: DataFrame, at: str, changed: bool = False) -> DataFrame:
     """``tombstones`` after the run: those that a strong source's event brought back are reinstated, none is deleted. With ``changed`` only these."""
     keys = ["artist_id", "venue_id", "date"]
-    back = outcomes.where("reinstated").join(candidates, "idempotency_key").groupBy(*keys).agg(F.min("claim_id").alias("_claim"))
-    out = tombstones.join(back.withColumn("_back", F.lit(True)), keys, "inner" if changed else "left")
+    back = outcomes.where("reinstated").join(dealt(candidates), "idempotency_key").groupBy(*keys).agg(F.min("claim_id").alias("_claim"))
+    out = tombstones.join(dealt(back.withColumn("_back", F.lit(True))), keys, "inner" if changed else "left")
     hit = F.coalesce(F.col("_back") & (F.col("status") == "active"), F.lit(False))
     out = out.where(hit) if changed else out
     return out.select(*keys, F.when(hit, "reinstated").otherwise(F.col("status")).alias("status"), F.when(hit, F.lit(at)).alias("superseded_at"), F.when(hit, F.col("_claim")).alias("superseded_by_claim_id"))
@@ -267,7 +273,7 @@ def prior_claims(found: DataFrame, items: DataFrame) -> DataFrame:
 
     ``items`` (idempotency_key, source_id, proposed_claim_id); of equal times the least claim_id.
     """
-    rows = found.join(items.select("idempotency_key", "source_id", "proposed_claim_id"), "idempotency_key")
+    rows = found.join(dealt(items.select("idempotency_key", "source_id", "proposed_claim_id")), "idempotency_key")
     rows = rows.where((F.col("claim_source") == F.col("source_id")) & ~F.col("claim_id").eqNullSafe(F.col("proposed_claim_id")) & (F.col("predicate") != "hasStatus"))
     best = best_per_key(rows.select("idempotency_key", "claim_id", "observed_at"), ["idempotency_key"], F.struct("observed_at"), F.col("claim_id"))
     return best.select("idempotency_key", F.col("claim_id").alias("prior_claim_id"))
@@ -278,7 +284,7 @@ def merged_mappings(mappings: DataFrame, outcomes: DataFrame) -> DataFrame:
     keys, ids = ["source_id", "candidate_key"], ["artist_id", "venue_id", "event_id"]
     new = outcomes.where("status in ('success', 'shadow')")
     new = best_per_key(new.select(*keys, *ids, "idempotency_key"), keys, F.struct(F.lit(0)), F.col("idempotency_key")).select(*keys, *(F.col(c).alias(f"_{c}") for c in ids))
-    return mappings.select(*keys, *ids).join(new, keys, "full_outer").select(*keys, *(F.coalesce(f"_{c}", c).alias(c) for c in ids))
+    return mappings.select(*keys, *ids).join(dealt(new), keys, "full_outer").select(*keys, *(F.coalesce(f"_{c}", c).alias(c) for c in ids))
 
 
 def changed_mappings(mappings: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -287,7 +293,7 @@ def changed_mappings(mappings: DataFrame, outcomes: DataFrame) -> DataFrame:
     new = outcomes.where("status in ('success', 'shadow')")
     new = best_per_key(new.select(*keys, *ids, "idempotency_key"), keys, F.struct(F.lit(0)), F.col("idempotency_key"))
     old = mappings.select(*keys, *(F.col(c).alias(f"_{c}") for c in ids))
-    return new.join(old, keys, "left").select(*keys, *(F.coalesce(c, f"_{c}").alias(c) for c in ids))
+    return new.join(dealt(old), keys, "left").select(*keys, *(F.coalesce(c, f"_{c}").alias(c) for c in ids))
 
 
 def support_links(outcomes: DataFrame, found: DataFrame, links: DataFrame | None = None) -> DataFrame:
@@ -296,11 +302,11 @@ def support_links(outcomes: DataFrame, found: DataFrame, links: DataFrame | None
     Links are a set: those of ``links`` aren't added again.
     """
     put = outcomes.where("status = 'success' and action not in ('cancel', 'withdraw')").select("idempotency_key", "artist_id", "venue_id", "event_id")
-    rows = put.join(found.select("idempotency_key", "claim_id", "predicate"), "idempotency_key")
+    rows = put.join(dealt(found.select("idempotency_key", "claim_id", "predicate")), "idempotency_key")
     one = lambda kind, when: F.when(when, F.struct(F.lit(kind).alias("entity_type"), F.col(f"{kind}_id").alias("entity_id")))
     made = F.array_compact(F.array(one("event", F.lit(True)), one("artist", F.col("predicate").isin("hasPerformer", "hasPerformerName")), one("venue", F.col("predicate").isin("occursAt", "hasVenueName"))))
     out = rows.select("claim_id", F.inline(made)).select("entity_type", "entity_id", "claim_id").distinct()
-    return out if links is None else out.join(links, ["entity_type", "entity_id", "claim_id"], "left_anti")
+    return out if links is None else out.join(dealt(links), ["entity_type", "entity_id", "claim_id"], "left_anti")
 
 
 def merge_external_ids(existing: Column, source: Column, key: Column) -> Column:
@@ -319,7 +325,7 @@ def update_payload(existing: Column) -> list[Column]:
 
 def new_entities(outcomes: DataFrame, candidates: DataFrame, kind: str) -> DataFrame:
     """The artists or venues that a run creates: id, name, where they are, and the source's id for them (by name, if it has none)."""
-    made = outcomes.where(f"status = 'success' and {kind}_created").select("idempotency_key", "source_id", F.col(f"{kind}_id").alias("id")).join(candidates, "idempotency_key")
+    made = outcomes.where(f"status = 'success' and {kind}_created").select("idempotency_key", "source_id", F.col(f"{kind}_id").alias("id")).join(dealt(candidates), "idempotency_key")
     name = F.lower(F.col(f"{kind}_name"))
     if kind == "artist":
         own, where = F.concat(F.lit("name:"), name), {"location": F.coalesce("artist_location", "venue_location"), "region": F.col("venue_location")}
@@ -340,7 +346,7 @@ def changed_events(outcomes: DataFrame, candidates: DataFrame, events: DataFrame
     lack columns, which are null then.
     """
     touched = outcomes.where("status = 'success' and (event_created or event_updated or event_cancelled or event_hidden or reinstated)")
-    rows = touched.join(candidates.drop("n_claims", "status"), "idempotency_key", "left").withColumn("source_event_key", without_prefix(F.col("candidate_key"), F.concat(F.lit("event:"), F.col("source_id"), F.lit(":"))))
+    rows = touched.join(dealt(candidates.drop("n_claims", "status")), "idempotency_key", "left").withColumn("source_event_key", without_prefix(F.col("candidate_key"), F.concat(F.lit("event:"), F.col("source_id"), F.lit(":"))))
     put = F.col("event_created") | F.col("event_updated")
     paid = F.when(F.nullif(F.col("admission_status"), F.lit("")).isNotNull(), F.col("admission_status") == "PAID_CONFIRMED")
     value = {"artist_id": F.col("artist_id"), "venue_id": F.col("venue_id"), **{c: F.nullif(F.col(c), F.lit("")) for c in EVENT_TEXTS}, "ticketed": paid}
@@ -353,7 +359,7 @@ def changed_events(outcomes: DataFrame, candidates: DataFrame, events: DataFrame
     kinds = {"cancelled": "boolean", "is_public": "boolean", "ticketed": "boolean", "verified_by_artist": "boolean", "artist_ids": "array<string>", "external_ids": "array<struct<source:string,id:string>>"}
     columns = ("artist_id", "artist_ids", "venue_id", *EVENT_TEXTS, "ticketed", "cancelled", "is_public", "membership_id", "verified_by_artist", "external_ids")
     old = events.select("id", *(F.col(c) if c in events.columns else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in columns))
-    both = new.join(old, "id", "left")
+    both = new.join(dealt(old), "id", "left")
     merged = F.array_distinct(F.concat(F.coalesce("external_ids", F.array().cast(kinds["external_ids"])), F.transform("_ids", lambda x: x["x"])))
     found = {c: F.coalesce(f"_{c}", c) for c in value} | {"cancelled": F.coalesce("_cancelled", "cancelled", F.lit(False)), "is_public": F.coalesce("_is_public", "is_public", F.lit(True)), "external_ids": merged}
     return both.select("id", *(found.get(c, F.col(c)).alias(c) for c in columns))
@@ -361,16 +367,16 @@ def changed_events(outcomes: DataFrame, candidates: DataFrame, events: DataFrame
 
 def withdrawals(outcomes: DataFrame, priors: DataFrame, at: str) -> DataFrame:
     """(id, source_id, observation_id, prior_claim_id, source_event_key, reason, created_at) of hidden events whose source had said something before."""
-    gone = outcomes.where("status = 'success' and event_hidden").join(priors, "idempotency_key")
+    gone = outcomes.where("status = 'success' and event_hidden").join(dealt(priors), "idempotency_key")
     key = without_prefix(F.col("candidate_key"), F.concat(F.lit("event:"), F.col("source_id"), F.lit(":")))
     return gone.select(identity("withdrawal-", F.col("idempotency_key")).alias("id"), "source_id", "observation_id", "prior_claim_id", key.alias("source_event_key"), F.lit("absent-from-complete-snapshot").alias("reason"), F.lit(at).alias("created_at"))
 
 
 def verified(outcomes: DataFrame, candidates: DataFrame, events: DataFrame) -> DataFrame:
     """(idempotency_key, problem) of written events that don't read back as they should: missing, or another date, venue or artist."""
-    wrote = outcomes.where("status = 'success' and not protected and not event_cancelled and not event_hidden").join(candidates.select("idempotency_key", F.col("date").alias("_date")), "idempotency_key")
+    wrote = outcomes.where("status = 'success' and not protected and not event_cancelled and not event_hidden").join(dealt(candidates.select("idempotency_key", F.col("date").alias("_date"))), "idempotency_key")
     read = events.select(F.col("id").alias("event_id"), F.col("date"), F.col("venue_id").alias("_venue"), F.col("artist_id").alias("_artist"), "artist_ids", F.lit(True).alias("_there"))
-    rows = wrote.join(read, "event_id", "left")
+    rows = wrote.join(dealt(read), "event_id", "left")
     artist = F.col("_artist").eqNullSafe(F.col("artist_id")) | F.coalesce(F.array_contains("artist_ids", F.col("artist_id")), F.lit(False))
     problem = F.when(F.col("_there").isNull(), "missing").when(~F.col("date").eqNullSafe(F.col("_date")), "date mismatch").when(~F.col("_venue").eqNullSafe(F.col("venue_id")), "venue mismatch").when(~artist, "artist mismatch")
     return rows.select("idempotency_key", problem.alias("problem")).where("problem is not null")

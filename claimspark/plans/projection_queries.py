@@ -53,6 +53,7 @@ def canonical_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def world(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, projection.World]:
     """Work items of orders, and a world around them: nine sources (one unknown), claims, mappings, events, tombstones, links."""
     orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.to_date("o_orderdate").cast("string").alias("date")).dropDuplicates(["k"])
+    orders = keep(orders)
     k, c = F.col("k"), F.col("c")
     source = text("s", c % 9)
     subject = F.concat(F.lit("event:"), source, F.lit(":"), k.cast("string"))
@@ -137,7 +138,7 @@ def tombstone_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, around = world(spark, sf_dir)
     out = keep(projection.project(items, around, F.to_timestamp(F.lit(NOW)), keep))
     found = projection.event_candidates(projection.item_claims(items, around.claims)).select("idempotency_key", "date")
-    dated = found.join(items.select("idempotency_key", F.try_element_at("claim_ids", F.lit(1)).alias("claim_id")), "idempotency_key")
+    dated = found.join(projection.dealt(items.select("idempotency_key", F.try_element_at("claim_ids", F.lit(1)).alias("claim_id"))), "idempotency_key")
     return projection.tombstone_rows(out, dated, around, NOW).select("id", "reason", "canonical_event_id")
 
 
@@ -153,7 +154,7 @@ def projection_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, around = world(spark, sf_dir)
     out = keep(projection.project(items, around, F.to_timestamp(F.lit(NOW)), keep))
     found = keep(projection.item_claims(items, around.claims))
-    put = projection.event_candidates(found).join(items.select("idempotency_key", F.try_element_at("claim_ids", F.lit(1)).alias("claim_id")), "idempotency_key")
+    put = projection.event_candidates(found).join(projection.dealt(items.select("idempotency_key", F.try_element_at("claim_ids", F.lit(1)).alias("claim_id"))), "idempotency_key")
     store = Store(spark, shared_folder(spark, "canonical"), indexes={"event": ["venue_id"]})
     sinks.write_projection(store, out, found, put, around, NOW)
     events = store.read("event", "id string, artist_id string, venue_id string, date string, cancelled boolean, is_public boolean, external_ids array<struct<source:string,id:string>>")

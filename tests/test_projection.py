@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from claimspark.operators import projection
+from claimspark.operators import projection, reconcile
 from claimspark.sources.sinks import write_projection
 from claimspark.sources.store import Store
 
@@ -93,3 +93,22 @@ def test_update_payload(spark):
     row = spark.createDataFrame([("cur", "7", "a", "v", "2026-09-01", "20:00", "", "T", None, None, "5", "PAID_CONFIRMED", [("x", "1"), ("x", "1"), ("", "2")])], "source_id string, source_event_key string, artist_id string, venue_id string, date string, start_time string, end_time string, title string, event_url string, ticket_url string, price string, admission_status string, ids array<struct<source:string,id:string>>")
     got = row.select(*projection.update_payload(F.col("ids"))).first()
     assert [tuple(x) for x in got["external_ids"]] == [("x", "1"), ("cur", "7")] and got["title"] == "T" and got["end_time"] is None and got["ticketed"] is True
+
+
+def test_no_growing_table_of_a_run_is_sent_to_every_task(spark):
+    """Small files are large in memory: claims and candidates are dealt by their keys, whatever their size is estimated at."""
+    items = spark.createDataFrame([("i1", "e1", ["c9"]), ("i2", "e2", ["c9"])], "idempotency_key string, candidate_key string, claim_ids array<string>")
+    rows = [("c1", "s", "e1", "occursOn", "2026-01-02", "2026-01-01", "active"), ("c0", "s", "e1", "occursOn", "2026-01-03", "2026-01-01", "active"), ("c9", "s", "other", "occursOn", "2026-02-01", "2026-01-01", "active")]
+    found = projection.item_claims(items, spark.createDataFrame(rows, "claim_id string, source_id string, subject string, predicate string, value string, observed_at string, status string"))
+    dates = projection.event_candidates(found).select("idempotency_key", "date")
+    assert sorted(map(tuple, dates.collect())) == [("i1", "2026-01-03"), ("i2", "2026-02-01")]
+    assert "Broadcast" not in dates._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_rows_are_dealt_once(spark):
+    """One row of each key leaves a task, in one exchange; a null tie comes last and costs no row."""
+    rows = spark.createDataFrame([("a", 1, None), ("a", 2, None), ("a", 2, "y"), ("a", 2, "x"), (None, 5, None)], "k string, n int, t string").repartition(3)
+    best = reconcile.best_per_key(rows, ["k"], F.struct("n"), F.col("t"))
+    assert sorted(map(tuple, best.collect()), key=str) == [("a", 2, "x"), (None, 5, None)]
+    plan = best._jdf.queryExecution().sparkPlan().toString()
+    assert "WindowGroupLimit" in plan and "Join" not in plan

@@ -182,3 +182,21 @@ def test_leases(spark, tmp_path):
     stream.awaitTermination()
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     assert [r["outcome"] for r in spark.table("leases").orderBy("at").collect()] == ["claimed", "refused", "claimed", "released", "finished"]
+
+
+def test_leases_of_requests_without_time_or_owner(spark, tmp_path):
+    """Whole rows go through, and no call of the state's server for each capture: a request without a time is refused, not an error."""
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema, queue = "id string, owner string, at timestamp, done boolean", f"file://{tmp_path}/q"
+    rows = [("c", None, "2026-01-01 00:05:00.000001", None), ("c", "x", "2026-01-01 00:05:00.000001", False), ("c", "z", None, False), ("d", "x", None, True)]
+    spark.createDataFrame(rows, "id string, owner string, at string, done boolean").withColumn("at", F.to_timestamp("at")).write.parquet(queue)
+    out = leases(spark.readStream.schema(schema).parquet(queue), 20)
+    assert "Pandas" in out._jdf.queryExecution().analyzed().toString() and "TransformWithState" not in out._jdf.queryExecution().analyzed().toString()
+    out.writeStream.format("memory").queryName("odd_leases").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    got = {(r["id"], r["owner"], str(r["at"]), r["outcome"], str(r["lease_until"])) for r in spark.table("odd_leases").collect()}
+    assert got == {
+        ("c", "x", "2026-01-01 00:05:00.000001", "claimed", "2026-01-01 00:25:00.000001"), ("c", None, "2026-01-01 00:05:00.000001", "refused", "None"),
+        ("c", "z", "None", "refused", "None"), ("d", "x", "None", "refused", "None"),
+    }

@@ -116,7 +116,7 @@ def write_projection(store: Store, outcomes: DataFrame, found: DataFrame, candid
         graves = graves.withColumns(later)
         change.put_once("tombstone", graves, ["id"], types(graves))
         change.upsert("tombstone", _brought_back(change.read("tombstone", types(graves)), projection.reinstated(world.tombstones, outcomes, candidates, at, changed=True)), ["id"], types(graves))
-        sources = outcomes.join(candidates.select("idempotency_key", F.col("claim_id").alias("proposed_claim_id")), "idempotency_key").select("idempotency_key", "source_id", "proposed_claim_id")
+        sources = outcomes.join(projection.dealt(candidates.select("idempotency_key", F.col("claim_id").alias("proposed_claim_id"))), "idempotency_key").select("idempotency_key", "source_id", "proposed_claim_id")
         gone = projection.withdrawals(outcomes, projection.prior_claims(found, sources), at)
         change.put_once("source_withdrawal", gone, ["id"], types(gone))
         failed = projection.exceptions(outcomes, at)
@@ -133,7 +133,7 @@ def _brought_back(now: DataFrame, back: DataFrame) -> DataFrame:
     mark = F.concat_ws("|", "artist_id", "venue_id", "date")
     new = back.withColumns({"id": text.identity("tombstone-", mark), "event_fingerprint": mark})
     old = now.select("id", *(F.col(c).alias(f"_{c}") for c in now.columns if c != "id"))
-    both = new.join(old, "id", "left")
+    both = new.join(projection.dealt(old), "id", "left")
     return both.select(*(F.col(c) if c == "id" else F.coalesce(c, f"_{c}").alias(c) if c in new.columns else F.col(f"_{c}").alias(c) for c in now.columns))
 
 

@@ -233,19 +233,20 @@ class Transaction:
         Of rows that share a new key the least is put. Keys hold no null.
         """
         rows = kept(best_per_key(rows, keys, F.struct(F.lit(0)), F.struct(*(F.col(c) for c in rows.columns))), "put")
-        before = self.read(name, schema).select(*keys)
+        # Keys of whole tables are dealt: a part's file is far smaller than its rows, and its size would pass for a broadcast's.
+        before = self.read(name, schema).select(*keys).hint("merge")
         taken = rows.join(before, keys, "left_semi")
         if strict and not taken.isEmpty():
             raise ValueError(f"{name}: keys exist already")
         new = rows.join(before, keys, "left_anti")
-        self.change(name, keys, schema, new, lambda now: now.unionByName(rows.select(now.columns).join(now.select(*keys), keys, "left_anti")))
+        self.change(name, keys, schema, new, lambda now: now.unionByName(rows.select(now.columns).join(now.select(*keys).hint("merge"), keys, "left_anti")))
         # Read from the commit before this one, which stays readable.
         return taken
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str], schema: str) -> None:
         """Replace rows of equal keys (which are unique in ``rows``, and not null), add the others."""
         rows = kept(rows, "upsert")
-        self.change(name, keys, schema, rows, lambda now: now.join(rows.select(*keys), keys, "left_anti").unionByName(rows.select(now.columns)))
+        self.change(name, keys, schema, rows, lambda now: now.join(rows.select(*keys).hint("merge"), keys, "left_anti").unionByName(rows.select(now.columns)))
 
     def swap(self, name: str, rows: DataFrame, key: str, column: str, schema: str) -> DataFrame:
         """Set ``column`` where it still is as expected (key, expected, new); (key, outcome): swapped or stale."""

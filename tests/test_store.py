@@ -1,6 +1,7 @@
 """The store: transactions over several tables, growth, and lookups that open few files."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from claimspark.sources import store as stores
 from claimspark.sources.store import Conflict, Store
@@ -94,3 +95,15 @@ def test_old_commits_are_forgotten_but_not_what_is_being_written(spark, tmp_path
     assert len(runs) == stores.VERSIONS
     slow.commit()
     assert store.read("b", CLAIM).count() == 1 and store.read("a", CLAIM).count() == 6
+
+
+def test_keys_of_a_table_are_not_sent_to_every_task(spark, tmp_path):
+    plans, store = [], Store(spark, f"file://{tmp_path}/s")
+    store.upsert("t", spark.range(5).select("id", F.lit("a").alias("v")), ["id"], "id long, v string")
+    with store.transaction() as change:
+        real = change.change
+        change.change = lambda name, keys, schema, touched, made: real(name, keys, schema, touched, lambda now: plans.append(made(now)) or made(now))
+        change.upsert("t", spark.range(3, 7).select("id", F.lit("b").alias("v")), ["id"], "id long, v string")
+        change.put_once("t", spark.range(6, 9).select("id", F.lit("c").alias("v")), ["id"], "id long, v string")
+    assert sorted(map(tuple, store.read("t", "id long, v string").collect())) == [(0, "a"), (1, "a"), (2, "a"), (3, "b"), (4, "b"), (5, "b"), (6, "b"), (7, "c"), (8, "c")]
+    assert len(plans) == 2 and not any("Broadcast" in p._jdf.queryExecution().sparkPlan().toString() for p in plans)

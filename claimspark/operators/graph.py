@@ -84,5 +84,7 @@ def resolved(events: DataFrame, projections: DataFrame) -> tuple[DataFrame, Data
 
 def with_claims(made: DataFrame, claims: DataFrame) -> DataFrame:
     """Nodes with claims, the list of those about them (claim_id, subject, predicate, value) in the order of their ids; other claims are left out."""
-    listed = claims.groupBy(F.col("subject").alias("id")).agg(F.sort_array(F.collect_list(F.struct("claim_id", "predicate", "value"))).alias("claims"))
+    # Claims about no node go before they are gathered: a list of all of them, for nothing, would be one task's.
+    about = claims.join(made.select(F.col("id").alias("subject")).hint("merge"), "subject", "left_semi")
+    listed = about.groupBy(F.col("subject").alias("id")).agg(F.sort_array(F.collect_list(F.struct("claim_id", "predicate", "value"))).alias("claims"))
     return made.join(listed, "id", "left")

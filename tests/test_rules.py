@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimspark.functions import text, times
-from claimspark.operators import assess, captures, claims, listings, reconcile, runs, tabular
+from claimspark.operators import assess, captures, claims, graph, listings, reconcile, runs, tabular
 from claimspark.sources.store import Conflict, Store
 from claimspark.streaming.ledger import STATE, track_runs
 from claimspark.streaming.lease import leases
@@ -200,3 +200,11 @@ def test_leases_of_requests_without_time_or_owner(spark, tmp_path):
         ("c", "x", "2026-01-01 00:05:00.000001", "claimed", "2026-01-01 00:25:00.000001"), ("c", None, "2026-01-01 00:05:00.000001", "refused", "None"),
         ("c", "z", "None", "refused", "None"), ("d", "x", "None", "refused", "None"),
     }
+
+
+def test_claims_about_no_node_are_not_gathered(spark):
+    made = spark.createDataFrame([("a",), ("b",)], "id string")
+    rows = spark.createDataFrame([("k2", "a", "p", "v"), ("k1", "a", "p", "v")] + [(f"n{i}", "nobody", "p", "v") for i in range(50)], "claim_id string, subject string, predicate string, value string")
+    out = graph.with_claims(made, rows)
+    assert {r["id"]: r["claims"] and [c["claim_id"] for c in r["claims"]] for r in out.collect()} == {"a": ["k1", "k2"], "b": None}
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()

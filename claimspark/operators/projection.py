@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.functions.text import identity, match_key, present, without_prefix
-from claimspark.operators.claims import EVENT, base_scores, decide, latest_claims, strongest
+from claimspark.operators.claims import EVENT, base_scores, decide, strongest
 from claimspark.operators.reconcile import best_per_key, pending
 from claimspark.sources.shared import kept
 
@@ -26,6 +26,10 @@ TEXTS = {
 }
 
 
+#: A candidate's columns that no gate reads.
+UNUSED = ("artist_external_id", "artist_location", "venue_external_id", "venue_location", "venue_address", *(c for c in TEXTS.values() if c != "date"), "last_observed", "missing", "shadow", "writer")
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """``df`` as a side of a join that deals both sides by the key. Tables that grow with the items are never sent to every task:
     their files are far smaller than their rows, so that Spark's estimate would send millions of them through the driver."""
@@ -54,7 +58,10 @@ class World(NamedTuple):
 
 
 def item_claims(items: DataFrame, claims: DataFrame) -> DataFrame:
-    """(idempotency_key, and the claim's columns) of each item: its candidate's claims, or if there are none those that its claim_ids name."""
+    """(idempotency_key, the claim's columns, named) of each item: its candidate's claims, or if there are none those that its claim_ids name.
+
+    named tells whether the item's claim_ids hold the claim.
+    """
     names = [c for c in claims.columns if c != "source_id"]
     mine = items.select("idempotency_key", "candidate_key", "claim_ids")
     by_subject = mine.join(dealt(claims.withColumn("claim_source", F.col("source_id")).drop("source_id")), F.col("candidate_key") == F.col("subject"))
@@ -62,27 +69,31 @@ def item_claims(items: DataFrame, claims: DataFrame) -> DataFrame:
     named = bare.select("idempotency_key", F.explode("claim_ids").alias("claim_id")).distinct()
     by_id = named.join(dealt(claims.withColumn("claim_source", F.col("source_id")).drop("source_id")), "claim_id")
     columns = ["idempotency_key", *names, "claim_source"]
-    return by_subject.select(columns).unionByName(by_id.select(columns))
+    held = F.coalesce(F.array_contains("claim_ids", F.col("claim_id")), F.lit(False)).alias("named")
+    return by_subject.select(*columns, held).unionByName(by_id.select(*columns, F.lit(True).alias("named")))
 
 
 def event_candidates(found: DataFrame) -> DataFrame:
     """One row an item: the fields of its latest active claims, missing (names, comma-joined), observed_at, n_claims.
 
     A performer's or place's object comes before its name's claim; texts are trimmed, blank ones are missing. observed_at is the
-    greatest of all claims, active or not.
+    greatest of all claims, active or not. If ``found`` has named, proposed_claim_id is the first of the claims that the item names.
     """
-    totals = found.groupBy("idempotency_key").agg(F.max("observed_at").alias("last_observed"), F.count("*").alias("n_claims"))
-    active = latest_claims(found.withColumn("subject", F.col("idempotency_key")), "observed_at", "claim_id")
-    value = lambda p: F.max(F.when(F.col("predicate") == p, F.col("value")))
-    wide = active.groupBy("idempotency_key").agg(*(value(p).alias(p) for p in ("hasPerformer", "hasPerformerName", "occursAt", "hasVenueName", *TEXTS)))
+    # Claims are dealt by item once; what follows finds them where they are.
+    rows = found.withColumn("_active", F.coalesce(F.col("status") == "active", F.lit(False))).repartition("idempotency_key")
+    order = Window.partitionBy("idempotency_key", "predicate", "_active").orderBy(F.col("observed_at").desc(), F.col("claim_id").asc_nulls_last())
+    rows = rows.withColumn("_latest", F.col("_active") & (F.row_number().over(order) == 1))
+    value = lambda p: F.max(F.when(F.col("_latest") & (F.col("predicate") == p), F.col("value")))
+    each = {p: value(p) for p in ("hasPerformer", "hasPerformerName", "occursAt", "hasVenueName", *TEXTS)}
+    first = {"proposed_claim_id": F.min_by(F.when(F.col("named"), F.col("claim_id")), F.when(F.col("named"), F.struct("observed_at", "claim_id")))} if "named" in found.columns else {}
+    wide = rows.groupBy("idempotency_key").agg(F.max("observed_at").alias("last_observed"), F.count("*").alias("n_claims"), *(v.alias(c) for c, v in {**each, **first}.items()))
     part = lambda p, key: present(F.get_json_object(p, f"$.{key}"))
-    wide = wide.select(
-        "idempotency_key", F.coalesce(part("hasPerformer", "name"), present(F.col("hasPerformerName"))).alias("artist_name"), part("hasPerformer", "sourceNativeId").alias("artist_external_id"),
+    out = wide.select(
+        "idempotency_key", "last_observed", "n_claims", F.coalesce(part("hasPerformer", "name"), present(F.col("hasPerformerName"))).alias("artist_name"), part("hasPerformer", "sourceNativeId").alias("artist_external_id"),
         part("hasPerformer", "location").alias("artist_location"), F.coalesce(part("occursAt", "name"), present(F.col("hasVenueName"))).alias("venue_name"),
         part("occursAt", "sourceNativeId").alias("venue_external_id"), part("occursAt", "location").alias("venue_location"), part("occursAt", "address").alias("venue_address"),
-        *(present(F.col(p)).alias(c) for p, c in TEXTS.items()),
+        *(present(F.col(p)).alias(c) for p, c in TEXTS.items()), *first,
     )
-    out = totals.join(dealt(wide), "idempotency_key", "left")
     missing = F.array_join(F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(shown)) for c, shown in REQUIRED.items()))), ", ")
     return out.withColumn("missing", missing)
 
@@ -168,19 +179,17 @@ def project(items: DataFrame, world: World, now: Column, keep: Callable[[DataFra
     """
     todo = keep(pending(items, dealt(world.ledger)).join(world.sources, "source_id", "left"))
     done = _outcome(items.join(dealt(todo.select("idempotency_key")), "idempotency_key", "left_anti"), "idempotent")
-    found = keep(item_claims(todo, world.claims))
-    staged = todo.join(dealt(event_candidates(found)), "idempotency_key", "left")
-    proposed = found.join(dealt(todo.select("idempotency_key", F.explode("claim_ids").alias("claim_id")).distinct()), ["idempotency_key", "claim_id"])
-    proposed = proposed.groupBy("idempotency_key").agg(F.min_by("claim_id", F.struct("observed_at", "claim_id")).alias("proposed_claim_id"))
     mapped = world.mappings.select("source_id", "candidate_key", F.col("artist_id").alias("was_artist"), F.col("venue_id").alias("was_venue"), F.col("event_id").alias("was_event"))
-    staged = staged.join(dealt(proposed), "idempotency_key", "left").join(dealt(mapped), ["source_id", "candidate_key"], "left")
+    # Mappings meet the items while these are narrow; candidates are dealt by item already.
+    staged = todo.join(dealt(mapped), ["source_id", "candidate_key"], "left").join(dealt(event_candidates(item_claims(todo, world.claims))), "idempotency_key", "left")
     staged = staged.withColumn("source_event_key", without_prefix(F.col("candidate_key"), F.concat(F.lit("event:"), F.col("source_id"), F.lit(":"))))
     stop = (
         F.when(F.col("authority").isNull(), F.concat(F.lit("Unknown source "), F.col("source_id"))).when(F.col("n_claims").isNull(), "Projection item has no readable Claims")
         .when(F.col("missing") != "", F.concat(F.lit("Projection candidate "), F.col("candidate_key"), F.lit(" missing "), F.col("missing")))
     )
     shadow = F.when(F.col("shadow"), "source is in shadow mode").when(~F.col("writer").eqNullSafe("aws"), F.concat(F.lit("writerAuthority="), F.coalesce("writer", F.lit("null"))))
-    staged = keep(staged.withColumns({"stop": stop, "shadowed": shadow}))
+    # What only the candidate's own tables need isn't carried through the gates.
+    staged = keep(staged.withColumns({"stop": stop, "shadowed": shadow}).drop(*UNUSED))
     out = done.unionByName(_outcome(staged.where("stop is not null"), "exception", message=F.col("stop"), n_claims=F.size("claim_ids").cast("long")))
     out = out.unionByName(_outcome(staged.where("stop is null and shadowed is not null"), "shadow", message=F.col("shadowed"), artist_id=F.col("was_artist"), venue_id=F.col("was_venue"), event_id=F.col("was_event")))
     live = staged.where("stop is null and shadowed is null")

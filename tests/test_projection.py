@@ -112,3 +112,28 @@ def test_best_rows_are_dealt_once(spark):
     assert sorted(map(tuple, best.collect()), key=str) == [("a", 2, "x"), (None, 5, None)]
     plan = best._jdf.queryExecution().sparkPlan().toString()
     assert "WindowGroupLimit" in plan and "Join" not in plan
+
+
+def shuffles(df):
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    return plan.count("Exchange hashpartitioning(")
+
+
+def test_claims_are_dealt_by_item_once(spark):
+    rows = [("i1", "c2", "hasStatus", "late", "2026-02-01", "active", True), ("i1", "c1", "hasStatus", "tie", "2026-02-01", "active", True), ("i1", "c0", "hasStatus", "gone", "2026-03-01", "dropped", False), ("i2", "c9", "occursOn", "2026-09-01", "2026-01-01", "active", False)]
+    found = spark.createDataFrame(rows, "idempotency_key string, claim_id string, predicate string, value string, observed_at string, status string, named boolean")
+    out = projection.event_candidates(found)
+    assert shuffles(out) == 1
+    got = {r["idempotency_key"]: (r["status"], r["date"], r["last_observed"], r["n_claims"], r["proposed_claim_id"]) for r in out.collect()}
+    assert got == {"i1": ("tie", None, "2026-03-01", 3, "c1"), "i2": (None, "2026-09-01", "2026-01-01", 1, None)}
+
+
+def test_gates_carry_no_column_that_none_reads(spark, world):
+    seen = []
+    projection.project(items(spark, CASES), world, F.to_timestamp(F.lit(NOW)), lambda df: seen.append(set(df.columns)) or df)
+    assert not any({"venue_address", "price"} & columns for columns in seen)
+
+
+def test_item_claims_say_which_are_named(spark, world):
+    got = {r["claim_id"] for r in projection.item_claims(items(spark, ["match", "empty"]), world.claims).where("named").collect()}
+    assert got == {"cur-1-hasStatus"}

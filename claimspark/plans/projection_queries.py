@@ -127,8 +127,10 @@ def projection_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT entity_type, entity_id, claim_id FROM l EXCEPT SELECT 'event', 'e' || k, 'pe' || (k + 3) FROM o WHERE k % 4 = 0""")
 def support_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, around = world(spark, sf_dir)
-    out = keep(projection.project(items, around, F.to_timestamp(F.lit(NOW)), keep))
-    return projection.support_links(out, projection.item_claims(items, around.claims), around.links)
+    out = projection.project(items, around, F.to_timestamp(F.lit(NOW)), keep)
+    # Only creations and updates add links, so that no other item's claims are looked for.
+    put = items.where("action not in ('cancel', 'withdraw')")
+    return projection.support_links(out, projection.item_claims(put, around.claims), around.links)
 
 
 @query(f"""WITH {_WORLD}, taken AS (SELECT * FROM outcome WHERE event_cancelled OR event_hidden), dated AS (SELECT 'a' || (c % 200) AS a, 'v' || (c % 60) AS v, d, k, event_cancelled, source_id FROM taken),
@@ -166,7 +168,7 @@ def projection_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT coalesce(new.source_id, old.source_id) AS source_id, coalesce(new.candidate_key, old.candidate_key) AS candidate_key, coalesce(new.a, old.a) AS artist_id, coalesce(new.e, old.e) AS event_id FROM new FULL JOIN old ON new.candidate_key = old.candidate_key""")
 def merged_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, around = world(spark, sf_dir)
-    out = keep(projection.project(items, around, F.to_timestamp(F.lit(NOW)), keep))
+    out = projection.project(items, around, F.to_timestamp(F.lit(NOW)), keep)
     return projection.merged_mappings(around.mappings, out).select("source_id", "candidate_key", "artist_id", "event_id")
 
 

@@ -31,9 +31,9 @@ def _edge(rows: DataFrame, source: Column, target: Column, label: str, key: Colu
 def nodes(*parts: DataFrame) -> DataFrame:
     """One row for each id: the first one's type and label, and all data, of each key the last one's value.
 
-    Data meet as one row for each key, so that a much named node is combined before the shuffle.
+    Rows are dealt by id once and sorted only there, so that a task holds its share alone; callers combine much named nodes before.
     """
-    rows = reduce(DataFrame.unionByName, parts)
+    rows = reduce(DataFrame.unionByName, parts).repartition("id")
     first = rows.groupBy("id").agg(F.min(F.struct("seq", "type", "label")).alias("_first"))
     keys = rows.select("id", "seq", F.explode("data").alias("key", "value")).groupBy("id", "key").agg(F.max(F.struct("seq", "value")).alias("_last"))
     data = keys.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", F.col("_last.value").alias("value"))))).alias("data"))
@@ -41,8 +41,8 @@ def nodes(*parts: DataFrame) -> DataFrame:
 
 
 def edges(*parts: DataFrame) -> DataFrame:
-    """One row for each id; equal ids of other ends: the greatest."""
-    rows = reduce(DataFrame.unionByName, parts)
+    """One row for each id; equal ids of other ends: the greatest. Rows are dealt as in :func:`nodes`."""
+    rows = reduce(DataFrame.unionByName, parts).repartition("id")
     return rows.groupBy("id").agg(F.max(F.struct("source", "target", "label")).alias("_e")).select("id", "_e.*")
 
 
@@ -55,10 +55,12 @@ def observed(observations: DataFrame, events: DataFrame) -> tuple[DataFrame, Dat
     source, observation = F.concat(F.lit("source:"), F.col("source_id")), F.concat(F.lit("observation:"), F.col("observation_id"))
     artist, venue = F.concat(F.lit("artist:"), F.col("artist_external_id")), F.concat(F.lit("venue:"), F.col("venue_external_id"))
     event, title = F.col("candidate_key"), F.concat(F.col("artist_name"), F.lit(" @ "), F.col("venue_name"))
+    # Artists and venues are much named: each once, before a node is made of it.
+    artists, venues = (events.select(f"{k}_external_id", f"{k}_name").distinct() for k in ("artist", "venue"))
     made = nodes(
         _node(observations, 0, source, "source", F.col("source_id"), sourceId=F.col("source_id")),
         _node(observations, 1, observation, "observation", F.concat(F.lit("Observation "), F.substring("observed_at", 1, 19)), observationId=F.col("observation_id"), observedAt=F.col("observed_at")),
-        _node(events, 2, artist, "artist-candidate", F.col("artist_name"), externalId=F.col("artist_external_id")), _node(events, 3, venue, "venue-candidate", F.col("venue_name"), externalId=F.col("venue_external_id")),
+        _node(artists, 2, artist, "artist-candidate", F.col("artist_name"), externalId=F.col("artist_external_id")), _node(venues, 3, venue, "venue-candidate", F.col("venue_name"), externalId=F.col("venue_external_id")),
         _node(events, 4, event, "event-candidate", title, date=F.col("date"), startTime=F.col("start_time"), sourceEventKey=F.col("source_event_key")),
     )
     links = edges(_edge(observations, source, observation, "observed"), _edge(events, observation, event, "asserts"), _edge(events, event, artist, "hasPerformer"), _edge(events, event, venue, "occursAt"))
@@ -75,8 +77,10 @@ def resolved(events: DataFrame, projections: DataFrame) -> tuple[DataFrame, Data
     artist, venue = F.concat(F.lit("artist:"), F.col("artist_external_id")), F.concat(F.lit("venue:"), F.col("venue_external_id"))
     title = F.concat(F.col("artist_name"), F.lit(" @ "), F.col("venue_name"))
     labels = {"artist": F.col("artist_name"), "venue": F.col("venue_name"), "event": title}
-    made = nodes(*(_node(rows, 5, canonical[k], k, labels[k], canonicalId=F.col(f"{k}_id")) for k in canonical))
-    to = lambda a, k, label: _edge(rows, a, canonical[k], label, F.concat(F.lit("resolve:"), _id(a), F.lit(":"), F.col(f"{k}_id")))
+    named = {"artist": rows.select("artist_id", "artist_name").distinct(), "venue": rows.select("venue_id", "venue_name").distinct(), "event": rows}
+    made = nodes(*(_node(named[k], 5, canonical[k], k, labels[k], canonicalId=F.col(f"{k}_id")) for k in canonical))
+    pairs = {k: rows.select(f"{k}_external_id", f"{k}_id").distinct() for k in ("artist", "venue")} | {"event": rows}
+    to = lambda a, k, label: _edge(pairs[k], a, canonical[k], label, F.concat(F.lit("resolve:"), _id(a), F.lit(":"), F.col(f"{k}_id")))
     of = lambda k, label: _edge(rows, canonical["event"], canonical[k], label, F.concat(F.lit("canonical:"), F.col("event_id"), F.lit(f":{k}")))
     links = edges(to(artist, "artist", "resolvesTo"), to(venue, "venue", "resolvesTo"), to(F.col("candidate_key"), "event", "projectsTo"), of("artist", "performer"), of("venue", "venue"))
     return made, links

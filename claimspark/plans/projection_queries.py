@@ -238,6 +238,7 @@ def external_id_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Observations by order status, their events, and projections of every second one."""
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.to_date("o_orderdate").cast("string").alias("date")).distinct()
+    orders = kept(orders, "graph")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     observations = orders.select(F.lit("desk").alias("source_id"), text("obs ", F.col("o_orderstatus")).alias("observation_id"), F.lit("2026-01-01T00:00:00Z").alias("observed_at")).distinct()
     events = orders.select(

@@ -4,7 +4,8 @@ Three rounds of random signs and the fast Hadamard transform rotate each unit ve
 nearest to. A table's bucket is one such hash of each of ROTATIONS rotations; queries look into the buckets of the axes
 that come next as well (multiprobe). What travels to the buckets is a code of each vector, one byte a component, with a bound on
 what the code leaves out; so candidates are ranked between a lower and an upper bound of their cosines, and all that may be
-among the best are kept. Only of those the whole vectors are fetched, and ranked by the exact cosines in double precision.
+among the best are kept. A query's best buckets of one table are ranked ahead: what they give for certain is its floor in all other
+buckets, so that a task sends nothing that can't be among the nearest of all, however many tasks a query's buckets lie in. Only of those the whole vectors are fetched, and ranked by the exact cosines in double precision.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ TABLES, ROTATIONS, PROBE_SHARE = 4, 1, 0.25
 NEAREST = 5
 #: Vectors of a bucket that are ranked at once; larger buckets are dealt to several groups, each of which meets all queries.
 GROUP = 4096
+#: Buckets of the first table that are ranked ahead, for a floor below which nothing can be among a query's nearest.
+AHEAD = 16
 SEED = 11
 #: What rounding can make of two equal cosines in float32.
 ROUNDING = 2e-6
@@ -83,9 +86,11 @@ def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 HASHED = "width int, tab int, bucket long, key long, code binary, scale float, error float"
 
 
-def _hashed(vectors: DataFrame, asked: bool, whole: bool = False) -> DataFrame:
+def _hashed(vectors: DataFrame, asked: bool, whole: bool = False, ahead: bool = False) -> DataFrame:
     """Each vector (key, v) as a unit vector's code, in its bucket of each table, or if ``asked`` in all buckets that it looks into.
 
+    With ``ahead`` the first table's alone, and of those that it looks into the AHEAD best.
+
     With ``whole``, all vectors of one length are one bucket of table -1.
     """
 
@@ -104,8 +109,9 @@ def _hashed(vectors: DataFrame, asked: bool, whole: bool = False) -> DataFrame:
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
                     code, scale, error = coded(x)
                     packed = pa.array([c.tobytes() for c in code], pa.binary())
-                    for table in [-1] if whole else range(TABLES):
-                        bucket = np.zeros((len(x), 1), np.int64) if whole else probes(x, table, probes_of(width) if asked else 1)
+                    for table in [-1] if whole else range(1 if ahead else TABLES):
+                        n = min(probes_of(width), AHEAD) if ahead else probes_of(width)
+                        bucket = np.zeros((len(x), 1), np.int64) if whole else probes(x, table, n if asked else 1)
                         m = np.repeat(np.arange(len(x)), bucket.shape[1])
                         columns = [np.full(len(m), width, np.int32), np.full(len(m), table, np.int32), bucket.ravel(), keys[pick][m]]
                         yield pa.RecordBatch.from_arrays([*map(pa.array, columns), packed.take(pa.array(m)), pa.array(scale[m]), pa.array(error[m])], [c.split()[0] for c in HASHED.split(", ")])
@@ -113,9 +119,20 @@ def _hashed(vectors: DataFrame, asked: bool, whole: bool = False) -> DataFrame:
     return vectors.select("key", "v").mapInArrow(task, HASHED)
 
 
+def _floors(index: DataFrame, queries: DataFrame, nearest: int) -> DataFrame:
+    """(key, floor): a cosine that the ``nearest`` + 1 best of the query ``key`` reach, where the buckets ranked ahead hold so many."""
+    found = _ranked(_hashed(index, False, ahead=True), _hashed(queries, True, ahead=True), nearest)
+    # A vector is in one bucket of a table, so that no two rows of a query are the same one's.
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("low")))
+    found = found.withColumn("place", place).where(F.col("place") <= nearest + 1)
+    return found.where(F.col("place") == nearest + 1).select(F.col("query").alias("key"), F.col("low").alias("floor"))
+
+
 def _ranked(index: DataFrame, queries: DataFrame, nearest: int) -> DataFrame:
     """(query, key, low, high): what may be among the ``nearest`` + 1 best of each query in the buckets that it looks into.
 
+    Queries may have a floor that these best reach; it's null where none is known.
+
     Rows of both sides are sorted by bucket and read one bucket after the other; a task keeps the best of each of its queries,
     however many buckets they look into.
     """
@@ -128,7 +145,9 @@ def _ranked(index: DataFrame, queries: DataFrame, nearest: int) -> DataFrame:
     # Only groups that some query looks into are ranked.
     dealt = dealt.join(queries.select(*by).distinct(), by, "left_semi")
     columns = [*by, "lot", "key", "code", "scale", "error"]
-    both = dealt.select(F.lit(False).alias("asked"), *columns).unionByName(sent.select(F.lit(True).alias("asked"), *columns))
+    floor = F.coalesce("floor", F.lit(float("-inf"))) if "floor" in queries.columns else F.lit(float("-inf"))
+    both = dealt.select(F.lit(False).alias("asked"), *columns, F.lit(float("-inf")).cast("float").alias("floor"))
+    both = both.unionByName(sent.select(F.lit(True).alias("asked"), *columns, floor.cast("float").alias("floor")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +159,7 @@ def _ranked(index: DataFrame, queries: DataFrame, nearest: int) -> DataFrame:
                 return
             width = rows.column("width")[0].as_py()
             code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.int8).reshape(-1, width).astype(np.float32) * rows.column("scale").to_numpy()[:, None]
-            key, error = rows.column("key").to_numpy(), rows.column("error").to_numpy()
+            key, error, floor = (rows.column(c).to_numpy() for c in ("key", "error", "floor"))
             q, x = np.flatnonzero(asked), np.flatnonzero(~asked)
             for k in range(0, len(q), 256):
                 part = q[k : k + 256]
@@ -148,10 +167,11 @@ def _ranked(index: DataFrame, queries: DataFrame, nearest: int) -> DataFrame:
                 slack = error[part][:, None] + error[x][None] + error[part][:, None] * error[x][None] + np.float32(ROUNDING)
                 low, high = score - slack, score + slack
                 m = min(nearest + 1, len(x))
-                last = np.partition(low, len(x) - m, 1)[:, len(x) - m]
+                last = np.maximum(np.partition(low, len(x) - m, 1)[:, len(x) - m], floor[part]) if m > nearest else floor[part]
                 for row, at in enumerate(part.tolist()):
                     good = np.flatnonzero(high[row] >= last[row])
-                    add(int(key[at]), key[x[good]], low[row, good], high[row, good])
+                    if len(good):
+                        add(int(key[at]), key[x[good]], low[row, good], high[row, good])
 
         def add(query: int, key: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
             if query in kept:
@@ -207,7 +227,10 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, nearest: int = NEARE
     more = materialise(least.join(ids.select("print", "key"), "print").select("key", "vec_id"), "copies")
     index = good.join(ids.select("key"), F.col("vec_id") == F.col("key"), "left_semi").select(F.col("vec_id").alias("key"), "v")
     queries = good.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("key"), "v")
-    hits = materialise(_ranked(_hashed(index, False), _hashed(queries, True), nearest), "hits")
+    floors = materialise(_floors(index, queries, nearest), "floors")
+    asked = _hashed(queries, True).join(floors, "key", "left")
+    hits = materialise(_ranked(_hashed(index, False), asked, nearest), "hits")
+    discard(floors)
 
     def top(found: DataFrame) -> DataFrame:
         found = found.groupBy("query", "key").agg(F.max("low").alias("low"), F.max("high").alias("high"))

@@ -15,3 +15,18 @@ def test_nearest_among_many_near_copies(spark):
     score = unit @ unit[0]
     score[0] = -9
     assert [r["vec_id"] for r in got] == np.argsort(-score)[:5].tolist()
+
+
+def test_nothing_below_a_querys_floor_is_sent(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 16))
+    table = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "key long, v array<double>")
+    queries = table.where("key % 500 = 0")
+    floors = ann._floors(table, queries, 5)
+    known = {r["key"]: r["floor"] for r in floors.collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert known and all(f <= np.sort(unit @ unit[k])[-6] for k, f in known.items())
+    asked = ann._hashed(queries, True)
+    sent = ann._ranked(ann._hashed(table, False), asked.join(floors, "key", "left"), 5).collect()
+    assert all(r["high"] >= known[r["query"]] for r in sent if r["query"] in known)
+    assert len(sent) < ann._ranked(ann._hashed(table, False), asked, 5).count()

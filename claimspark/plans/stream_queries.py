@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspark.plans.registry import load, query, text
-from claimspark.sources.shared import shared_folder
+from claimspark.sources.shared import kept, shared_folder
 from claimspark.sources.store import Store
 from claimspark.streaming.lease import leases
 from claimspark.streaming.ledger import LEDGER, STATE, consume, track_runs
@@ -38,11 +38,14 @@ def queue_consume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that are sent four times over: each is done once, and those that always fail are dead after three attempts."""
     folder, k = shared_folder(spark, "queue"), F.col("o_orderkey")
     items = load(spark, sf_dir, "orders").select(k).distinct().select(text("i", k).alias("idempotency_key"), k)
+    items = kept(items, "items")
     for _ in range(4):
-        items.coalesce(1).write.mode("append").parquet(folder)
+        items.write.mode("append").parquet(folder)
+    # A batch is one sending's files, as many as tasks have written.
+    files = max(1, len(spark.read.schema(items.schema).parquet(folder).inputFiles()) // 4)
     store = Store(spark, shared_folder(spark, "ledger"))
     work = lambda todo: todo.withColumn("status", F.when(k % 7 == 0, "failed").otherwise("success"))
-    consume(spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(folder), store, work, shared_folder(spark, "checkpoint")).awaitTermination()
+    consume(spark.readStream.schema(items.schema).option("maxFilesPerTrigger", files).parquet(folder), store, work, shared_folder(spark, "checkpoint")).awaitTermination()
     return store.read("ledger", LEDGER)
 
 

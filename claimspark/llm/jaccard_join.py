@@ -3,15 +3,14 @@
 Jaccard distance is a metric, and so is the size of the symmetric difference. Two documents x, y link when their
 Jaccard similarity is at least t, that is when |x ^ y| <= (1 - t) / (1 + t) * (|x| + |y|).
 
-1. Regions. The pivots of the first level are single shingles: {s} is nearer than 1 to x only if s lies in x, so x falls
-   into the Voronoi region of the rarest shingle that it holds (rarest by a count sketch over all documents; any one
-   order gives the same result, this one the smallest regions). Against the sets "all that comes before s" the
-   distances of two linked documents differ by |x ^ y| at most (triangle inequality), so each document is replicated
-   to the regions of its first shingles up to that window, and the first shingle that a linked pair has in common is
-   met by both within it.
+1. Regions. The pivots of the first level are runs of RUN shingles, {s, s'}, that follow each other when a set is put in
+   one order of all shingles, the rarest first (by a count sketch over all documents; any one order gives the same
+   result, this one the smallest regions). Single shingles don't do: with more documents more of the rare ones are shared
+   by chance, until such shares chain nearly all documents together. x falls into the regions of its first runs, up to
+   the window within which it meets one of each linked document: see :func:`window`.
 2. Within a region documents are the pivots, of classes and of Voronoi cells, recursively: see :mod:`claimspark.llm.links`.
 3. Each pair left is decided on the whole shingle sets. Pairs of unlike class meet in the region of their first common
-   shingle, so nothing is lost; pairs inside a class add nothing to it.
+   run, so nothing is lost; pairs inside a class add nothing to it.
 
 Document pivots alone can't divide such tables: nearly every distance is 1, so that each window would hold everything.
 Exact copies are one node from the beginning. Hashes of 64 bits stand for the shingles, 128 bits for a set.
@@ -28,12 +27,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimspark.llm import hashing
-from claimspark.llm.common import free_name, materialise, sketch
-from claimspark.llm.links import all_shingles, classes, labelled, nodes, prefix_sizes
+from claimspark.llm.common import bit_map, discard, free_name, materialise, sketch
+from claimspark.llm.links import MARKS, SHARE, all_shingles, classes, labelled, marked, nodes, prefix_sizes
 
 #: Counters of the shingle sketch, a power of two, 4 bytes each: what tells common shingles from rare ones. Their number
 #: is the same at any size of the table, so what is broadcast is 16 MB and what tasks send follows their number alone.
 COUNTERS = 22
+#: Runs handled at once, and bits of the largest map of shared ones, a power of two: 8 MB.
+RUNS, MOST_MARKS = 1 << 20, 26
+
+
+def run_length(percent: int) -> int:
+    """RUN, how many shingles a pivot of the first level has: 2 from a threshold of 75 on, else 1."""
+    return 2 if percent >= 75 else 1
+
+
+def window(n: np.ndarray, percent: int) -> np.ndarray:
+    """Up to which place a set of ``n`` has a run in common with each linked one.
+
+    Let x have a shingles that y hasn't, and y b that x hasn't. In the order of both these cut the common ones into a + b + 1
+    runs at most, so of the first (RUN - 1) * (a + b + 1) + 1 common ones RUN follow each other, in both sets, and in x they
+    end at place (RUN - 1) * (a + b + 1) + 1 + a at most. As common >= t * union means a + t * b <= (1 - t) * n, that is at most
+    RUN * (1 - t) * n + RUN. From t = 0.75 on there are as many common ones: 3 * (a + b), for unlike sets 3 at least.
+    """
+    run = run_length(percent)
+    return np.minimum(n, run * (100 - percent) * n // 100 + run)
 
 
 def _slot(value: np.ndarray, bits: int) -> np.ndarray:
@@ -61,8 +79,7 @@ def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 order = np.lexsort((value, seen, doc))
                 lead = np.concatenate(([0], np.cumsum(n)[:-1]))
                 place = np.arange(len(value)) - np.repeat(lead, n)
-                # A linked partner has at least percent / 100 of the set: SHARE of the rest + SHARE rarest are common.
-                most = prefix_sizes(n, percent)
+                most = np.maximum(prefix_sizes(n, percent), window(n, percent))
                 kept = value[order][place < np.repeat(most, n)].astype(np.int64)
                 centre = np.zeros(end - row)
                 np.add.at(centre, doc, np.log2(seen + 1.0))
@@ -76,6 +93,53 @@ def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return out
 
 
+def _runs(node: DataFrame, percent: int, names: bool = True, keep=None, bits: int = 0) -> DataFrame:  # noqa: ANN001
+    """(node, pos, s): the regions s of each node, by its first runs; pos is 0 where common shingles may come before.
+
+    Without ``names`` (s) alone. With ``keep``, a map of 2**bits, only what is marked there.
+    """
+    run = run_length(percent)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begin = batch.column(2).offsets.to_numpy()
+            value, begin = batch.column(2).flatten().to_numpy().view(np.uint64), begin - begin[0]
+            count = np.maximum(np.minimum(np.diff(begin), window(batch.column(1).to_numpy(), percent)) - run + 1, 0)
+            total, row = np.concatenate(([0], np.cumsum(count))), 0
+            while row < len(count):
+                end = max(row + 1, int(np.searchsorted(total, total[row] + RUNS, "right")) - 1)
+                doc = np.repeat(np.arange(row, end), count[row:end])
+                pos = np.arange(total[row], total[end]) - total[doc]
+                s = value[begin[doc] + pos]
+                if run > 1:
+                    s, pos = hashing.mix(hashing.mix(s) * hashing.BASE + value[begin[doc] + pos + 1]), np.zeros_like(pos)
+                if keep is not None:
+                    hit = marked(keep.value, _slot(s, bits))
+                    doc, pos, s = doc[hit], pos[hit], s[hit]
+                columns = [pa.array(s.view(np.int64))]
+                if names:
+                    columns = [batch.column(0).take(pa.array(doc)), pa.array(pos.astype(np.int32)), *columns]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "pos", "s"] if names else ["s"])
+                row = end
+
+    return node.select("node", "n", "prefix").mapInArrow(emit, "node binary, pos int, s long" if names else "s long")
+
+
+def _shared(node: DataFrame, percent: int) -> DataFrame:
+    """(s, node, pos, n, pri) of the regions that two nodes or more are in.
+
+    Most runs are one document's alone. So numbers alone are counted, and a map of those that aren't alone spares the rest
+    the transport to the exact join.
+    """
+    s = materialise(_runs(node, percent, names=False).groupBy("s").agg(F.count("*").alias("members")).where("members > 1").select("s"), "runs")
+    bits = min(max(MARKS, (16 * s.count()).bit_length()), MOST_MARKS)
+    keep = node.sparkSession.sparkContext.broadcast(bit_map(s.select(F.shiftrightunsigned("s", 64 - bits).alias("slot")), bits))
+    member = materialise(_runs(node, percent, keep=keep, bits=bits).join(s, "s").join(node.select("node", "n", "pri"), "node"), "shared")
+    keep.destroy()
+    discard(s)
+    return member
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text; further columns are ignored).
 
@@ -88,13 +152,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     profile = _profiles(docs, k, percent)
     node = profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("pri").alias("pri"), F.first("prefix").alias("prefix"))
     node = materialise(node, "nodes")
-    rarest = F.slice("prefix", 1, F.expr(f"int(n - (n * {percent} + 99) div 100 + 1)"))
-    # Most shingles are one document's alone, so the rows that find those that aren't are brief: size and place are one
-    # number, and what only the others need comes later.
-    member = node.select("node", F.posexplode(rarest).alias("pos", "s"))
-    shared = member.groupBy("s").agg(F.count("*").alias("members")).where("members > 1").select("s")
-    member = materialise(member.join(shared, "s").join(node.select("node", "n", "pri"), "node"), "shared")
-    return labelled(profile, node, classes(docs, k, percent, node, member))
+    slim = materialise(profile.select("doc_id", "n", "node"), "profiles")
+    discard(profile)
+    member = _shared(node, percent)
+    # A linked partner has at least percent / 100 of the set: SHARE of the rest + SHARE rarest are common.
+    node = node.withColumn("prefix", F.slice("prefix", 1, F.expr(f"int(n - (n * {percent} + 99) div 100 + {SHARE})")))
+    return labelled(slim, node, classes(docs, k, percent, node, member))
 
 
 def _whole_row(docs: DataFrame) -> Column:

@@ -68,7 +68,7 @@ def _mark(column: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(column), 64 - MARKS)
 
 
-def _hit(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
+def marked(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ((marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
@@ -77,7 +77,7 @@ def _marked(rows: DataFrame, marks) -> DataFrame:  # noqa: ANN001
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:]).filter(pa.array(_hit(marks.value, batch.column(0).to_numpy())))
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:]).filter(pa.array(marked(marks.value, batch.column(0).to_numpy())))
 
     return rows.select(_mark(rows.columns[0]).alias("slot"), *rows.columns).mapInArrow(keep, rows.schema)
 
@@ -87,7 +87,7 @@ def _sets(docs: DataFrame, k: int, marks) -> DataFrame:  # noqa: ANN001
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).filter(pa.array(_hit(marks.value, batch.column(0).to_numpy())))
+            texts = batch.column(1).filter(pa.array(marked(marks.value, batch.column(0).to_numpy())))
             for row, end, doc, value in all_shingles(texts, k):
                 n = np.bincount(doc, minlength=end - row)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes(value, doc, end - row), pa.binary()), hashing.lists(pa.array(value.astype(np.int64)), n)], ["node", "shingles"])

@@ -142,3 +142,51 @@ def test_join_with_divided_regions(spark, monkeypatch):
     rows = families(5, 12, 11) + [(500 + i, f"{words(40, 12)} {words(90, 100 + i, 30)}", "s") for i in range(20)]
     got = jaccard_join.jaccard_components(docs_of(spark, rows)).collect()
     assert sorted(map(tuple, got), key=str) == brute_components(rows, 3, 90)
+
+
+@pytest.mark.parametrize("percent", [60, 75, 80, 90, 97])
+def test_linked_sets_share_a_run(spark, percent):
+    """Pairs at the threshold itself, with what they don't share at the worst places of the order."""
+    r, rows, pairs = random.Random(percent), [], 0
+    for size in [*range(1, 60), 100, 211, 300]:
+        for mode in range(6):
+            least = -(-percent * size // 100)
+            a = [size - least, 0, r.randint(0, size - least)][mode % 3]
+            # As many as may lie in the other set alone: 100 * (size - a) >= percent * (size + b).
+            b = max(0, 100 * (size - a) // percent - size)
+            if not a + b or size - a < 1:
+                continue
+            odd, both = ["x"] * a + ["y"] * b, size - a
+            r.shuffle(odd)
+            if mode < 3:  # alternately, so that common ones follow each other as late as possible
+                order = [z for i in range(max(len(odd), both)) for z in (["c"] if i < both else []) + odd[i : i + 1]]
+            else:
+                order = ["c"] * both + odd
+                r.shuffle(order)
+            x, y = ([i for i, z in enumerate(order) if z in "c" + own] for own in "xy")
+            assert 100 * both >= percent * len(order)
+            for own, other in ((x, "x"), (y, "y")):
+                most = int(jaccard_join.window(np.array([len(own)]), percent)[0])
+                rows.append((f"{pairs}{other}".encode(), len(own), own[:most]))
+            pairs += 1
+    node = spark.createDataFrame(rows, "node binary, n long, prefix array<long>")
+    runs = {}
+    for name, _, s in jaccard_join._runs(node, percent).collect():
+        runs.setdefault(bytes(name), set()).add(s)
+    assert pairs > 100 and all(runs[f"{i}x".encode()] & runs[f"{i}y".encode()] for i in range(pairs))
+
+
+def test_shingles_shared_by_chance_chain_nothing(spark, monkeypatch):
+    """A chain of texts, each with one rare shingle of the next, and one real pair: only that pair has regions."""
+    own = [words(40, 900 + i, 10**6).split() for i in range(60)]
+    rows = [(i, " ".join([*own[i], f"p{i} q r", *own[i][::-1], f"p{i + 1} q r"]), "s") for i in range(60)]
+    rows.append((100, rows[7][1] + " more", "s"))
+    seen, plain = [], jaccard_join.classes
+
+    def counted(docs, k, percent, node, member):
+        seen.extend(r["node"] for r in member.select("node").distinct().collect())
+        return plain(docs, k, percent, node, member)
+
+    monkeypatch.setattr(jaccard_join, "classes", counted)
+    got = jaccard_join.jaccard_components(docs_of(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_components(rows, 3, 90) and len(seen) == 2

@@ -95,12 +95,16 @@ def _sets(docs: DataFrame, k: int, marks) -> DataFrame:  # noqa: ANN001
     return docs.select(_mark("doc_id").alias("slot"), "text").mapInArrow(emit, "node binary, shingles array<long>")
 
 
+def _once(docs: DataFrame, k: int, wanted: DataFrame, marks) -> DataFrame:  # noqa: ANN001
+    """(node, shingles) of the ``wanted`` nodes, of which ``marks`` has the documents."""
+    return _sets(docs, k, marks).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
 def _whole(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     """(node, shingles) of the ``wanted`` ones (node, rep)."""
     wanted = materialise(wanted, "wanted")
     texts = docs.sparkSession.sparkContext.broadcast(_marks(wanted.select("rep")))
-    sets = _sets(docs, k, texts).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets = materialise(sets, "sets")
+    sets = materialise(_once(docs, k, wanted, texts), "sets")
     texts.destroy()
     discard(wanted)
     return sets
@@ -164,14 +168,17 @@ def _clustered(docs: DataFrame, k: int, percent: int, node: DataFrame, member: D
     size = size.withColumn("small", F.expr(f"members <= {CLUSTER} and shingles <= {CLUSTER_SHINGLES}"))
     asked = materialise(inside.join(size.where("small").select("cluster"), "cluster", "left_semi"), "asked")
     rest = materialise(member.join(inside.join(size.where("not small").select("cluster"), "cluster", "left_semi").select("node"), "node", "left_semi"), "rest")
-    sets = _whole(docs, k, asked.select("node", "rep"))
+    texts = docs.sparkSession.sparkContext.broadcast(_marks(asked.select("rep")))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         names, found = group["node"].tolist(), spanning(group["shingles"].tolist(), percent)
         return pd.DataFrame({"a": [names[a] for a, _ in found], "b": [names[b] for _, b in found]}, dtype=object)
 
+    # Read once, so the sets aren't written first.
+    sets = _once(docs, k, asked, texts)
     links = materialise(asked.select("cluster", "node").join(sets, "node").groupBy("cluster").applyInPandas(compare, "a binary, b binary"), "links")
-    discard(inside, asked, sets)
+    texts.destroy()
+    discard(inside, asked)
     return links, rest
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,8 +20,25 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/claimspark/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that removes an execution's shuffle files when it ends.
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Executions within leave no shuffle files. For results that are written: nothing reads these files again, and else they stay
+    on the executors' disks until the driver happens to collect its garbage."""
+    before = spark.conf.get(SWEEP, None)
+    spark.conf.set(SWEEP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SWEEP) if before is None else spark.conf.set(SWEEP, before)
+
+
 def kept(df: DataFrame, name: str = "kept") -> DataFrame:
     """``df`` written there once and read again, so that what follows doesn't derive it anew, even if executors are lost."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with swept(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from claimspark.operators.reconcile import best_per_key
-from claimspark.sources.shared import kept
+from claimspark.sources.shared import kept, swept
 
 #: Rows of a part before the table's parts double, commits that stay readable, and commits whose numbers stay taken.
 PART_ROWS, VERSIONS, MARKS = 1 << 20, 3, 1000
@@ -156,7 +156,8 @@ class Transaction:
 
     def _opened(self, name: str, schema: str, folders: Iterable[str]) -> DataFrame:
         folders = sorted(set(folders))
-        return self.spark.read.schema(schema).parquet(*(f"{self.store.root}/{name}/{f}" for f in folders)) if folders else self.spark.createDataFrame([], schema)
+        # A table without parts is known to be empty when a join with it is planned, so that no rows are dealt for it.
+        return self.spark.read.schema(schema).parquet(*(f"{self.store.root}/{name}/{f}" for f in folders)) if folders else self.spark.createDataFrame([], schema).where("false")
 
     def read(self, name: str, schema: str) -> DataFrame:
         return self._opened(name, schema, (p["folder"] for p in self._listed(name)["parts"].values()))
@@ -194,7 +195,8 @@ class Transaction:
         listed = self._listed(name)
         n, parts = listed["n"], dict(listed["parts"])
         # A row for each part.
-        new = {str(r[0]): r[1] for r in touched.select(self._part(keys, n).alias("p")).groupBy("p").count().collect()}
+        with swept(self.spark):
+            new = {str(r[0]): r[1] for r in touched.select(self._part(keys, n).alias("p")).groupBy("p").count().collect()}
         if not new:
             return
         rows, hit, before = sum(p["rows"] for p in parts.values()) + sum(new.values()), set(new), n
@@ -206,8 +208,9 @@ class Transaction:
         run = uuid.uuid4().hex
         made = change(now).select(*now.columns).withColumn("_part", self._part(keys, n))
         # Parts of any size: large ones are dealt to several files, small ones share a task.
-        made.hint("rebalance", "_part").write.partitionBy("_part").parquet(f"{self.store.root}/{name}/{run}")
-        parts = {p: v for p, v in parts.items() if p not in hit} | self._measured(name, schema, run)
+        with swept(self.spark):
+            made.hint("rebalance", "_part").write.partitionBy("_part").parquet(f"{self.store.root}/{name}/{run}")
+            parts = {p: v for p, v in parts.items() if p not in hit} | self._measured(name, schema, run)
         self.changed[name] = {"n": n, "keys": keys, "parts": parts}
 
     def _measured(self, name: str, schema: str, run: str) -> dict[str, dict]:
@@ -232,15 +235,15 @@ class Transaction:
 
         Of rows that share a new key the least is put. Keys hold no null.
         """
-        rows = kept(best_per_key(rows, keys, F.struct(F.lit(0)), F.struct(*(F.col(c) for c in rows.columns))), "put")
         # Keys of whole tables are dealt: a part's file is far smaller than its rows, and its size would pass for a broadcast's.
-        before = self.read(name, schema).select(*keys).hint("merge")
-        taken = rows.join(before, keys, "left_semi")
+        before = self.read(name, schema).select(*keys, F.lit(True).alias("_there")).hint("merge")
+        best = best_per_key(rows, keys, F.struct(F.lit(0)), F.struct(*(F.col(c) for c in rows.columns)))
+        marked = kept(best.join(before, keys, "left").select(*rows.columns, "_there"), "put")
+        taken, new = marked.where("_there").select(*rows.columns), marked.where("_there is null").select(*rows.columns)
         if strict and not taken.isEmpty():
             raise ValueError(f"{name}: keys exist already")
-        new = rows.join(before, keys, "left_anti")
-        self.change(name, keys, schema, new, lambda now: now.unionByName(rows.select(now.columns).join(now.select(*keys).hint("merge"), keys, "left_anti")))
-        # Read from the commit before this one, which stays readable.
+        # Only new rows are put: those whose keys are taken may lie in parts that aren't touched.
+        self.change(name, keys, schema, new, lambda now: now.unionByName(new.select(now.columns)))
         return taken
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str], schema: str) -> None:

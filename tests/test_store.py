@@ -1,9 +1,12 @@
 """The store: transactions over several tables, growth, and lookups that open few files."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from claimspark.sources import store as stores
+from claimspark.sources.shared import SWEEP, kept
 from claimspark.sources.store import Conflict, Store
 
 CLAIM = "claim_id string, subject string, n int"
@@ -107,3 +110,28 @@ def test_keys_of_a_table_are_not_sent_to_every_task(spark, tmp_path):
         change.put_once("t", spark.range(6, 9).select("id", F.lit("c").alias("v")), ["id"], "id long, v string")
     assert sorted(map(tuple, store.read("t", "id long, v string").collect())) == [(0, "a"), (1, "a"), (2, "a"), (3, "b"), (4, "b"), (5, "b"), (6, "b"), (7, "c"), (8, "c")]
     assert len(plans) == 2 and not any("Broadcast" in p._jdf.queryExecution().sparkPlan().toString() for p in plans)
+
+
+def test_rows_whose_keys_are_taken_leave_untouched_parts_as_they_are(spark, tmp_path):
+    store, make = Store(spark, f"file://{tmp_path}/s", parts=8), lambda ids, v: spark.createDataFrame([(i, v) for i in ids], "id long, v string")
+    store.put_once("t", make(range(50), "old"), ["id"], "id long, v string")
+    taken = store.put_once("t", make([*range(9), 100], "new"), ["id"], "id long, v string")
+    rows = {r["id"]: r["v"] for r in store.read("t", "id long, v string").collect()}
+    assert rows == {**dict.fromkeys(range(50), "old"), 100: "new"} and sorted(map(tuple, taken.collect())) == [(i, "new") for i in range(9)]
+
+
+def test_a_table_that_is_not_there_costs_no_exchange(spark, tmp_path):
+    none = Store(spark, f"file://{tmp_path}/s").read("t", "id long, v string")
+    plan = spark.range(5).join(none.hint("merge"), "id", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert none.isEmpty() and "Exchange" not in plan
+
+
+def test_what_is_kept_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles().toList()) if f.getName().startswith("shuffle_")}
+    before, setting = held(), spark.conf.get(SWEEP)
+    rows = kept(spark.range(1000).repartition(3, "id"))
+    ends = time.time() + 3
+    while held() - before and time.time() < ends:
+        time.sleep(0.1)
+    assert not held() - before and rows.count() == 1000 and spark.conf.get(SWEEP) == setting

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from claimspark.functions.text import identity, match_key, present, without_prefix
 from claimspark.operators.claims import EVENT, base_scores, decide, strongest
-from claimspark.operators.reconcile import best_per_key, pending
+from claimspark.operators.reconcile import best_per_key
 from claimspark.sources.shared import kept
 
 #: A candidate's required fields, in the order in which missing ones are named.
@@ -26,8 +26,8 @@ TEXTS = {
 }
 
 
-#: A candidate's columns that no gate reads.
-UNUSED = ("artist_external_id", "artist_location", "venue_external_id", "venue_location", "venue_address", *(c for c in TEXTS.values() if c != "date"), "last_observed", "missing", "shadow", "writer")
+#: A candidate's columns that gates read.
+GATED = ("idempotency_key", "artist_name", "venue_name", "date", "missing", "n_claims", "proposed_claim_id")
 
 
 def dealt(df: DataFrame) -> DataFrame:
@@ -60,39 +60,78 @@ class World(NamedTuple):
 def item_claims(items: DataFrame, claims: DataFrame) -> DataFrame:
     """(idempotency_key, the claim's columns, named) of each item: its candidate's claims, or if there are none those that its claim_ids name.
 
-    named tells whether the item's claim_ids hold the claim.
+    named tells whether the item's claim_ids hold the claim. If ``items`` have looked_up, it tells which of them have claims by name only.
     """
-    names = [c for c in claims.columns if c != "source_id"]
-    mine = items.select("idempotency_key", "candidate_key", "claim_ids")
-    by_subject = mine.join(dealt(claims.withColumn("claim_source", F.col("source_id")).drop("source_id")), F.col("candidate_key") == F.col("subject"))
-    bare = mine.join(dealt(claims.select("subject").distinct()), F.col("candidate_key") == F.col("subject"), "left_anti")
+    columns = ["idempotency_key", *(c for c in claims.columns if c != "source_id"), "claim_source", "named"]
+    mine = items.select("idempotency_key", "candidate_key", "claim_ids", *(["looked_up"] if "looked_up" in items.columns else []))
+    if "looked_up" in items.columns:
+        own, bare = mine.where("not looked_up"), mine.where("looked_up")
+    else:
+        own, bare = mine, mine.join(dealt(claims.select("subject").distinct()), F.col("candidate_key") == F.col("subject"), "left_anti")
+    by_subject = own.join(_of_candidates(claims), F.col("candidate_key") == F.col("subject")).withColumn("named", _named())
+    if "looked_up" in items.columns and bare.isEmpty():
+        return by_subject.select(*columns)
+    return by_subject.select(*columns).unionByName(_looked_up(bare, claims).select(*columns))
+
+
+def _named() -> Column:
+    """Whether the item's claim_ids hold the claim."""
+    return F.coalesce(F.array_contains("claim_ids", F.col("claim_id")), F.lit(False))
+
+
+def _of_candidates(claims: DataFrame) -> DataFrame:
+    """Claims as a side of a join with items, whose source_id is another one."""
+    return dealt(claims.withColumn("claim_source", F.col("source_id")).drop("source_id"))
+
+
+def _looked_up(bare: DataFrame, claims: DataFrame) -> DataFrame:
+    """The claims that items name, each once an item."""
     named = bare.select("idempotency_key", F.explode("claim_ids").alias("claim_id")).distinct()
-    by_id = named.join(dealt(claims.withColumn("claim_source", F.col("source_id")).drop("source_id")), "claim_id")
-    columns = ["idempotency_key", *names, "claim_source"]
-    held = F.coalesce(F.array_contains("claim_ids", F.col("claim_id")), F.lit(False)).alias("named")
-    return by_subject.select(*columns, held).unionByName(by_id.select(*columns, F.lit(True).alias("named")))
+    return named.join(_of_candidates(claims), "claim_id").withColumn("named", F.lit(True))
+
+
+def item_candidates(items: DataFrame, claims: DataFrame, keep: Callable[[DataFrame], DataFrame] = kept, columns: tuple[str, ...] = ()) -> DataFrame:
+    """:func:`event_candidates` of :func:`item_claims`, with the item's claim_ids and looked_up (its claims were found by name, not by its candidate).
+
+    Claims are dealt by their subject, and once more by their id only if some item's candidate has none; they are never dealt by item.
+    With ``columns`` (n_claims is one) no others of the candidate are kept.
+    """
+    mine = items.select("idempotency_key", "candidate_key", "claim_ids")
+    found = mine.join(_of_candidates(claims), F.col("candidate_key") == F.col("subject"), "left").withColumn("named", _named())
+    only = lambda df: df.select(*columns, "claim_ids") if columns else df
+    every = keep(only(event_candidates(found, ["candidate_key", "idempotency_key"])))
+    own, bare = every.where("n_claims > 0").withColumn("looked_up", F.lit(False)), every.where("n_claims = 0").select("idempotency_key", "claim_ids")
+    if bare.isEmpty():
+        return own
+    named = only(event_candidates(_looked_up(bare, claims)).join(dealt(bare), "idempotency_key")).withColumn("looked_up", F.lit(True))
+    return own.unionByName(keep(named))
 
 
-def event_candidates(found: DataFrame) -> DataFrame:
+def event_candidates(found: DataFrame, dealt_by: list[str] | None = None) -> DataFrame:
     """One row an item: the fields of its latest active claims, missing (names, comma-joined), observed_at, n_claims.
 
     A performer's or place's object comes before its name's claim; texts are trimmed, blank ones are missing. observed_at is the
     greatest of all claims, active or not. If ``found`` has named, proposed_claim_id is the first of the claims that the item names.
+    With ``dealt_by`` (candidate_key and the item's key) ``found`` is dealt by candidate already, may hold items without claims, and
+    its claim_ids are returned too.
     """
+    by, also = dealt_by or ["idempotency_key"], [F.any_value("claim_ids").alias("claim_ids")] if dealt_by else []
+    rows = found.withColumn("_active", F.coalesce(F.col("status") == "active", F.lit(False)))
     # Claims are dealt by item once; what follows finds them where they are.
-    rows = found.withColumn("_active", F.coalesce(F.col("status") == "active", F.lit(False))).repartition("idempotency_key")
-    order = Window.partitionBy("idempotency_key", "predicate", "_active").orderBy(F.col("observed_at").desc(), F.col("claim_id").asc_nulls_last())
+    rows = rows if dealt_by else rows.repartition("idempotency_key")
+    order = Window.partitionBy(*by, "predicate", "_active").orderBy(F.col("observed_at").desc(), F.col("claim_id").asc_nulls_last())
     rows = rows.withColumn("_latest", F.col("_active") & (F.row_number().over(order) == 1))
     value = lambda p: F.max(F.when(F.col("_latest") & (F.col("predicate") == p), F.col("value")))
     each = {p: value(p) for p in ("hasPerformer", "hasPerformerName", "occursAt", "hasVenueName", *TEXTS)}
     first = {"proposed_claim_id": F.min_by(F.when(F.col("named"), F.col("claim_id")), F.when(F.col("named"), F.struct("observed_at", "claim_id")))} if "named" in found.columns else {}
-    wide = rows.groupBy("idempotency_key").agg(F.max("observed_at").alias("last_observed"), F.count("*").alias("n_claims"), *(v.alias(c) for c, v in {**each, **first}.items()))
+    n_claims = F.count("subject" if dealt_by else "*").alias("n_claims")
+    wide = rows.groupBy(*by).agg(F.max("observed_at").alias("last_observed"), n_claims, *also, *(v.alias(c) for c, v in {**each, **first}.items()))
     part = lambda p, key: present(F.get_json_object(p, f"$.{key}"))
     out = wide.select(
         "idempotency_key", "last_observed", "n_claims", F.coalesce(part("hasPerformer", "name"), present(F.col("hasPerformerName"))).alias("artist_name"), part("hasPerformer", "sourceNativeId").alias("artist_external_id"),
         part("hasPerformer", "location").alias("artist_location"), F.coalesce(part("occursAt", "name"), present(F.col("hasVenueName"))).alias("venue_name"),
         part("occursAt", "sourceNativeId").alias("venue_external_id"), part("occursAt", "location").alias("venue_location"), part("occursAt", "address").alias("venue_address"),
-        *(present(F.col(p)).alias(c) for p, c in TEXTS.items()), *first,
+        *(present(F.col(p)).alias(c) for p, c in TEXTS.items()), *first, *(["claim_ids"] if dealt_by else []),
     )
     missing = F.array_join(F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(shown)) for c, shown in REQUIRED.items()))), ", ")
     return out.withColumn("missing", missing)
@@ -104,16 +143,28 @@ def owner_managed(membership_id: str = "membership_id", verified: str = "verifie
 
 def find_by_external_id(keys: DataFrame, events: DataFrame) -> DataFrame:
     """(source_id, source_event_key, found_id): the event that carries the external id; of several the least id."""
+    return keys.select("source_id", "source_event_key").distinct().join(dealt(_external_ids(events)), ["source_id", "source_event_key"])
+
+
+def _external_ids(events: DataFrame) -> DataFrame:
     ids = events.select(F.col("id").alias("found_id"), F.explode("external_ids").alias("x"))
-    ids = ids.groupBy(F.col("x.source").alias("source_id"), F.col("x.id").alias("source_event_key")).agg(F.min("found_id").alias("found_id"))
-    return keys.select("source_id", "source_event_key").distinct().join(dealt(ids), ["source_id", "source_event_key"])
+    return ids.groupBy(F.col("x.source").alias("source_id"), F.col("x.id").alias("source_event_key")).agg(F.min("found_id").alias("found_id"))
+
+
+def _keyed(known: DataFrame) -> DataFrame:
+    """(key, id) of known entities: of several of one key the least id."""
+    return known.select(match_key(F.col("name")).alias("key"), "id").groupBy("key").agg(F.min("id").alias("id"))
+
+
+def _of_keys(events: DataFrame) -> DataFrame:
+    """(artist_id, venue_id, date, same): the event of these, of several the least id."""
+    return events.groupBy("artist_id", "venue_id", "date").agg(F.min("id").alias("same"))
 
 
 def resolve(names: DataFrame, known: DataFrame, kind: str) -> DataFrame:
     """(name, id, created) of each distinct name: the known entity of the same key (of several the least id), or a new one whose id the key gives."""
-    keyed = known.select(match_key(F.col("name")).alias("key"), "id").groupBy("key").agg(F.min("id").alias("id"))
     asked = names.select("name").distinct().withColumn("key", match_key(F.col("name")))
-    out = asked.join(dealt(keyed), "key", "left")
+    out = asked.join(dealt(_keyed(known)), "key", "left")
     return out.select("name", F.coalesce("id", identity(f"{kind}-", F.col("key"))).alias("id"), F.col("id").isNull().alias("created"))
 
 
@@ -128,9 +179,8 @@ def blocked_by_tombstone(candidates: DataFrame, tombstones: DataFrame) -> DataFr
 def ensure_events(wanted: DataFrame, events: DataFrame) -> DataFrame:
     """(artist_id, venue_id, date, ensured_id, event_created): the event of the same artist, venue and date, or a new one whose id these give."""
     keys = ["artist_id", "venue_id", "date"]
-    there = events.select(*keys, F.col("id").alias("there")).groupBy(*keys).agg(F.min("there").alias("there"))
-    out = wanted.select(*keys).distinct().join(dealt(there), keys, "left")
-    return out.select(*keys, F.coalesce("there", identity("event-", *map(F.col, keys))).alias("ensured_id"), F.col("there").isNull().alias("event_created"))
+    out = wanted.select(*keys).distinct().join(dealt(_of_keys(events)), keys, "left")
+    return out.select(*keys, F.coalesce("same", identity("event-", *map(F.col, keys))).alias("ensured_id"), F.col("same").isNull().alias("event_created"))
 
 
 def status_score(authority: Column) -> Column:
@@ -159,10 +209,10 @@ _EMPTY = {
 }
 
 
-def _outcome(df: DataFrame, status: str, **columns: Column) -> DataFrame:
+def _outcome(df: DataFrame, status: str | Column, **columns: Column) -> DataFrame:
     """Rows of OUTCOME; what isn't given is false, 0 or null."""
     blank = {"boolean": F.lit(False), "long": F.lit(0).cast("long")}
-    out = df.withColumns({"status": F.lit(status), **columns})
+    out = df.withColumns({"status": F.lit(status) if isinstance(status, str) else status, **columns})
     for name, kind in _EMPTY.items():
         if name not in columns:
             keep = name == "n_claims" and name in df.columns
@@ -170,37 +220,43 @@ def _outcome(df: DataFrame, status: str, **columns: Column) -> DataFrame:
     return out.select(*OUTCOME)
 
 
-def project(items: DataFrame, world: World, now: Column, keep: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
+def project(items: DataFrame, world: World, now: Column, keep: Callable[[DataFrame], DataFrame] = kept, candidates: DataFrame | None = None) -> DataFrame:
     """One row of OUTCOME for each item (idempotency_key, source_id, observation_id, candidate_key, action, claim_ids).
 
     status is idempotent, exception, shadow or success. Items of one batch that need the same new artist, venue or event
     share its id; the least idempotency_key among them counts as its creator. ``keep`` stores a stage that several
-    later ones read, in the folder that driver and executors share unless it is told otherwise.
+    later ones read, in the folder that driver and executors share unless it is told otherwise. ``candidates`` are the items' ones
+    (:func:`item_candidates`), if they are there already.
     """
-    todo = keep(pending(items, dealt(world.ledger)).join(world.sources, "source_id", "left"))
-    done = _outcome(items.join(dealt(todo.select("idempotency_key")), "idempotency_key", "left_anti"), "idempotent")
     mapped = world.mappings.select("source_id", "candidate_key", F.col("artist_id").alias("was_artist"), F.col("venue_id").alias("was_venue"), F.col("event_id").alias("was_event"))
-    # Mappings meet the items while these are narrow; candidates are dealt by item already.
-    staged = todo.join(dealt(mapped), ["source_id", "candidate_key"], "left").join(dealt(event_candidates(item_claims(todo, world.claims))), "idempotency_key", "left")
-    staged = staged.withColumn("source_event_key", without_prefix(F.col("candidate_key"), F.concat(F.lit("event:"), F.col("source_id"), F.lit(":"))))
+    done = world.ledger.where(F.col("status").isin("success", "shadow")).select("idempotency_key").distinct().withColumn("done", F.lit(True))
+    # Mappings meet the items while these are narrow; ledger and candidates are both dealt by item.
+    staged = items.join(dealt(mapped), ["source_id", "candidate_key"], "left").join(dealt(done), "idempotency_key", "left").join(world.sources, "source_id", "left")
+    if candidates is None:
+        staged = keep(staged)
+        candidates = item_candidates(staged.where("done is null"), world.claims, keep, GATED)
+    # What only the candidate's own tables need isn't carried through the gates, and of the claims' names only their number.
+    staged = staged.withColumn("n_named", F.size("claim_ids").cast("long")).drop("claim_ids").join(dealt(candidates.select(*GATED)), "idempotency_key", "left")
+    # A stop holds whatever its message names.
     stop = (
-        F.when(F.col("authority").isNull(), F.concat(F.lit("Unknown source "), F.col("source_id"))).when(F.col("n_claims").isNull(), "Projection item has no readable Claims")
-        .when(F.col("missing") != "", F.concat(F.lit("Projection candidate "), F.col("candidate_key"), F.lit(" missing "), F.col("missing")))
+        F.when(F.col("authority").isNull(), F.concat(F.lit("Unknown source "), F.coalesce("source_id", F.lit("null")))).when(F.col("n_claims").isNull(), "Projection item has no readable Claims")
+        .when(F.col("missing") != "", F.concat(F.lit("Projection candidate "), F.coalesce("candidate_key", F.lit("null")), F.lit(" missing "), F.col("missing")))
     )
     shadow = F.when(F.col("shadow"), "source is in shadow mode").when(~F.col("writer").eqNullSafe("aws"), F.concat(F.lit("writerAuthority="), F.coalesce("writer", F.lit("null"))))
-    # What only the candidate's own tables need isn't carried through the gates.
-    staged = keep(staged.withColumns({"stop": stop, "shadowed": shadow}).drop(*UNUSED))
-    out = done.unionByName(_outcome(staged.where("stop is not null"), "exception", message=F.col("stop"), n_claims=F.size("claim_ids").cast("long")))
-    out = out.unionByName(_outcome(staged.where("stop is null and shadowed is not null"), "shadow", message=F.col("shadowed"), artist_id=F.col("was_artist"), venue_id=F.col("was_venue"), event_id=F.col("was_event")))
-    live = staged.where("stop is null and shadowed is null")
-    out = out.unionByName(_taken_back(live.where("action in ('cancel', 'withdraw')"), world, now, keep))
-    return out.unionByName(_put_forward(live.where("action not in ('cancel', 'withdraw')"), world, keep))
+    staged = keep(staged.withColumns({"stop": stop, "shadowed": shadow}).drop("missing", "shadow", "writer"))
+    out, todo = _outcome(staged.where("done"), "idempotent", n_claims=F.lit(0).cast("long")), staged.where("done is null")
+    out = out.unionByName(_outcome(todo.where("stop is not null"), "exception", message=F.col("stop"), n_claims=F.col("n_named")))
+    out = out.unionByName(_outcome(todo.where("stop is null and shadowed is not null"), "shadow", message=F.col("shadowed"), artist_id=F.col("was_artist"), venue_id=F.col("was_venue"), event_id=F.col("was_event")))
+    live = todo.where("stop is null and shadowed is null").drop("done", "stop", "shadowed")
+    out = out.unionByName(_taken_back(live.where("action in ('cancel', 'withdraw')").drop("artist_name", "venue_name", "date"), world, now, keep))
+    return out.unionByName(_put_forward(live.where("action not in ('cancel', 'withdraw')").drop("proposed_claim_id"), world, keep))
 
 
 def _taken_back(items: DataFrame, world: World, now: Column, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Cancellations and withdrawals: the event is found by mapping or external id, and its support weighed."""
-    found = items.join(dealt(find_by_external_id(items, world.events)), ["source_id", "source_event_key"], "left")
-    found = found.withColumn("event_id", F.coalesce("was_event", "found_id"))
+    keyed = items.withColumn("source_event_key", without_prefix(F.col("candidate_key"), F.concat(F.lit("event:"), F.col("source_id"), F.lit(":"))))
+    found = keyed.join(dealt(_external_ids(world.events)), ["source_id", "source_event_key"], "left").drop("source_event_key")
+    found = found.withColumn("event_id", F.coalesce("was_event", "found_id")).drop("was_event", "found_id")
     event = world.events.select(F.col("id").alias("event_id"), F.lit(True).alias("there"), F.coalesce(F.nullif(F.col("artist_id"), F.lit("")), F.try_element_at("artist_ids", F.lit(1))).alias("its_artist"), F.col("venue_id").alias("its_venue"), owner_managed().alias("owner_managed"))
     found = found.join(dealt(event), "event_id", "left")
     found = keep(found)
@@ -214,27 +270,30 @@ def _taken_back(items: DataFrame, world: World, now: Column, keep: Callable[[Dat
         .when(F.col("decision") == "stronger-support", F.concat(F.lit("fresh higher-authority support ("), F.col("support_authority"), F.lit(") blocks destructive projection")))
         .when(F.col("new_artist").isNull() | F.col("new_venue").isNull(), "Canonical event is missing artistId/venueId")
     )
-    found = keep(found.withColumn("reason", reason))
-    out = _outcome(found.where("reason is not null"), "exception", message=F.col("reason"), n_claims=F.size("claim_ids").cast("long"), event_id=F.lit(None).cast("string"))
-    cancel = F.col("action") == "cancel"
-    return out.unionByName(_outcome(found.where("reason is null"), "success", artist_id=F.col("new_artist"), venue_id=F.col("new_venue"), event_id=F.col("event_id"), event_cancelled=cancel, event_hidden=~cancel))
+    cancel, gone = F.col("action") == "cancel", F.col("message").isNull()
+    found = found.withColumn("message", reason)
+    ids = {"artist_id": F.when(gone, F.col("new_artist")), "venue_id": F.when(gone, F.col("new_venue")), "event_id": F.when(gone, F.col("event_id"))}
+    return _outcome(found, F.when(gone, "success").otherwise("exception"), message=F.col("message"), **ids, event_cancelled=gone & cancel, event_hidden=gone & ~cancel, n_claims=F.when(gone, F.col("n_claims")).otherwise(F.col("n_named")))
 
 
 def _put_forward(items: DataFrame, world: World, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Creations, updates and reconciliations: entities are resolved, tombstones asked, the event ensured, its owner respected."""
-    out = items
+    """Creations, updates and reconciliations: entities are resolved, tombstones asked, the event ensured, its owner respected.
+
+    Items meet each table themselves, the two that are keyed by artist, venue and date one after the other, so that they are dealt once a key.
+    """
+    event = world.events.select(F.col("id").alias("was_event"), F.lit(True).alias("there"))
+    out = items.join(dealt(event), "was_event", "left")
     for kind, known in (("artist", world.artists), ("venue", world.venues)):
-        names = items.where(f"was_{kind} is null").select(F.col(f"{kind}_name").alias("name"))
-        made = resolve(names, known, kind).select(F.col("name").alias(f"{kind}_name"), F.col("id").alias(f"found_{kind}"), F.col("created").alias(f"new_{kind}"))
-        out = out.join(dealt(made), f"{kind}_name", "left").withColumns({f"{kind}_id": F.coalesce(f"was_{kind}", f"found_{kind}"), f"new_{kind}": F.col(f"was_{kind}").isNull() & F.coalesce(f"new_{kind}", F.lit(False))})
+        out = out.withColumn("key", match_key(F.col(f"{kind}_name"))).drop(f"{kind}_name").join(dealt(_keyed(known).withColumnRenamed("id", "found")), "key", "left")
+        new = F.col(f"was_{kind}").isNull() & F.col("found").isNull()
+        out = out.withColumns({f"{kind}_id": F.coalesce(f"was_{kind}", "found", identity(f"{kind}-", F.col("key"))), f"new_{kind}": new}).drop("key", "found", f"was_{kind}")
     out = blocked_by_tombstone(out, world.tombstones)
-    event = world.events.select(F.col("id").alias("was_event"), F.lit(True).alias("there"))
-    out = out.join(dealt(event), "was_event", "left")
-    wanted = out.where("there is null and not blocked")
-    out = out.join(dealt(ensure_events(wanted, world.events)), ["artist_id", "venue_id", "date"], "left")
+    keys = ["artist_id", "venue_id", "date"]
+    out = out.join(dealt(_of_keys(world.events)), keys, "left")
     known = F.col("there").isNotNull()
-    out = out.withColumns({"event_id": F.when(known, F.col("was_event")).otherwise(F.col("ensured_id")), "new_event": ~known & F.coalesce("event_created", F.lit(False))})
-    owned = world.events.select(F.col("id").alias("event_id"), owner_managed().alias("owner_managed"), F.col("cancelled"), F.col("is_public"))
+    ids = {"event_id": F.when(known, F.col("was_event")).otherwise(F.coalesce("same", identity("event-", *map(F.col, keys)))), "new_event": ~known & F.col("same").isNull()}
+    out = out.withColumns(ids).drop("date", "was_event", "there", "same")
+    owned = world.events.select(F.col("id").alias("event_id"), owner_managed().alias("owner_managed"))
     out = keep(out.join(dealt(owned), "event_id", "left").withColumn("owner_managed", F.coalesce("owner_managed", F.lit(False))))
     # Several items may need one new entity: one of them creates it, the others find it there.
     kinds = ("artist", "venue", "event")
@@ -243,22 +302,28 @@ def _put_forward(items: DataFrame, world: World, keep: Callable[[DataFrame], Dat
     first = first.groupBy("idempotency_key").agg(*(F.max(F.col("kind") == kind).alias(f"makes_{kind}") for kind in kinds))
     out = out.join(dealt(first), "idempotency_key", "left").withColumns({f"new_{kind}": F.coalesce(f"makes_{kind}", F.lit(False)) for kind in kinds})
     changes = {"tombstoned": F.lit(False), "destructive": F.lit(False), "mutation": (F.col("action") == "update") | ~F.col("new_event"), "support": F.lit(None).cast("int"), "proposed": F.lit(0)}
-    out = keep(decide(out.withColumns(changes)))
-    flags = {"artist_id": F.col("artist_id"), "venue_id": F.col("venue_id"), "event_id": F.col("event_id"), "artist_created": F.col("new_artist"), "venue_created": F.col("new_venue")}
-    stopped = _outcome(out.where("blocked"), "exception", message=F.lit("active tombstone requires explicit owner/artist/venue-owned reinstatement"), n_claims=F.size("claim_ids").cast("long"))
-    guarded = _outcome(out.where("not blocked and decision <> 'allow'"), "success", **flags, protected=F.lit(True), message=F.concat(F.lit("owner-managed event blocks "), F.col("authority"), F.lit(" mutation")))
-    free = out.where("not blocked and decision = 'allow'")
-    active = F.coalesce(F.col("tombstone") == "active", F.lit(False))
-    made = _outcome(free, "success", **flags, event_created=F.col("new_event"), event_updated=~F.col("new_event") & (F.col("action") == "update"), reinstated=active)
-    return stopped.unionByName(guarded).unionByName(made)
+    out = decide(out.withColumns(changes))
+    stopped, allowed = F.col("blocked"), F.col("decision") == "allow"
+    free = ~stopped & allowed
+    why = F.when(stopped, "active tombstone requires explicit owner/artist/venue-owned reinstatement").when(~allowed, F.concat(F.lit("owner-managed event blocks "), F.col("authority"), F.lit(" mutation")))
+    columns = {"message": why, "n_claims": F.when(stopped, F.col("n_named")).otherwise(F.col("n_claims")), "protected": ~stopped & ~allowed}
+    columns |= {f"{kind}_id": F.when(~stopped, F.col(f"{kind}_id")) for kind in kinds}
+    columns |= {f"{kind}_created": ~stopped & F.col(f"new_{kind}") for kind in ("artist", "venue")}
+    columns |= {"event_created": free & F.col("new_event"), "event_updated": free & ~F.col("new_event") & (F.col("action") == "update"), "reinstated": free & F.coalesce(F.col("tombstone") == "active", F.lit(False))}
+    return _outcome(out, F.when(stopped, "exception").otherwise("success"), **columns)
+
+
+def _told(outcomes: DataFrame, candidates: DataFrame | None, how: str = "inner") -> DataFrame:
+    """Outcomes with their candidates' columns; without ``candidates`` they have these already."""
+    return outcomes if candidates is None else outcomes.join(dealt(candidates), "idempotency_key", how)
 
 
-def tombstone_rows(outcomes: DataFrame, candidates: DataFrame, world: World, created_at: str) -> DataFrame:
+def tombstone_rows(outcomes: DataFrame, candidates: DataFrame | None, world: World, created_at: str) -> DataFrame:
     """New tombstones of cancelled and hidden events, where none of any status is there yet.
 
     ``candidates`` (idempotency_key, date, claim_id): the candidate's date and the claim that took the event back.
     """
-    gone = outcomes.where("status = 'success' and (event_cancelled or event_hidden)").join(dealt(candidates), "idempotency_key")
+    gone = _told(outcomes.where("status = 'success' and (event_cancelled or event_hidden)"), candidates)
     keys = ["artist_id", "venue_id", "date"]
     gone = gone.join(dealt(world.tombstones.select(*keys)), keys, "left_anti").join(world.sources.select("source_id", "authority"), "source_id")
     print_ = F.concat_ws("|", *keys)
@@ -267,10 +332,10 @@ def tombstone_rows(outcomes: DataFrame, candidates: DataFrame, world: World, cre
     return best_per_key(rows, ["id"], F.struct(F.lit(0)), F.col("idempotency_key")).drop("idempotency_key")
 
 
-def reinstated(tombstones: DataFrame, outcomes: DataFrame, candidates: DataFrame, at: str, changed: bool = False) -> DataFrame:
+def reinstated(tombstones: DataFrame, outcomes: DataFrame, candidates: DataFrame | None, at: str, changed: bool = False) -> DataFrame:
     """``tombstones`` after the run: those that a strong source's event brought back are reinstated, none is deleted. With ``changed`` only these."""
     keys = ["artist_id", "venue_id", "date"]
-    back = outcomes.where("reinstated").join(dealt(candidates), "idempotency_key").groupBy(*keys).agg(F.min("claim_id").alias("_claim"))
+    back = _told(outcomes.where("reinstated"), candidates).groupBy(*keys).agg(F.min("claim_id").alias("_claim"))
     out = tombstones.join(dealt(back.withColumn("_back", F.lit(True))), keys, "inner" if changed else "left")
     hit = F.coalesce(F.col("_back") & (F.col("status") == "active"), F.lit(False))
     out = out.where(hit) if changed else out
@@ -332,9 +397,9 @@ def update_payload(existing: Column) -> list[Column]:
     return [F.col("artist_id"), F.col("venue_id"), F.col("date"), F.col("start_time"), ids.alias("external_ids"), *optional, paid.alias("ticketed")]
 
 
-def new_entities(outcomes: DataFrame, candidates: DataFrame, kind: str) -> DataFrame:
+def new_entities(outcomes: DataFrame, candidates: DataFrame | None, kind: str) -> DataFrame:
     """The artists or venues that a run creates: id, name, where they are, and the source's id for them (by name, if it has none)."""
-    made = outcomes.where(f"status = 'success' and {kind}_created").select("idempotency_key", "source_id", F.col(f"{kind}_id").alias("id")).join(dealt(candidates), "idempotency_key")
+    made = _told(outcomes.where(f"status = 'success' and {kind}_created"), candidates).withColumn("id", F.col(f"{kind}_id"))
     name = F.lower(F.col(f"{kind}_name"))
     if kind == "artist":
         own, where = F.concat(F.lit("name:"), name), {"location": F.coalesce("artist_location", "venue_location"), "region": F.col("venue_location")}
@@ -348,14 +413,14 @@ def new_entities(outcomes: DataFrame, candidates: DataFrame, kind: str) -> DataF
 EVENT_TEXTS = ("date", "start_time", "end_time", "title", "event_url", "ticket_url", "price")
 
 
-def changed_events(outcomes: DataFrame, candidates: DataFrame, events: DataFrame) -> DataFrame:
+def changed_events(outcomes: DataFrame, candidates: DataFrame | None, events: DataFrame) -> DataFrame:
     """The events that a run creates, updates, cancels, hides or brings back, whole, one row each.
 
     Items of one event count in the order of their keys: a later one's value stands, and what it leaves unset stays. ``events`` may
     lack columns, which are null then.
     """
     touched = outcomes.where("status = 'success' and (event_created or event_updated or event_cancelled or event_hidden or reinstated)")
-    rows = touched.join(dealt(candidates.drop("n_claims", "status")), "idempotency_key", "left").withColumn("source_event_key", without_prefix(F.col("candidate_key"), F.concat(F.lit("event:"), F.col("source_id"), F.lit(":"))))
+    rows = _told(touched, None if candidates is None else candidates.drop("n_claims", "status"), "left").withColumn("source_event_key", without_prefix(F.col("candidate_key"), F.concat(F.lit("event:"), F.col("source_id"), F.lit(":"))))
     put = F.col("event_created") | F.col("event_updated")
     paid = F.when(F.nullif(F.col("admission_status"), F.lit("")).isNotNull(), F.col("admission_status") == "PAID_CONFIRMED")
     value = {"artist_id": F.col("artist_id"), "venue_id": F.col("venue_id"), **{c: F.nullif(F.col(c), F.lit("")) for c in EVENT_TEXTS}, "ticketed": paid}

@@ -84,6 +84,11 @@ def keep(df: DataFrame) -> DataFrame:
     return kept(df, "projection")
 
 
+def candidates(items: DataFrame, around: projection.World) -> DataFrame:
+    """The items' candidates, with the claim that each item puts forward."""
+    return projection.item_candidates(items, around.claims, keep).withColumn("claim_id", F.try_element_at("claim_ids", F.lit(1)))
+
+
 _WORLD = f"""o AS (SELECT DISTINCT ON (o_orderkey) o_orderkey AS k, o_custkey AS c, o_orderdate::DATE::VARCHAR AS d FROM orders),
     i AS (SELECT *, 's' || (c % 9) AS source, ({listed(ACTIONS)})[1 + k % 5] AS action, CASE WHEN c % 9 < 8 THEN ({listed(CLASSES)})[1 + (c % 9) % 7] END AS authority, k % 10 = 1 AND k % 3 <> 0 AS done, k % 4 = 0 AND k % 3 <> 0 AS there,
         k % 4 = 0 AND k % 3 <> 0 AND k % 7 = 0 AS owned, k % 4 = 0 AS mapped FROM o),
@@ -138,10 +143,9 @@ def support_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT 'tombstone-' || sha256(concat_ws('|', a, v, d))[1:32] AS id, arg_min(CASE WHEN event_cancelled THEN 'explicit cancellation' ELSE 'absent from complete snapshot' END, 'i' || k) AS reason, arg_min('e' || k, 'i' || k) AS canonical_event_id FROM fresh GROUP BY a, v, d""")
 def tombstone_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, around = world(spark, sf_dir)
-    out = keep(projection.project(items, around, F.to_timestamp(F.lit(NOW)), keep))
-    found = projection.event_candidates(projection.item_claims(items, around.claims)).select("idempotency_key", "date")
-    dated = found.join(projection.dealt(items.select("idempotency_key", F.try_element_at("claim_ids", F.lit(1)).alias("claim_id"))), "idempotency_key")
-    return projection.tombstone_rows(out, dated, around, NOW).select("id", "reason", "canonical_event_id")
+    put = candidates(items, around)
+    out = projection.project(items, around, F.to_timestamp(F.lit(NOW)), keep, put)
+    return projection.tombstone_rows(out, put.select("idempotency_key", "date", "claim_id"), around, NOW).select("id", "reason", "canonical_event_id")
 
 
 @query(f"""WITH {_WORLD}, chg AS (SELECT * FROM outcome WHERE status = 'success' AND (event_created OR event_updated OR event_cancelled OR event_hidden OR reinstated)),
@@ -154,11 +158,10 @@ def tombstone_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def projection_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events that a run changes, written with all its other changes in one commit and read back from the store."""
     items, around = world(spark, sf_dir)
-    out = keep(projection.project(items, around, F.to_timestamp(F.lit(NOW)), keep))
-    found = keep(projection.item_claims(items, around.claims))
-    put = projection.event_candidates(found).join(projection.dealt(items.select("idempotency_key", F.try_element_at("claim_ids", F.lit(1)).alias("claim_id"))), "idempotency_key")
+    put = candidates(items, around)
+    out = projection.project(items, around, F.to_timestamp(F.lit(NOW)), keep, put)
     store = Store(spark, shared_folder(spark, "canonical"), indexes={"event": ["venue_id"]})
-    sinks.write_projection(store, out, found, put, around, NOW)
+    sinks.write_projection(store, out, None, put, around, NOW)
     events = store.read("event", "id string, artist_id string, venue_id string, date string, cancelled boolean, is_public boolean, external_ids array<struct<source:string,id:string>>")
     return events.withColumn("external_ids", F.array_join(F.sort_array(F.transform("external_ids", lambda x: F.concat(x["source"], F.lit(":"), x["id"]))), ","))
 

@@ -89,39 +89,47 @@ def persist_knowledge(store: Store, observations: DataFrame, claims: DataFrame)
     return rows.select("observation_id", "evidence_key").distinct().join(n, "observation_id", "left").na.fill(0, ["claim_records"])
 
 
-def write_projection(store: Store, outcomes: DataFrame, found: DataFrame, candidates: DataFrame, world: projection.World, at: str, batch: tuple[str, int] | None = None) -> bool:
+def write_projection(store: Store, outcomes: DataFrame, found: DataFrame | None, candidates: DataFrame, world: projection.World, at: str, batch: tuple[str, int] | None = None) -> bool:
     """All changes of a projection in one commit: canonical artists, venues and events, links, mappings, tombstones, withdrawals, exceptions, enrichment items and the ledger.
 
-    ``candidates`` are those of :func:`projection.event_candidates` with claim_id, the claim that each item puts forward. Readers see
+    ``candidates`` are those of :func:`projection.event_candidates` with claim_id, the claim that each item puts forward. ``found`` are
+    the items' claims; without them the candidates are those of :func:`projection.item_candidates`, and claims are looked for where
+    links or withdrawals need them. Outcomes meet their candidates once, for all tables. Readers see
     the run whole or not at all, and a run that is repeated changes nothing more. With ``batch``, a writer's name and a growing number,
     a batch that is committed already is left out; the result is whether this one was written.
     """
     types = lambda df: ", ".join(f"{c} {t}" for c, t in df.dtypes)
-    outcomes, found, candidates = kept(outcomes, "outcomes"), kept(found, "found"), kept(candidates, "candidates")
+    outcomes = kept(outcomes, "outcomes")
+    told = kept(outcomes.where("status = 'success'").join(projection.dealt(candidates.drop("n_claims", "status").withColumn("has_candidate", F.lit(True))), "idempotency_key", "left"), "told")
+    if found is None:
+        needing = told.where("action not in ('cancel', 'withdraw') or event_hidden")
+        found = projection.item_claims(needing.where("has_candidate"), world.claims)
+    found = kept(found.select("idempotency_key", "claim_id", "predicate", "claim_source", "observed_at"), "found")
+    with_candidate = told.where("has_candidate")
     with store.transaction() as change:
         if batch and not change.once(*batch):
             change.writer = None
             return False
         for kind in ("artist", "venue"):
-            rows = projection.new_entities(outcomes, candidates, kind)
+            rows = projection.new_entities(with_candidate, None, kind)
             change.put_once(kind, rows, ["id"], types(rows))
-        events = projection.changed_events(outcomes, candidates, world.events)
+        events = projection.changed_events(told, None, world.events)
         change.upsert("event", events, ["id"], types(events))
-        links = projection.support_links(outcomes, found)
+        links = projection.support_links(told, found)
         change.put_once("support_link", links, links.columns, types(links))
         mappings = projection.changed_mappings(world.mappings, outcomes)
         change.upsert("projection_mapping", mappings, ["source_id", "candidate_key"], types(mappings))
-        graves = projection.tombstone_rows(outcomes, candidates, world, at)
+        graves = projection.tombstone_rows(with_candidate, None, world, at)
         later = {c: F.lit(None).cast("string") for c in ("superseded_at", "superseded_by_claim_id")}
         graves = graves.withColumns(later)
         change.put_once("tombstone", graves, ["id"], types(graves))
-        change.upsert("tombstone", _brought_back(change.read("tombstone", types(graves)), projection.reinstated(world.tombstones, outcomes, candidates, at, changed=True)), ["id"], types(graves))
-        sources = outcomes.join(projection.dealt(candidates.select("idempotency_key", F.col("claim_id").alias("proposed_claim_id"))), "idempotency_key").select("idempotency_key", "source_id", "proposed_claim_id")
-        gone = projection.withdrawals(outcomes, projection.prior_claims(found, sources), at)
+        change.upsert("tombstone", _brought_back(change.read("tombstone", types(graves)), projection.reinstated(world.tombstones, with_candidate, None, at, changed=True)), ["id"], types(graves))
+        sources = with_candidate.where("event_hidden").select("idempotency_key", "source_id", F.col("claim_id").alias("proposed_claim_id"))
+        gone = projection.withdrawals(told, projection.prior_claims(found, sources), at)
         change.put_once("source_withdrawal", gone, ["id"], types(gone))
         failed = projection.exceptions(outcomes, at)
         change.put_once("projection_exception", failed, ["id"], types(failed))
-        more = projection.enrichment_items(outcomes)
+        more = projection.enrichment_items(told)
         change.put_once("entity_enrichment", more, ["id"], types(more))
         done = projection.ledger_rows(outcomes)
         change.upsert("projection_item", done, ["idempotency_key"], types(done))

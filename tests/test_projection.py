@@ -137,3 +137,45 @@ def test_gates_carry_no_column_that_none_reads(spark, world):
 def test_item_claims_say_which_are_named(spark, world):
     got = {r["claim_id"] for r in projection.item_claims(items(spark, ["match", "empty"]), world.claims).where("named").collect()}
     assert got == {"cur-1-hasStatus"}
+
+
+def with_claim(candidates):
+    return candidates.withColumn("claim_id", F.try_element_at("claim_ids", F.lit(1)))
+
+
+def test_claims_meet_their_items_where_these_are_dealt_by_candidate(spark, world):
+    """Candidates are the same as those of all items' claims; claims are dealt by their subject and never by item."""
+    rows = items(spark, CASES).union(spark.createDataFrame([("looked", "cur", "obs", "event:cur:99", "create", [f"cur-4-{p}" for p in ("occursOn", "hasPerformer", "occursAt", "startsAt", "hasStatus")])], ITEM))
+    stages = []
+    got = projection.item_candidates(rows, world.claims, lambda df: stages.append(df) or df)
+    want = projection.event_candidates(projection.item_claims(rows, world.claims))
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) and {r["idempotency_key"] for r in got.where("looked_up").collect()} == {"looked"}
+    assert shuffles(stages[0]) == 2 and len(stages) == 2
+    again = projection.item_claims(got.join(rows.select("idempotency_key", "candidate_key"), "idempotency_key"), world.claims)
+    assert sorted(map(str, again.collect())) == sorted(map(str, projection.item_claims(rows, world.claims).collect()))
+    assert projection.item_claims(items(spark, ["match"]).withColumn("looked_up", F.lit(False)), world.claims).count() == 5
+
+
+def test_stages_that_are_read_once_are_not_kept(spark, world):
+    seen, rows = [], items(spark, CASES)
+    out = projection.project(rows, world, F.to_timestamp(F.lit(NOW)), lambda df: seen.append(df) or df, with_claim(projection.item_candidates(rows, world.claims)))
+    assert {r["idempotency_key"]: (r["status"], r["message"], r["event_id"]) for r in out.collect()} == {name: want for name, (_, _, _, want) in CASES.items()}
+    assert len(seen) == 3 and not any("claim_ids" in df.columns for df in seen)
+
+
+def test_a_run_that_looks_for_claims_itself_writes_the_same_tables(spark, world, tmp_path):
+    rows = items(spark, ["match", "strong", "gaps", "shadow", "owned"]).union(spark.createDataFrame([("looked", "own", "obs", "event:own:99", "create", [f"own-4-{p}" for p in ("occursOn", "hasPerformer", "occursAt", "startsAt", "hasStatus")]), ("back", "own", "obs", "event:own:4", "create", ["own-4-hasStatus"])], ITEM))
+    found, put = projection.item_claims(rows, world.claims), with_claim(projection.item_candidates(rows, world.claims))
+    tables = []
+    for name, claims in (("given", found), ("sought", None)):
+        store = Store(spark, f"file://{tmp_path}/{name}")
+        write_projection(store, projection.project(rows, world, F.to_timestamp(F.lit(NOW)), candidates=put), claims, put, world, NOW)
+        read = lambda t: spark.read.parquet(*(f"{store.root}/{t}/{p['folder']}" for p in store.transaction()._listed(t)["parts"].values()))  # noqa: B023, E731
+        tables.append({t: sorted(map(str, read(t).collect())) for t in store.state()[1]["tables"]})
+    assert tables[0] == tables[1] and len(tables[0]["source_withdrawal"]) == 1 and any("own-4-occursOn" in r for r in tables[0]["support_link"])
+
+
+def test_items_without_a_key_or_a_source_are_stopped_too(spark, world):
+    rows = spark.createDataFrame([("nokey", "cur", "obs", None, "create", ["cur-3-occursAt"]), ("nosource", None, "obs", "event:cur:1", "create", [])], ITEM)
+    got = {r["idempotency_key"]: (r["status"], r["message"]) for r in projection.project(rows, world, F.to_timestamp(F.lit(NOW))).collect()}
+    assert got == {"nokey": ("exception", "Projection candidate null missing artistName, venueLocation, date, startTime"), "nosource": ("exception", "Unknown source null")}

@@ -116,7 +116,7 @@ def event_candidates(found: DataFrame, dealt_by: list[str] | None = None) -> Dat
     its claim_ids are returned too.
     """
     by, also = dealt_by or ["idempotency_key"], [F.any_value("claim_ids").alias("claim_ids")] if dealt_by else []
-    rows = found.withColumn("_active", F.coalesce(F.col("status") == "active", F.lit(False)))
+    rows = found.withColumns({"_active": F.coalesce(F.col("status") == "active", F.lit(False)), "_there": F.col("subject").isNotNull() if dealt_by else F.lit(True)})
     # Claims are dealt by item once; what follows finds them where they are.
     rows = rows if dealt_by else rows.repartition("idempotency_key")
     order = Window.partitionBy(*by, "predicate", "_active").orderBy(F.col("observed_at").desc(), F.col("claim_id").asc_nulls_last())
@@ -124,7 +124,7 @@ def event_candidates(found: DataFrame, dealt_by: list[str] | None = None) -> Dat
     value = lambda p: F.max(F.when(F.col("_latest") & (F.col("predicate") == p), F.col("value")))
     each = {p: value(p) for p in ("hasPerformer", "hasPerformerName", "occursAt", "hasVenueName", *TEXTS)}
     first = {"proposed_claim_id": F.min_by(F.when(F.col("named"), F.col("claim_id")), F.when(F.col("named"), F.struct("observed_at", "claim_id")))} if "named" in found.columns else {}
-    n_claims = F.count("subject" if dealt_by else "*").alias("n_claims")
+    n_claims = F.count_if("_there").alias("n_claims")
     wide = rows.groupBy(*by).agg(F.max("observed_at").alias("last_observed"), n_claims, *also, *(v.alias(c) for c, v in {**each, **first}.items()))
     part = lambda p, key: present(F.get_json_object(p, f"$.{key}"))
     out = wide.select(
